@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apptledger.functions.times import local_text
-from apptledger.plans import views
+from apptledger.operators import billing, payouts
+from apptledger.plans import reports, views
+from apptledger.sources import documents
 from apptledger.sources import starschema as star
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +97,114 @@ def payouts_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def no_show_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.no_show_evidence(star.tables(spark, sf_dir))
+
+
+# Billing and money
+
+
+@query
+def invoice_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return billing.invoice_run(star.tables(spark, sf_dir), star.AS_OF)
+
+
+@query
+def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return billing.invoice_documents(tables, billing.invoice_run(tables, star.AS_OF))
+
+
+@query
+def invoice_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return billing.explode_line_items(billing.invoice_documents(tables, billing.invoice_run(tables, star.AS_OF)))
+
+
+@query
+def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return documents.render_invoices(tables, billing.invoice_run(tables, star.AS_OF))
+
+
+@query
+def payout_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.render_statements(star.tables(spark, sf_dir))
+
+
+@query
+def no_show_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.render_no_show_notes(star.tables(spark, sf_dir))
+
+
+@query
+def mark_invoiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every appointment after billing all clients with open work."""
+    tables = star.tables(spark, sf_dir)
+    rows = billing.mark_invoiced(tables, billing.invoice_lines(tables).select("client_id"), star.AS_OF)
+    return rows.select("appointment_id", "client_id", "status", "invoiced", "updated_at")
+
+
+@query
+def unbilled_but_invoiced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return billing.unbilled_but_invoiced(star.tables(spark, sf_dir))
+
+
+@query
+def mark_invoices_sent_and_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Send what is unsent, then settle what is more than 60 days late."""
+    tables = star.tables(spark, sf_dir)
+    unsent = tables.invoices.where(F.col("sent_date").isNull())
+    late = views.invoices_outstanding(tables, star.AS_OF).where(F.col("days_past_due") > 60)
+    after = billing.mark_invoices_paid(billing.mark_invoices_sent(tables, unsent, star.AS_OF), late, star.AS_OF)
+    return after.invoices.select("invoice_id", "invoice_number", "sent_date", "paid", "paid_date")
+
+
+@query
+def aging_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.aging_summary(star.tables(spark, sf_dir), star.AS_OF)
+
+
+@query
+def outstanding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.outstanding_summary(star.tables(spark, sf_dir), star.AS_OF)
+
+
+@query
+def payout_statement_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.payout_statement_totals(star.tables(spark, sf_dir))
+
+
+@query
+def create_payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payouts.create_payouts(star.tables(spark, sf_dir), star.AS_OF).payouts.select(
+        "payout_id", "notary_id", "appointment_id", "amount", "paid"
+    )
+
+
+@query
+def mark_payouts_paid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settle every worker paid by percentage; shows the payouts and their appointments."""
+    tables = star.tables(spark, sf_dir)
+    after = payouts.mark_payouts_paid(tables, tables.notaries.where(F.col("payout_type") == "percent"), star.AS_OF)
+    return after.payouts.select("payout_id", "appointment_id", "paid", "paid_date").join(
+        after.appointments.select("appointment_id", "paid_out", "updated_at"), "appointment_id"
+    )
+
+
+@query
+def month_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.month_total(star.tables(spark, sf_dir), "1998-09")
+
+
+@query
+def acts_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.acts_summary(star.tables(spark, sf_dir))
+
+
+@query
+def acts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.acts_by_type(star.tables(spark, sf_dir))
+
+
+@query
+def day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.day_summary(star.tables(spark, sf_dir), dt.date(2026, 9, 1), dt.date(2026, 10, 31))
