@@ -116,6 +116,10 @@ class Tables:
         return frame
 
     def replace(self, **changed: DataFrame) -> Tables:
+        """A new bundle. Changed appointments lose the stored date column, which
+        only describes rows as they were written."""
+        if "appointments" in changed:
+            changed["appointments"] = changed["appointments"].drop("appointment_date")
         return Tables(**{**self._frames, **changed})
 
     @staticmethod

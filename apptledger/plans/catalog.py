@@ -9,11 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apptledger.functions import naming, times
 from apptledger.functions.times import local_text
-from apptledger.operators import billing, payouts
+from apptledger.model import Tables, conform
+from apptledger.operators import (
+    admission,
+    billing,
+    changes,
+    completion,
+    lookups,
+    payouts,
+    places,
+    presence,
+    privacy,
+    quality,
+    scheduling,
+    upkeep,
+    usage,
+)
 from apptledger.plans import reports, views
-from apptledger.sources import documents
+from apptledger.session import scratch_path
+from apptledger.sources import confirmations, documents, feeds
 from apptledger.sources import starschema as star
+from apptledger.streaming import feeds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -208,3 +226,649 @@ def acts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.day_summary(star.tables(spark, sf_dir), dt.date(2026, 9, 1), dt.date(2026, 10, 31))
+
+
+# Admission
+
+
+def _bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookings that arrive again as new requests, without ids or numbers."""
+    return star.raw_appointments(spark, sf_dir).withColumnRenamed("appointment_id", "request_id").drop(
+        "appointment_no", "event_ext_id", "shift_ext_id", "rescheduled_from"
+    )
+
+
+@query
+def admit_appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = admission.admit_appointments(star.tables(spark, sf_dir), _bookings(spark, sf_dir), star.AS_OF)
+    return after.appointments.select(
+        "appointment_id", "appointment_no", "client_id", "scheduled_start", "duration_minutes", "notary_id",
+        "signing_fee", "print_fee", "trip_fee", "no_sign_fee", "other_fee", "status", "created_at",
+    )
+
+
+@query
+def add_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New trips without a rate: the current setting is taken and kept."""
+    tables = star.tables(spark, sf_dir)
+    new = tables.mileage.withColumns({"trip_id": F.col("trip_id") + 10**9, "rate": F.lit(None), "deduction": F.lit(None)})
+    return admission.add_trips(tables, new).mileage.select("trip_id", "trip_date", "miles", "rate", "deduction")
+
+
+@query
+def edit_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supply runs lose their rate, the longest trips get one mile less."""
+    tables = star.tables(spark, sf_dir)
+    one_each = changes.latest_per_key(tables.mileage, ["trip_id"], ["trip_date", "miles", "rate", "appointment_id"])
+    tables = tables.replace(mileage=one_each)
+    edits = one_each.where(F.col("appointment_id").isNull() | (F.col("miles") == 50)).select(
+        "trip_id",
+        F.when(F.col("miles") == 50, F.col("miles") - 1).otherwise(F.col("miles")).alias("miles"),
+        F.when(F.col("appointment_id").isNotNull(), F.col("rate")).alias("rate"),
+    )
+    return admission.edit_trips(tables, edits).mileage.select("trip_id", "trip_date", "miles", "rate", "deduction")
+
+
+@query
+def add_journal_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One oath per completed appointment added to the journal pointers."""
+    tables = star.tables(spark, sf_dir)
+    new = tables.appointments.where(F.col("status") == "completed").select(
+        F.col("appointment_id").alias("request_id"), "appointment_id", F.lit("Book 9").alias("journal_book"),
+        naming.zero_padded("appointment_id").alias("entry_no"), F.lit("oath").alias("act_type"),
+    )
+    return admission.add_journal_entries(tables, new).journal_index.select(
+        "entry_id", "appointment_id", "journal_book", "entry_no", "act_type", "act_count"
+    )
+
+
+@query
+def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append clients, half of them known already and each offered twice."""
+    base = star.clients(spark, sf_dir).select("client_id", "client_name", "client_type")
+    offered = base.withColumn("client_id", F.col("client_id") * 2)
+    return changes.insert_or_ignore(base, offered.unionByName(offered), ["client_id"])
+
+
+@query
+def fill_payout_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payouts with some amounts given and the rest computed from the split."""
+    tables = star.tables(spark, sf_dir)
+    given = F.when(F.col("payout_id") % 5 == 0, F.lit(42)).cast("decimal(12,2)")
+    return payouts.fill_payout_amounts(tables.payouts.withColumn("amount", given), tables).select(
+        "payout_id", "notary_id", "appointment_id", "amount"
+    )
+
+
+@query
+def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key an appointment's outbound calls use."""
+    tables = star.tables(spark, sf_dir)
+    return tables.appointments.join(
+        F.broadcast(tables.notaries.select("notary_id", "email")), "notary_id", "left"
+    ).select(
+        "appointment_id",
+        naming.idempotency_key("location", "place_id").alias("location_key"),
+        naming.idempotency_key("event", "appointment_id").alias("event_key"),
+        naming.idempotency_key("assign", "event_ext_id").alias("assign_key"),
+        naming.idempotency_key("shift", "appointment_id").alias("shift_key"),
+        naming.idempotency_key("shift", "appointment_id", "-2").alias("swap_key"),
+        naming.idempotency_key("cancel", "shift_ext_id").alias("cancel_key"),
+        naming.idempotency_key("worker", "email").alias("worker_key"),
+        F.lit(naming.FORM_KEY).alias("form_key"),
+    )
+
+
+# Scheduling
+
+
+@query
+def schedule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.schedule_conflicts(star.tables(spark, sf_dir))
+
+
+@query
+def reschedule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.reschedule_chain(star.tables(spark, sf_dir).appointments)
+
+
+@query
+def reschedule_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scheduling.reschedule_links(star.tables(spark, sf_dir).appointments)
+
+
+@query
+def reschedule_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested appointments move three hours later."""
+    tables = star.tables(spark, sf_dir)
+    moves = tables.appointments.where(F.col("status") == "requested").select(
+        "appointment_id", times.plus_minutes("scheduled_start", 180).alias("scheduled_start")
+    )
+    return scheduling.reschedule_same_day(tables, moves, star.AS_OF).appointments.select(
+        "appointment_id", "appointment_no", "scheduled_start", "status", "updated_at"
+    )
+
+
+@query
+def reschedule_new_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested appointments move a week on, the repeat sites with a late fee."""
+    tables = star.tables(spark, sf_dir)
+    moves = tables.appointments.where(F.col("status") == "requested").select(
+        "appointment_id", times.plus_days("scheduled_start", 7).alias("new_start"),
+        F.when(F.col("place_id") % 2 == 1, F.lit(50)).cast("decimal(12,2)").alias("late_fee"),
+    )
+    return scheduling.reschedule_new_day(tables, moves, star.AS_OF).appointments.select(
+        "appointment_id", "appointment_no", "client_id", "client_order_ref", "place_id", "scheduled_start", "status",
+        "signing_fee", "trip_fee", "other_fee", "rescheduled_from", "shift_ext_id", "invoiced",
+    )
+
+
+@query
+def cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed appointments are cancelled; some owe a print fee."""
+    tables = star.tables(spark, sf_dir)
+    requests = tables.appointments.where(F.col("status") == "confirmed").select(
+        "appointment_id", F.when(F.col("scanbacks_required") == 1, F.col("print_fee")).alias("other_fee")
+    )
+    after = scheduling.cancel(tables, requests, star.AS_OF)
+    return views.billable_appointments(after).select("appointment_id", "status", "other_fee", "billable_total")
+
+
+@query
+def swap_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner's open appointments go to worker 1, with the calls that takes."""
+    tables = star.tables(spark, sf_dir)
+    open_ = tables.appointments.where((F.col("notary_id") == 0) & F.col("status").isin("requested", "confirmed"))
+    requests = open_.select("appointment_id", F.lit(1).cast("bigint").alias("notary_id"))
+    after = scheduling.swap_worker(tables, requests, star.AS_OF).appointments
+    calls = scheduling.swap_calls(requests, tables.appointments).drop("notary_id")
+    return after.select("appointment_id", "notary_id", "shift_ext_id").join(calls, "appointment_id", "left")
+
+
+@query
+def link_external_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    links = tables.appointments.where(F.col("shift_ext_id").isNull()).select(
+        "appointment_id", (F.col("appointment_id") + 7500000000).alias("event_ext_id"),
+        F.when(F.col("notary_id") != 0, F.col("appointment_id") + 8500000000).alias("shift_ext_id"),
+    )
+    return scheduling.link_external_ids(tables, links, star.AS_OF).appointments.select(
+        "appointment_id", "event_ext_id", "shift_ext_id", "updated_at"
+    )
+
+
+@query
+def dispatch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.dispatch_queue(star.tables(spark, sf_dir), star.AS_OF)
+
+
+# Places
+
+
+def _address_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as people type them: known sites spelled freely, the rest new."""
+    key = F.col("c_custkey")
+    site = key % 50
+    address = F.concat(site.cast("string"), F.when(key % 2 == 0, "  Main St.").otherwise(" MAIN ST,"))
+    return star.read(spark, sf_dir, "customer").select(
+        key.alias("request_id"), F.col("c_name").alias("client_name"), address.alias("address"),
+        F.concat(F.lit("Nation_"), site.cast("string")).alias("city"),
+        F.when(site % 5 != 0, "wa").alias("state"),
+        F.when(site % 3 != 0, (98000 + site).cast("string")).alias("zip"),
+        (site % 2).cast("int").alias("is_repeat_site"),
+    )
+
+
+@query
+def match_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.match_places(_address_requests(spark, sf_dir), star.places(spark, sf_dir))
+
+
+@query
+def admit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, _ = places.admit_places(star.tables(spark, sf_dir), _address_requests(spark, sf_dir), star.AS_OF)
+    return after.places.select(
+        "place_id", "normalized_address", "address", "city", "state", "zip", "place_label", "location_ext_id",
+        "is_repeat_site",
+    )
+
+
+@query
+def merge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites of region 3 fold into the site before them; shows appointments with
+    the location they now use."""
+    tables = star.tables(spark, sf_dir)
+    merges = star.read(spark, sf_dir, "nation").where(F.col("n_nationkey") % 5 == 3).select(
+        F.col("n_nationkey").cast("bigint").alias("place_id"),
+        (F.col("n_nationkey") - 1).cast("bigint").alias("survivor_id"),
+    )
+    after = places.merge_places(tables, merges, star.AS_OF)
+    return after.appointments.select("appointment_id", "place_id", "updated_at").join(
+        after.places.select("place_id", "location_ext_id"), "place_id"
+    )
+
+
+# Feeds and completion
+
+
+def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.read_submissions(star.raw_submissions(spark, sf_dir))[0]
+
+
+def _shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.read_shift_status(star.raw_shift_status(spark, sf_dir))[0]
+
+
+@query
+def read_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _submissions(spark, sf_dir)
+
+
+@query
+def unreadable_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.read_submissions(star.raw_submissions(spark, sf_dir))[1]
+
+
+@query
+def read_shift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shifts(spark, sf_dir).drop("punches")
+
+
+@query
+def shift_punches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.explode_punches(_shifts(spark, sf_dir))
+
+
+_CLOSED_COLUMNS = [
+    "appointment_id", "status", "outcome", "docs_notarized", "tracking_no", "dropped_at", "scanbacks_sent_at",
+    "scanbacks_required", "submission_id", "checked_in_at", "checked_out_at", "gps_verified", "checkin_distance_m",
+    "notes", "updated_at",
+]
+
+
+@query
+def apply_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = completion.apply_completions(star.tables(spark, sf_dir), _submissions(spark, sf_dir), star.AS_OF)
+    return after.appointments.select(*_CLOSED_COLUMNS)
+
+
+@query
+def close_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completions that also need a punched shift; stamps come with them."""
+    after = completion.apply_completions(
+        star.tables(spark, sf_dir), _submissions(spark, sf_dir), star.AS_OF, _shifts(spark, sf_dir)
+    )
+    return after.appointments.select(*_CLOSED_COLUMNS)
+
+
+@query
+def record_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = completion.record_stamps(star.tables(spark, sf_dir), _shifts(spark, sf_dir), star.AS_OF)
+    return after.appointments.select(
+        "appointment_id", "checked_in_at", "checked_out_at", "gps_verified", "checkin_distance_m", "updated_at"
+    )
+
+
+@query
+def apply_no_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmed appointments reported as no-shows."""
+    tables = star.tables(spark, sf_dir)
+    told = tables.appointments.where(F.col("status") == "confirmed").select(
+        "appointment_id", F.lit("borrower_no_show").alias("outcome"), F.lit(" - nobody home").alias("details")
+    )
+    after = completion.apply_no_shows(tables, told, star.AS_OF)
+    return views.no_show_evidence(after).select("appointment_id", "outcome", "billable_total", "notes")
+
+
+@query
+def record_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every package due is dropped and its scan-backs sent; what is left due."""
+    tables = star.tables(spark, sf_dir)
+    due = views.drops_due(tables, star.AS_OF)
+    now = times.local_literal(star.AS_OF)
+    drops = due.where(F.col("drop_pending") == 1).select(
+        "appointment_no", now.alias("dropped_at"), F.concat(F.lit("T"), "appointment_no").alias("tracking_no"),
+        F.lit("DHL").alias("shipping_carrier"),
+    )
+    return completion.record_drops(tables, drops, star.AS_OF).appointments.select(
+        "appointment_id", "appointment_no", "dropped_at", "tracking_no", "shipping_carrier", "updated_at"
+    )
+
+
+@query
+def record_scanbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still due once every pending scan-back has been sent."""
+    tables = star.tables(spark, sf_dir)
+    sent = views.drops_due(tables, star.AS_OF).where(F.col("scanbacks_pending") == 1).select(
+        "appointment_no", times.local_literal(star.AS_OF).alias("scanbacks_sent_at")
+    )
+    return views.drops_due(completion.record_scanbacks(tables, sent, star.AS_OF), star.AS_OF)
+
+
+@query
+def option_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that form options get from labels, here part names and event kinds."""
+    parts = star.read(spark, sf_dir, "part")
+    label = F.concat_ws(" / ", "p_name", "p_type", "p_brand")
+    return parts.select("p_partkey", naming.option_key(label).alias("option_key"))
+
+
+# Presence and cost
+
+
+@query
+def punctuality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.punctuality(star.tables(spark, sf_dir), star.AS_OF)
+
+
+@query
+def checkin_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.checkin_eligibility(star.tables(spark, sf_dir), presence.CheckinPolicy(radius_m=60, slack_min=15))
+
+
+@query
+def waiting_for_checkin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts never punched: stamps of the evenly numbered are taken away first."""
+    tables = star.tables(spark, sf_dir)
+    stamp = F.when(F.col("appointment_id") % 2 == 1, F.col("checked_in_at"))
+    tables = tables.replace(appointments=tables.appointments.withColumn("checked_in_at", stamp))
+    return presence.waiting_for_checkin(tables, star.AS_OF)
+
+
+@query
+def worker_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.worker_hours(_shifts(spark, sf_dir).where(F.col("actual_out") >= F.col("actual_in")))
+
+
+def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reads = star.submission_records(star.read(spark, sf_dir, "events"), star.booking_count(spark, sf_dir))
+    return usage.metered_cost(usage.usage_records(star.tables(spark, sf_dir), reads.unionByName(reads)))
+
+
+@query
+def usage_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _costs(spark, sf_dir)
+
+
+@query
+def cost_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.cost_by_month(_costs(spark, sf_dir))
+
+
+@query
+def cost_by_appointment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.cost_by_appointment(_costs(spark, sf_dir))
+
+
+# Lookups
+
+
+@query
+def commissions_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.commissions_expiring(star.tables(spark, sf_dir), star.AS_OF.date())
+
+
+@query
+def trips_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.trips_between(star.tables(spark, sf_dir), dt.date(1998, 9, 1), dt.date(1998, 9, 30))
+
+
+@query
+def find_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.find_clients(star.tables(spark, sf_dir), "customer#00000001", active_only=True)
+
+
+@query
+def active_notaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.active_notaries(star.tables(spark, sf_dir))
+
+
+@query
+def shifts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lookups.shifts_between(_shifts(spark, sf_dir), dt.date(2024, 1, 5), dt.date(2024, 1, 11))
+    return lookups.with_punches(rows).select("shift_id", "worker_id", "work_date", "punch_count")
+
+
+@query
+def find_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.find_journal(star.tables(spark, sf_dir), "Book 3", 112)
+
+
+@query
+def journal_for_no_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal pointers of appointments where nobody signed: there should be none in life."""
+    tables = star.tables(spark, sf_dir)
+    return lookups.journal_for(tables, tables.appointments.where(F.col("status") == "no_show"))
+
+
+# Upkeep
+
+
+@query
+def change_client_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title offices pay 10 more from now on; what is booked keeps its fees."""
+    tables = star.tables(spark, sf_dir)
+    fees = tables.clients.where(F.col("client_type") == "title_escrow").select(
+        "client_id", (F.col("default_signing_fee") + 10).alias("default_signing_fee"),
+        F.lit(None).cast("decimal(12,2)").alias("default_trip_fee"),
+    )
+    after = upkeep.change_client_fees(tables, fees, star.AS_OF)
+    owed = views.receivables_by_client(after).select("client_id", "total_billable")
+    return after.clients.select("client_id", "default_signing_fee", "default_trip_fee", "updated_at").join(
+        owed, "client_id", "left"
+    )
+
+
+@query
+def deactivate_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    gone = tables.clients.where(F.col("client_type") == "direct")
+    return upkeep.deactivate_clients(tables, gone, star.AS_OF).clients.select("client_id", "is_active", "updated_at")
+
+
+def _row_ids(tables: Tables) -> DataFrame:
+    """What each row of the changed tables still points at."""
+    none = F.lit(None).cast("bigint")
+    parts = [
+        tables.appointments.select(
+            F.lit("appointments").alias("table_name"), F.col("appointment_id").alias("id"),
+            F.col("notary_id").alias("a"), F.col("rescheduled_from").alias("b")),
+        tables.payouts.select(F.lit("payouts"), "payout_id", "notary_id", "appointment_id"),
+        tables.invoices.select(F.lit("invoices"), "invoice_id", "client_id", none),
+        tables.clients.select(F.lit("clients"), "client_id", none, none),
+        tables.notaries.select(F.lit("notaries"), "notary_id", none, none),
+        tables.journal_index.select(F.lit("journal_index"), "entry_id", "appointment_id", none),
+        tables.mileage.select(F.lit("mileage"), "trip_id", "appointment_id", none),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.union(part)
+    return union
+
+
+@query
+def delete_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every attorney's account is deleted, with all that hangs on it."""
+    tables = star.tables(spark, sf_dir)
+    return _row_ids(upkeep.delete_clients(tables, tables.clients.where(F.col("client_type") == "attorney")))
+
+
+@query
+def delete_notaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return _row_ids(upkeep.delete_notaries(tables, tables.notaries.where(F.col("is_active") == 0)))
+
+
+@query
+def delete_appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return _row_ids(upkeep.delete_appointments(tables, tables.appointments.where(F.col("status") == "cancelled")))
+
+
+@query
+def blocked_place_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that cannot go while appointments refer to them."""
+    tables = star.tables(spark, sf_dir)
+    return upkeep.delete_places(tables, tables.places)[1]
+
+
+# Quality and privacy
+
+
+@query
+def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.all_violations(star.faulty_tables(spark, sf_dir))
+
+
+@query
+def start_text_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start texts as they come in, some with offsets, short years or odd hours."""
+    rows = star.raw_appointments(spark, sf_dir)
+    text, key = times.local_text("scheduled_start"), F.col("appointment_id")
+    said = (
+        F.when(key % 9 == 0, F.concat(text, F.lit("-05:00")))
+        .when(key % 9 == 1, F.concat(text, F.lit("Z")))
+        .when(key % 9 == 2, F.replace(text, F.lit("T"), F.lit(" ")))
+        .when(key % 9 == 3, F.concat(F.substring(text, 1, 11), F.lit("29:00")))
+        .when(key % 9 == 4, F.concat(F.substring(text, 1, 16), F.lit("PM")))
+        .when(key % 9 == 5, F.substring(text, 1, 16))
+        .otherwise(text)
+    )
+    return quality.check_start_text(rows.select("appointment_id", said.alias("said")), "appointment_id", "said")
+
+
+@query
+def existing_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.existing_for(star.tables(spark, sf_dir), _address_requests(spark, sf_dir), "places")
+
+
+@query
+def existing_payouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payouts asked for again: the one already there."""
+    tables = star.tables(spark, sf_dir)
+    asked = tables.appointments.select(F.col("appointment_id").alias("request_id"), "appointment_id")
+    return quality.existing_for(tables, asked, "payouts")
+
+
+@query
+def find_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outbound texts, some of them spoiled with private data."""
+    tables = star.tables(spark, sf_dir)
+    key = F.col("appointment_id")
+    name = F.concat(F.lit("Signer "), key.cast("string"))
+    spoiled = privacy.outbound_texts(tables).withColumns({
+        "outbound_event_title": F.when(key % 19 == 0, F.concat("outbound_event_title", F.lit(" for "), name))
+        .otherwise(F.col("outbound_event_title")),
+        "outbound_location_name": F.when(key % 23 == 0, F.concat("outbound_location_name", F.lit(" 123-45-6789")))
+        .when(key % 29 == 0, F.concat("outbound_location_name", F.lit(" Loan #: 0081")))
+        .otherwise(F.col("outbound_location_name")),
+    })
+    return privacy.find_leaks(spoiled, tables)
+
+
+@query
+def sensitive_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts searched for identity and loan numbers."""
+    return privacy.sensitive_notes(star.read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# Text
+
+
+@query
+def extract_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = confirmations.extract_confirmations(star.confirmations(spark, sf_dir), 2026)
+    return fields.withColumn("missing_fields", F.array_join("missing_fields", ","))
+
+
+@query
+def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken values back in house form."""
+    rows = star.raw_appointments(spark, sf_dir)
+    text, key = times.local_text("scheduled_start"), F.col("appointment_id")
+    hour, minute = F.hour("scheduled_start"), F.minute("scheduled_start")
+    clock = F.concat(
+        F.when(hour > 12, hour - 12).otherwise(hour).cast("string"),
+        F.when(minute > 0, F.format_string(":%02d", minute)).otherwise(""),
+        F.when(hour >= 12, "pm").otherwise("am"),
+    )
+    said_type = F.when(F.col("signing_type") == "refinance", " Refi").when(
+        F.col("signing_type") == "loan_mod", "Loan Mod").otherwise(F.col("signing_type"))
+    said_start = F.when(key % 3 == 0, F.concat(text, F.lit("-05:00"))).when(
+        key % 3 == 1, F.concat(text, F.lit("Z"))).otherwise(text)
+    return rows.select(
+        "appointment_id", confirmations.canonical("signing_type", said_type).alias("signing_type"),
+        confirmations.without_offset(said_start).alias("start_text"),
+        confirmations.start_clock(clock).alias("start_clock"),
+    )
+
+
+@query
+def normalized_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as typed, their cache key and the label a new place would get."""
+    return _address_requests(spark, sf_dir).select(
+        "request_id", naming.normalized_address().alias("normalized_address"), naming.place_label().alias("place_label")
+    )
+
+
+# Streams
+
+
+def _stream_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record feed with every tenth record sent twice."""
+    events = star.events_stream(spark, sf_dir)
+    records = star.submission_records(events, star.booking_count(spark, sf_dir)).withColumn(
+        "submitted_at", F.col("submitted_at").cast("timestamp")
+    )
+    again = F.when(F.col("submission_id") % 10 == 0, 2).otherwise(1)
+    return records.withColumn("_copy", F.explode(F.sequence(F.lit(1), again))).drop("_copy")
+
+
+@query
+def stream_submissions_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = streams.submissions_once(_stream_submissions(spark, sf_dir))
+    return streams.run_to_files(once, "submissions").select("submission_id", "worker_id", "submitted_at", "outcome")
+
+
+@query
+def stream_commands_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event creation commands, each retried once."""
+    events = star.events_stream(spark, sf_dir)
+    commands = events.select(
+        naming.idempotency_key("event", "event_id").alias("idempotency_key"),
+        F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("issued_at"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"),
+    ).drop("attempt")
+    return streams.run_to_files(streams.commands_once(commands), "commands")
+
+
+@query
+def stream_time_on_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_to_files(streams.time_on_site(star.punches(star.events_stream(spark, sf_dir))), "time-on-site")
+
+
+@query
+def stream_missing_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_to_files(streams.missing_checkout(star.punches(star.events_stream(spark, sf_dir))), "no-checkout")
+
+
+@query
+def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streams.run_to_files(streams.daily_counts(star.punches(star.events_stream(spark, sf_dir))), "daily")
+
+
+@query
+def stream_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records streamed into a change log, which is then folded into the table."""
+    tables = star.tables(spark, sf_dir)
+    base = scratch_path(spark, "completions")
+    records = streams.submissions_once(_stream_submissions(spark, sf_dir)).drop("appointment_id")
+    updates = streams.completion_updates(records, tables)
+    streams.write_change_log(updates, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    log = spark.read.schema(updates.schema).parquet(f"{base}/log")
+    newest = changes.latest_per_key(log, ["appointment_id"], ["submission_id"])
+    after = changes.apply_changes(
+        conform(tables.appointments, "appointments"), newest, "appointment_id",
+        as_of=star.AS_OF, keep_when_null=completion.KEPT_WHEN_ABSENT,
+    )
+    return after.select("appointment_id", "status", "outcome", "submission_id", "dropped_at", "notes")

@@ -220,3 +220,202 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         settings=partial(star_settings, spark),
         **{build.__name__: partial(build, spark, sf_dir) for build in built},
     )
+
+
+# Feeds
+
+
+def _shift_id(user: Column, ts: Column) -> Column:
+    """One shift per user and calendar day, in the id range appointments use."""
+    day = F.date_diff(F.to_date(ts), F.lit("2024-01-01").cast("date"))
+    return F.lit(8000000000) + user * 31 + day
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
+
+
+def punches(events: DataFrame) -> DataFrame:
+    """Check-in and check-out punches, from a batch or a stream of events."""
+    return events.where(F.col("event_type").isin("click", "purchase")).select(
+        "event_id",
+        _shift_id(F.col("user_id"), F.col("ts")).alias("shift_id"),
+        F.col("user_id").alias("worker_id"),
+        F.when(F.col("event_type") == "click", "in").otherwise("out").alias("type"),
+        F.floor("value").cast("int").alias("distance_from_site_m"),
+        (F.col("event_id") % 7 != 0).alias("gps_verified"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+
+
+OUTCOME_LABELS = [
+    "Completed", "Borrower no-show", "Signer refused / declined",
+    "Rescheduled on site", "Documents issue - not signed", "Partial - some docs signed",
+]
+
+
+def submission_records(events: DataFrame, bookings: Column) -> DataFrame:
+    """One completion record per event, about the event's appointment."""
+    key = F.col("event_id")
+    label = F.element_at(F.array(*[F.lit(x) for x in OUTCOME_LABELS]), (key % 6 + 1).cast("int"))
+    appointment = key % bookings
+    return events.select(
+        key.alias("submission_id"),
+        F.col("user_id").alias("worker_id"),
+        appointment.alias("appointment_id"),
+        (F.lit(7000000000) + appointment).alias("event_ext_id"),
+        F.date_trunc("second", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("submitted_at"),
+        naming.option_key(label).alias("outcome"),
+        F.get_json_object("props", "$.k").cast("int").alias("docs_notarized"),
+        F.when(key % 3 == 0, "not_required").when(key % 3 == 1, "sent").otherwise("pending").alias("scanbacks"),
+        F.when(key % 4 == 1, _text("7712 ", key)).alias("tracking_no"),
+        F.when(key % 5 == 2, _text("issue ", key)).alias("issues"),
+        F.when((key % 6).isin(1, 2, 4), _text("waited ", key % 60, " min")).alias("no_sign_details"),
+        (key % 3).cast("int").alias("drop_receipts"),
+    )
+
+
+def booking_count(spark: SparkSession, sf_dir: str) -> Column:
+    return read(spark, sf_dir, "orders").agg(F.count(F.lit(1))).scalar()
+
+
+def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export bodies as JSON text: one record each, repeated in every tenth body,
+    cut off in every fiftieth."""
+    records = submission_records(read(spark, sf_dir, "events"), booking_count(spark, sf_dir))
+    photo = F.struct(F.lit("drop_receipt").alias("field"), F.lit("https://cdn.example/r.jpg").alias("cdn_url"))
+    record = F.struct(
+        "submission_id", "worker_id", F.col("event_ext_id").alias("event_id"),
+        F.col("submitted_at").cast("string").alias("submitted_at"),
+        F.struct(
+            "outcome", "docs_notarized", F.array(F.lit("state_driver_license")).alias("id_types"), "scanbacks",
+            "tracking_no", "issues", "no_sign_details",
+        ).alias("data"),
+        F.array_repeat(photo, F.col("drop_receipts")).alias("media"),
+    )
+    repeats = F.when(F.col("submission_id") % 10 == 0, 2).otherwise(1)
+    body = F.to_json(F.struct(F.array_repeat(record, repeats).alias("submissions")))
+    cut = F.concat(F.lit('{"submissions":[{"submission_id":'), F.col("submission_id").cast("string"))
+    return records.select(F.when(F.col("submission_id") % 50 == 7, cut).otherwise(body).alias("body"))
+
+
+def raw_shift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shift status replies as JSON text: first check-in and last check-out."""
+    events = read(spark, sf_dir, "events")
+    kind, ts = F.col("event_type"), F.col("ts")
+    punch = F.struct(
+        F.when(kind == "click", "in").otherwise("out").alias("type"),
+        (F.col("event_id") % 7 != 0).alias("gps_verified"),
+        F.floor("value").cast("int").alias("distance_from_site_m"),
+    )
+    shifts = events.groupBy(
+        _shift_id(F.col("user_id"), ts).alias("shift_id"), F.col("user_id").alias("worker_id")
+    ).agg(
+        F.min(F.when(kind == "click", ts)).alias("first_in"),
+        F.max(F.when(kind == "purchase", ts)).alias("last_out"),
+        F.min_by(punch, F.when(kind == "click", ts)).alias("punch_in"),
+        F.max_by(punch, F.when(kind == "purchase", ts)).alias("punch_out"),
+    )
+    return shifts.select(F.to_json(F.struct(
+        "shift_id", "worker_id",
+        F.when(F.col("last_out").isNotNull(), "checked_out").when(F.col("first_in").isNotNull(), "checked_in")
+        .otherwise("missed").alias("status"),
+        F.concat(times.local_text("first_in"), F.lit("+00:00")).alias("actual_in"),
+        F.concat(times.local_text("last_out"), F.lit("+00:00")).alias("actual_out"),
+        F.array_compact(F.array("punch_in", "punch_out")).alias("punches"),
+    )).alias("body"))
+
+
+def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confirmation messages written out from bookings, in three shapes."""
+    key = F.col("appointment_id")
+    place = places(spark, sf_dir).select("place_id", "address", "city", "state", "zip")
+    client = clients(spark, sf_dir).select("client_id", "client_name")
+    rows = lookup_join(raw_appointments(spark, sf_dir), place, "place_id", spread_by=["appointment_id"])
+    rows = lookup_join(rows, client, "client_id", spread_by=["appointment_id"])
+    start = F.col("scheduled_start")
+    hour, minute = F.hour(start), F.minute(start)
+    half = F.when(hour >= 12, "pm").otherwise("am")
+    hour12 = F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string")
+    long_clock = F.concat(hour12, F.format_string(":%02d ", minute), F.upper(half))
+    short_clock = F.concat(hour12, F.when(minute > 0, F.format_string(":%02d", minute)).otherwise(""), F.lit(" "), half)
+    month = F.element_at(F.array(F.lit("Sep"), F.lit("Oct")), F.month(start) - 8)
+    slash_date = _text(F.month(start), "/", F.dayofmonth(start))
+    said_type = F.replace(F.col("signing_type"), F.lit("_"), F.lit(" "))
+    fee, zip_ = F.col("signing_fee"), F.coalesce(F.concat(F.lit(" "), F.col("zip")), F.lit(""))
+    scans = F.col("scanbacks_required") == 1
+
+    dashed = F.concat_ws(
+        " — ",
+        F.concat(F.lit("Order "), F.col("client_order_ref")),
+        F.upper(said_type),
+        F.concat(F.lit("Borrower: Sam Signer, ("), F.regexp_replace("signer_phone", "^(\\d+)-", "$1) ")),
+        _text(month, " ", F.dayofmonth(start), ", 2026 ", long_clock, " PT"),
+        _text(F.col("address"), ", ", F.col("city"), F.coalesce(F.concat(F.lit(", "), F.col("state")), F.lit("")), zip_),
+        F.when(fee.isNotNull(), _text("Fee: $", fee, " + $25.00 print")),
+        F.when(scans, "Scanbacks REQUIRED within 1 hr"),
+        F.when(key % 2 == 0, "FedEx drop by 5:00 PM same day"),
+        _text("Loan #: 0081-", 50000 + key % 40000),
+    )
+    noted = F.concat(
+        F.col("client_name"), F.lit(" emailed: "), said_type, F.lit(" package, "), slash_date, F.lit(" "), short_clock,
+        F.lit(" at their office, "), F.col("address"), F.lit(", "), F.col("city"), zip_, F.lit("."),
+        F.coalesce(F.concat(F.lit(" File "), F.col("client_order_ref"), F.lit(".")), F.lit("")),
+        F.coalesce(_text(" $", fee, ", they print,"), F.lit(" They print,")),
+        F.when(scans, " scanbacks.").otherwise(" no scanbacks."),
+    )
+    comma = F.concat_ws(
+        ", ",
+        F.concat(F.col("client_name"), F.coalesce(F.concat(F.lit(" order "), F.col("client_order_ref")), F.lit(" order"))),
+        F.when(F.col("signing_type") == "refinance", "refi").otherwise(said_type),
+        F.concat(slash_date, F.lit(" "), short_clock),
+        F.concat(F.lit("borrower Sam Signer "), F.col("signer_phone")),
+        F.concat(F.col("address"), F.lit(" "), F.col("city"), zip_),
+        F.when(fee.isNotNull(), _text("$", fee, " + $25 print")),
+        F.when(scans, "scanbacks"),
+        F.when(key % 2 == 0, "UPS by 6:30 pm"),
+    )
+    return rows.select(
+        key.alias("message_id"),
+        F.when(key % 3 == 0, dashed).when(key % 3 == 1, noted).otherwise(comma).alias("text"),
+    )
+
+
+# Rows with faults, for the quality rules
+
+
+def faulty_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables with some values broken in every way a rule looks for."""
+    t = tables(spark, sf_dir)
+
+    def broken(df: DataFrame, key: str, changes: dict[str, tuple[int, Column]]) -> DataFrame:
+        """Per column: every n-th row gets the given value."""
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        return df.withColumns({
+            c: F.when(F.col(key) % n == 0, value.cast(kinds[c])).otherwise(F.col(c))
+            for c, (n, value) in changes.items()
+        })
+
+    null, stray = F.lit(None), F.lit(10**12)
+    return t.replace(
+        clients=broken(t.clients, "client_id", {
+            "client_type": (11, F.lit("escrow company")), "client_name": (13, null)}),
+        places=broken(t.places, "place_id", {"normalized_address": (10, F.lit("1 main st"))}),
+        notaries=broken(t.notaries, "notary_id", {
+            "payout_type": (9, F.lit("hourly")), "worker_ext_id": (7, F.lit(1))}),
+        appointments=broken(t.appointments, "appointment_id", {
+            "signing_type": (101, F.lit("refi")), "status": (103, F.lit("done")),
+            "duration_minutes": (107, F.lit(10)), "place_id": (109, stray), "notary_id": (113, stray),
+            "client_id": (127, null), "appointment_no": (131, F.lit("A-DUP")), "shift_ext_id": (137, F.lit(42)),
+            "rescheduled_from": (139, stray),
+        }).withColumn("duration_minutes", F.when(F.col("appointment_id") % 149 == 0, 480 * 2)
+                      .otherwise(F.col("duration_minutes"))),
+        journal_index=broken(t.journal_index, "entry_id", {
+            "act_type": (151, F.lit("ack")), "act_count": (157, F.lit(0)), "appointment_id": (163, stray)}),
+        mileage=broken(t.mileage, "trip_id", {
+            "miles": (167, F.lit(-1)), "appointment_id": (173, stray)}),
+        invoices=broken(t.invoices, "invoice_id", {
+            "client_id": (179, stray), "invoice_number": (181, F.lit("INV-DUP"))}),
+        payouts=broken(t.payouts, "payout_id", {"notary_id": (17, F.lit(0)), "appointment_id": (191, F.lit(1))}),
+    )
