@@ -378,7 +378,7 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.select(
         key.alias("message_id"),
-        F.when(key % 3 == 0, dashed).when(key % 3 == 1, noted).otherwise(comma).alias("text"),
+        F.when(key % 9 < 3, dashed).when(key % 9 < 6, noted).otherwise(comma).alias("text"),
     )
 
 
