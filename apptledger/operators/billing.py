@@ -14,6 +14,7 @@ from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
 from apptledger.plans.views import priced
+from apptledger.session import materialized
 from apptledger.settings import setting
 
 # A document never holds more lines than this. An invoice within the limit is one
@@ -133,7 +134,7 @@ def apply_invoice_run(tables: Tables, as_of: dt.datetime, client_ids: DataFrame
     An invoice kept in one document carries its JSON on the row; for a longer one
     the parts of ``invoice_documents`` hold it.
     """
-    headers = invoice_run(tables, as_of, client_ids)
+    headers = materialized(invoice_run(tables, as_of, client_ids), "invoice-run")
     whole = invoice_documents(tables, headers).where(F.col("part_no") == 0).select("invoice_id", "line_items")
     rows = headers.join(whole, "invoice_id", "left").withColumns({
         "paid": F.lit(0), "created_at": times.local_literal(as_of),

@@ -46,14 +46,21 @@ def lookup_join(
 
 
 def spread_join(
-    facts: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner", *, spread_by: list[str]
+    facts: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "inner",
+    *,
+    spread_by: list[str],
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Shuffle join that splits keys holding more than a partition's share.
 
     At most one key per partition can exceed that share, so the list of hot keys
     has a fixed bound and their copies add up to at most twice the partitions.
     The split hashes ``spread_by``, so a task that is run again sends each row to
-    the same place.
+    the same place. ``counts`` may hand in the rows per key (``*on, _rows``) when
+    they are computed anyway.
     """
     spark = facts.sparkSession
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -61,7 +68,8 @@ def spread_join(
     for key in on:
         known = known & F.col(key).isNotNull()
 
-    counts = facts.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    if counts is None:
+        counts = facts.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     share = counts.agg((F.sum("_rows") / F.lit(slots)).alias("share")).scalar()
     hot = (
         counts.where(F.col("_rows") > share)

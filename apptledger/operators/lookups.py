@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptledger.functions import times
@@ -65,3 +65,15 @@ def journal_for(tables: Tables, appointment_ids: DataFrame) -> DataFrame:
     return tables.journal_index.join(wanted, "appointment_id", "left_semi").select(
         "entry_id", "appointment_id", "journal_book", "entry_no", "act_type", "act_count"
     )
+
+
+def newest_records(submissions: DataFrame, by: str = "event_ext_id", limit: int = 5) -> DataFrame:
+    """The newest records per event (or per ``by``).
+
+    Spark cuts each task's rows to the limit before the shuffle, so a key with
+    very many records costs no more than others.
+    """
+    newest_first = Window.partitionBy(by).orderBy(F.desc("submitted_at"), F.desc("submission_id"))
+    return submissions.withColumn("_rank", F.row_number().over(newest_first)).where(
+        F.col("_rank") <= limit
+    ).drop("_rank")

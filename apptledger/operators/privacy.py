@@ -27,6 +27,7 @@ SENSITIVE_PATTERNS = {
     "social_security": r"\b\d{3}-\d{2}-\d{4}\b",
     "loan_number": r"(?i)\bloan\s*(#|no\.?|number)\s*:?\s*\w",
     "id_number": r"(?i)\b(licen[sc]e|passport|id)\s*(#|no\.?|number)\s*:?\s*\w",
+    "long_number": r"(?:^|[^0-9A-Za-z])\d{12,19}(?:$|[^0-9A-Za-z])",
 }
 
 

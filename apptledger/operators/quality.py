@@ -160,20 +160,23 @@ def check_unique(tables: Tables) -> DataFrame:
 
 
 def check_references(tables: Tables) -> DataFrame:
-    def orphans(child: str, column: str, parent: str) -> DataFrame:
-        parent_key = PRIMARY_KEYS[parent]
-        known = getattr(tables, parent).select(F.col(parent_key).alias("_ref"), F.lit(1).alias("_found"))
-        child_key = PRIMARY_KEYS[child]
-        rows = getattr(tables, child).where(F.col(column).isNotNull()).select(
-            child_key, F.col(column).alias("_ref")
+    """Ids that point at no row. All references to one parent are checked in one join."""
+    def references(child: str, column: str) -> DataFrame:
+        return getattr(tables, child).where(F.col(column).isNotNull()).select(
+            F.lit(child).alias("table_name"), F.col(PRIMARY_KEYS[child]).cast("string").alias("key"),
+            F.lit(column).alias("_column"), F.col(column).alias("_ref"),
         )
-        joined = lookup_join(rows, known, "_ref", "left", spread_by=[child_key], bound=getattr(tables, parent))
-        return _broken(
-            joined.where(F.col("_found").isNull()), "reference", child,
-            F.concat(F.lit(f"{column}="), F.col("_ref").cast("string")),
+
+    def orphans(parent: str) -> DataFrame:
+        pointing = _union([references(child, column) for child, column, p in REFERENCES if p == parent])
+        known = getattr(tables, parent).select(F.col(PRIMARY_KEYS[parent]).alias("_ref"), F.lit(1).alias("_found"))
+        joined = lookup_join(pointing, known, "_ref", "left", spread_by=["table_name", "key"])
+        return joined.where(F.col("_found").isNull()).select(
+            F.lit("reference").alias("rule"), "table_name", "key",
+            F.concat("_column", F.lit("="), F.col("_ref").cast("string")).alias("detail"),
         )
 
-    return _union([orphans(*reference) for reference in REFERENCES])
+    return _union([orphans(parent) for parent in dict.fromkeys(p for _, _, p in REFERENCES)])
 
 
 def check_owner_payouts(tables: Tables) -> DataFrame:

@@ -11,6 +11,7 @@ from apptledger.functions import times
 from apptledger.model import Tables
 from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
+from apptledger.session import materialized
 
 FEE_DEFAULTS = ["default_signing_fee", "default_print_fee", "default_trip_fee", "default_no_sign_fee"]
 
@@ -34,54 +35,55 @@ def update_settings(tables: Tables, values: DataFrame) -> Tables:
     return tables.replace(settings=apply_changes(tables.settings, values, "key", insert=True))
 
 
-def _marked(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str], bound: DataFrame) -> DataFrame:
+def _ids(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct ids to delete, computed once for the several tables they touch."""
+    return materialized(rows.select(column).distinct(), "deleted-ids")
+
+
+def _marked(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str]) -> DataFrame:
     """``rows`` with ``_gone = 1`` where ``column`` is among ``ids``."""
-    gone = ids.toDF(column).distinct().withColumn("_gone", F.lit(1))
-    return lookup_join(rows, gone, column, "left", spread_by=spread_by, bound=bound)
+    gone = ids.toDF(column).withColumn("_gone", F.lit(1))
+    return lookup_join(rows, gone, column, "left", spread_by=spread_by, bound=ids)
 
 
-def _without(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str], bound: DataFrame) -> DataFrame:
-    marked = _marked(rows, ids, column, spread_by, bound)
-    return marked.where(F.col("_gone").isNull()).select(*rows.columns)
+def _without(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str]) -> DataFrame:
+    return _marked(rows, ids, column, spread_by).where(F.col("_gone").isNull()).select(*rows.columns)
 
 
-def _cleared(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str], bound: DataFrame) -> DataFrame:
-    marked = _marked(rows, ids, column, spread_by, bound)
+def _cleared(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str]) -> DataFrame:
+    marked = _marked(rows, ids, column, spread_by)
     return marked.withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*rows.columns)
 
 
 def delete_appointments(tables: Tables, ids: DataFrame) -> Tables:
     """Removes their journal pointers and payouts; trips and replacements lose the link."""
-    ids = ids.select("appointment_id")
-    known = tables.appointments
-    left = _without(tables.appointments, ids, "appointment_id", ["appointment_id"], known)
+    ids = _ids(ids, "appointment_id")
+    left = _without(tables.appointments, ids, "appointment_id", ["appointment_id"])
     return tables.replace(
-        appointments=_cleared(left, ids, "rescheduled_from", ["appointment_id"], known),
-        journal_index=_without(tables.journal_index, ids, "appointment_id", ["entry_id"], known),
-        payouts=_without(tables.payouts, ids, "appointment_id", ["payout_id"], known),
-        mileage=_cleared(tables.mileage, ids, "appointment_id", ["trip_id"], known),
+        appointments=_cleared(left, ids, "rescheduled_from", ["appointment_id"]),
+        journal_index=_without(tables.journal_index, ids, "appointment_id", ["entry_id"]),
+        payouts=_without(tables.payouts, ids, "appointment_id", ["payout_id"]),
+        mileage=_cleared(tables.mileage, ids, "appointment_id", ["trip_id"]),
     )
 
 
 def delete_clients(tables: Tables, ids: DataFrame) -> Tables:
     """Removes their appointments, with all that hangs on those, and invoices."""
-    ids = ids.select("client_id")
-    doomed = _marked(tables.appointments, ids, "client_id", ["appointment_id"], tables.clients).where(
-        F.col("_gone") == 1
-    )
+    ids = _ids(ids, "client_id")
+    doomed = _marked(tables.appointments, ids, "client_id", ["appointment_id"]).where(F.col("_gone") == 1)
     return delete_appointments(tables, doomed).replace(
-        clients=tables.clients.join(ids.distinct(), "client_id", "left_anti"),
-        invoices=_without(tables.invoices, ids, "client_id", ["invoice_id"], tables.clients),
+        clients=tables.clients.join(ids, "client_id", "left_anti"),
+        invoices=_without(tables.invoices, ids, "client_id", ["invoice_id"]),
     )
 
 
 def delete_notaries(tables: Tables, ids: DataFrame) -> Tables:
     """Removes their payouts; their appointments lose the worker."""
-    ids = ids.select("notary_id")
+    ids = _ids(ids, "notary_id")
     return tables.replace(
-        notaries=tables.notaries.join(ids.distinct(), "notary_id", "left_anti"),
-        payouts=_without(tables.payouts, ids, "notary_id", ["payout_id"], tables.notaries),
-        appointments=_cleared(tables.appointments, ids, "notary_id", ["appointment_id"], tables.notaries),
+        notaries=tables.notaries.join(ids, "notary_id", "left_anti"),
+        payouts=_without(tables.payouts, ids, "notary_id", ["payout_id"]),
+        appointments=_cleared(tables.appointments, ids, "notary_id", ["appointment_id"]),
     )
 
 

@@ -17,6 +17,7 @@ from apptledger.operators import (
     billing,
     changes,
     completion,
+    joins,
     lookups,
     payouts,
     places,
@@ -304,9 +305,11 @@ def fill_payout_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key an appointment's outbound calls use."""
     tables = star.tables(spark, sf_dir)
-    return tables.appointments.join(
-        F.broadcast(tables.notaries.select("notary_id", "email")), "notary_id", "left"
-    ).select(
+    rows = joins.lookup_join(
+        tables.appointments, tables.notaries.select("notary_id", "email"), "notary_id", "left",
+        spread_by=["appointment_id"],
+    )
+    return rows.select(
         "appointment_id",
         naming.idempotency_key("location", "place_id").alias("location_key"),
         naming.idempotency_key("event", "appointment_id").alias("event_key"),
@@ -603,6 +606,13 @@ def cost_by_appointment(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lookups
 
 
+@query
+def newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each worker's five newest completion records."""
+    once = changes.latest_per_key(_submissions(spark, sf_dir), ["submission_id"], ["submitted_at"])
+    return lookups.newest_records(once, by="worker_id").select("worker_id", "submission_id", "submitted_at", "outcome")
+
+
 @query
 def commissions_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.commissions_expiring(star.tables(spark, sf_dir), star.AS_OF.date())

@@ -224,6 +224,28 @@ def no_show_evidence(tables: Tables) -> DataFrame:
     )
 
 
+# The order each view is listed in. Sorting is for display only.
+LISTED_BY = {
+    "appointments_today": [F.asc, ["scheduled_start"]],
+    "appointments_upcoming": [F.asc, ["scheduled_start"]],
+    "drops_due": [F.asc, ["drop_deadline"]],
+    "receivables_by_client": [F.desc, ["total_billable"]],
+    "invoices_outstanding": [F.asc, ["due_date"]],
+    "mileage_by_month": [F.desc, ["month"]],
+    "payouts_due": [F.asc, ["notary_name", "appointment_date"]],
+    "payouts_missing": [F.asc, ["appointment_date"]],
+    "no_show_evidence": [F.desc, ["scheduled_start"]],
+}
+
+
+def listed(name: str, rows: DataFrame) -> DataFrame:
+    """A view's rows in the order it is read in."""
+    if name not in LISTED_BY:
+        return rows
+    direction, columns = LISTED_BY[name]
+    return rows.orderBy(*[direction(c) for c in columns])
+
+
 def register_views(spark: SparkSession, tables: Tables, as_of: dt.datetime) -> None:
     """Make every table and view readable by name from SQL."""
     for name in Tables.names():
