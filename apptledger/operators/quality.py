@@ -78,30 +78,71 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _row_rules(tables: Tables, table: str, rules: list[tuple[str, Column, Column]]) -> DataFrame:
-    """Several per-row rules in one pass: an array of the broken ones, exploded."""
-    found = F.filter(
-        F.array(*[
-            F.when(~F.coalesce(holds, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
-            for rule, holds, detail in rules
-        ]),
-        lambda x: x.isNotNull(),
-    )
-    key = F.col(PRIMARY_KEYS[table]).cast("string").alias("key")
-    return getattr(tables, table).select(key, F.explode(found).alias("x")).select(
-        F.col("x.rule").alias("rule"), F.lit(table).alias("table_name"), "key", F.col("x.detail").alias("detail")
-    )
-
-
 def _named(column: str) -> Column:
     return F.concat(F.lit(f"{column}="), F.coalesce(F.col(column).cast("string"), F.lit("NULL")))
 
 
+# A row rule: its name, the table, the test that must hold, what to report.
+RowRule = tuple[str, str, Column, Column]
+
+
+def enum_rules() -> list[RowRule]:
+    return [
+        ("enum", table, F.col(column).isin(allowed), _named(column)) for (table, column), allowed in ENUMS.items()
+    ]
+
+
+def range_rules() -> list[RowRule]:
+    return [
+        ("range", "appointments", F.col("duration_minutes").between(15, 480), _named("duration_minutes")),
+        ("range", "journal_index", F.col("act_count") >= 1, _named("act_count")),
+        ("range", "mileage", F.col("miles") >= 0, _named("miles")),
+    ]
+
+
+def required_rules() -> list[RowRule]:
+    return [
+        ("required", table, F.col(column).isNotNull(), F.lit(column))
+        for table, columns in REQUIRED.items() for column in columns
+    ]
+
+
+def single_day_rules() -> list[RowRule]:
+    """An appointment ends after it starts and on the same date."""
+    end = times.plus_minutes("scheduled_start", "duration_minutes")
+    holds = (end > F.col("scheduled_start")) & (F.to_date(end) == F.to_date("scheduled_start"))
+    return [("single_day", "appointments", holds, times.local_text(end))]
+
+
+def check_rows(tables: Tables, rules: list[RowRule]) -> DataFrame:
+    """All row rules in one pass over each table they concern."""
+    def broken_in(table: str) -> DataFrame:
+        found = F.array_compact(F.array(*[
+            F.when(~F.coalesce(holds, F.lit(True)), F.struct(F.lit(rule).alias("rule"), detail.alias("detail")))
+            for rule, of, holds, detail in rules if of == table
+        ]))
+        key = F.col(PRIMARY_KEYS[table]).cast("string").alias("key")
+        return getattr(tables, table).select(key, F.inline(found)).select(
+            "rule", F.lit(table).alias("table_name"), "key", "detail"
+        )
+
+    return _union([broken_in(table) for table in dict.fromkeys(table for _, table, _, _ in rules)])
+
+
 def check_enums(tables: Tables) -> DataFrame:
-    by_table: dict[str, list] = {}
-    for (table, column), allowed in ENUMS.items():
-        by_table.setdefault(table, []).append(("enum", F.col(column).isin(allowed), _named(column)))
-    return _union([_row_rules(tables, table, rules) for table, rules in by_table.items()])
+    return check_rows(tables, enum_rules())
+
+
+def check_ranges(tables: Tables) -> DataFrame:
+    return check_rows(tables, range_rules())
+
+
+def check_required(tables: Tables) -> DataFrame:
+    return check_rows(tables, required_rules())
+
+
+def check_single_day(tables: Tables) -> DataFrame:
+    return check_rows(tables, single_day_rules())
 
 
 def is_local_start(text: Column | str) -> Column:
@@ -127,22 +168,6 @@ def check_start_text(raw: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def check_ranges(tables: Tables) -> DataFrame:
-    return _union([
-        _row_rules(tables, "appointments", [
-            ("range", F.col("duration_minutes").between(15, 480), _named("duration_minutes"))]),
-        _row_rules(tables, "journal_index", [("range", F.col("act_count") >= 1, _named("act_count"))]),
-        _row_rules(tables, "mileage", [("range", F.col("miles") >= 0, _named("miles"))]),
-    ])
-
-
-def check_required(tables: Tables) -> DataFrame:
-    return _union([
-        _row_rules(tables, table, [("required", F.col(c).isNotNull(), F.lit(c)) for c in columns])
-        for table, columns in REQUIRED.items()
-    ])
-
-
 def check_unique(tables: Tables) -> DataFrame:
     """One row per repeated value, with how often it occurs."""
     def repeated(table: str, column: str) -> DataFrame:
@@ -186,26 +211,11 @@ def check_owner_payouts(tables: Tables) -> DataFrame:
     return _broken(rows, "owner_payout", "payouts", _named("notary_id"))
 
 
-def check_single_day(tables: Tables) -> DataFrame:
-    """The window ends after it starts and on the same date."""
-    end = times.plus_minutes("scheduled_start", "duration_minutes")
-    holds = (end > F.col("scheduled_start")) & (F.to_date(end) == F.to_date("scheduled_start"))
-    return _row_rules(tables, "appointments", [("single_day", holds, times.local_text(end))])
-
-
-RULES = {
-    "enums": check_enums,
-    "ranges": check_ranges,
-    "required": check_required,
-    "unique": check_unique,
-    "references": check_references,
-    "owner_payouts": check_owner_payouts,
-    "single_day": check_single_day,
-}
-
-
 def all_violations(tables: Tables) -> DataFrame:
-    return _union([rule(tables) for rule in RULES.values()])
+    rules = [*enum_rules(), *range_rules(), *required_rules(), *single_day_rules()]
+    return _union([
+        check_rows(tables, rules), check_unique(tables), check_references(tables), check_owner_payouts(tables),
+    ])
 
 
 def existing_for(tables: Tables, incoming: DataFrame, table: str) -> DataFrame:

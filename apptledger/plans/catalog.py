@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from apptledger.functions import naming, times
 from apptledger.functions.times import local_text
-from apptledger.model import Tables, conform
+from apptledger.model import Tables
 from apptledger.operators import (
     admission,
     billing,
@@ -732,8 +732,8 @@ def all_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def start_text_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Start texts as they come in, some with offsets, short years or odd hours."""
-    rows = star.raw_appointments(spark, sf_dir)
+    """Start texts as they come in, some with offsets, spaces or odd hours."""
+    rows = star.spread(star.raw_appointments(spark, sf_dir), "appointment_id")
     text, key = times.local_text("scheduled_start"), F.col("appointment_id")
     said = (
         F.when(key % 9 == 0, F.concat(text, F.lit("-05:00")))
@@ -794,7 +794,7 @@ def extract_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def canonical_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spoken values back in house form."""
-    rows = star.raw_appointments(spark, sf_dir)
+    rows = star.spread(star.raw_appointments(spark, sf_dir), "appointment_id")
     text, key = times.local_text("scheduled_start"), F.col("appointment_id")
     hour, minute = F.hour("scheduled_start"), F.minute("scheduled_start")
     clock = F.concat(
@@ -873,12 +873,7 @@ def stream_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = star.tables(spark, sf_dir)
     base = scratch_path(spark, "completions")
     records = streams.submissions_once(_stream_submissions(spark, sf_dir)).drop("appointment_id")
-    updates = streams.completion_updates(records, tables)
-    streams.write_change_log(updates, f"{base}/log", f"{base}/checkpoint").awaitTermination()
-    log = spark.read.schema(updates.schema).parquet(f"{base}/log")
-    newest = changes.latest_per_key(log, ["appointment_id"], ["submission_id"])
-    after = changes.apply_changes(
-        conform(tables.appointments, "appointments"), newest, "appointment_id",
-        as_of=star.AS_OF, keep_when_null=completion.KEPT_WHEN_ABSENT,
-    )
-    return after.select("appointment_id", "status", "outcome", "submission_id", "dropped_at", "notes")
+    streams.write_completion_log(records, tables, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    return streams.fold_completion_log(tables, f"{base}/log", star.AS_OF).appointments.select(
+        "appointment_id", "status", "outcome", "submission_id", "dropped_at", "notes"
+    )

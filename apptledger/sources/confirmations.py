@@ -38,15 +38,22 @@ STREET = (
 ZIP = r"(?<![\d-])(\d{5})(?![\d-])"
 SIGNING_FEE = r"\$(\d+(?:\.\d{2})?)"
 PRINT_FEE = r"\+\s*\$(\d+(?:\.\d{2})?)\s*print"
-CARRIER = r"\b(FedEx|UPS)\b(?:\s+drop)?\s+by\b"
-DROP_CLOCK = r"\b(?:FedEx|UPS)\b(?:\s+drop)?\s+by\s+(\d{1,2}(?::\d{2})?\s*[AaPp]\.?[Mm])"
+SCANBACKS = r"(?i)\b(?:no\s+)?scan-?backs?\b"
+THEY_PRINT = r"(?i)\bthey print\b"
+DROP = r"\b(FedEx|UPS)\b(?:\s+drop)?\s+by\s+\d{1,2}(?::\d{2})?\s*[AaPp]\.?[Mm]\b"
 CLIENT = r"^(.+?)\s+(?:emailed|order)\b"
 
 REQUIRED_FIELDS = ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
 
 
+def mention(text: Column | str, pattern: str) -> Column:
+    """The whole first match, NULL when there is none. Groups are then taken from
+    this short piece, so the message itself is searched once per pattern."""
+    return F.regexp_substr(times.col(text), F.lit(pattern))
+
+
 def found(text: Column | str, pattern: str, group: int = 1) -> Column:
-    """The first match, NULL when there is none."""
+    """A group of the first match, NULL when there is none."""
     return F.nullif(F.regexp_extract(times.col(text), pattern, group), F.lit(""))
 
 
@@ -57,7 +64,7 @@ def canonical(field: str, said: Column | str) -> Column:
 
 
 def clock_minutes(text: Column | str) -> Column:
-    """Minutes after midnight of the first 12-hour clock time in a text."""
+    """Minutes after midnight of a 12-hour clock time."""
     hour = found(text, CLOCK, 1).cast("int")
     minute = F.coalesce(found(text, CLOCK, 2), F.lit("0")).cast("int")
     afternoon = F.lower(found(text, CLOCK, 3)) == "p"
@@ -77,36 +84,52 @@ def without_offset(text: Column | str) -> Column:
     return F.regexp_replace(times.col(text), r"(T\d{2}:\d{2}(?::\d{2})?)(?:Z|[+-]\d{2}:?\d{2})$", "$1")
 
 
-def mentioned_date(text: Column | str, default_year: int) -> Column:
+def mentioned_date(named: Column, slashed: Column, default_year: int) -> Column:
+    """The date of a ``Sep 8, 2026`` mention, else of a ``9/8`` one."""
     month = F.coalesce(
-        F.try_element_at(naming.literal_map(MONTHS), F.lower(found(text, NAMED_DATE, 1))),
-        F.lpad(found(text, SLASH_DATE, 1), 2, "0"),
+        F.try_element_at(naming.literal_map(MONTHS), F.lower(found(named, NAMED_DATE, 1))),
+        F.lpad(found(slashed, SLASH_DATE, 1), 2, "0"),
     )
-    day = F.lpad(F.coalesce(found(text, NAMED_DATE, 2), found(text, SLASH_DATE, 2)), 2, "0")
-    year = F.coalesce(found(text, NAMED_DATE, 3), found(text, SLASH_DATE, 3), F.lit(str(default_year)))
+    day = F.lpad(F.coalesce(found(named, NAMED_DATE, 2), found(slashed, SLASH_DATE, 2)), 2, "0")
+    year = F.coalesce(found(named, NAMED_DATE, 3), found(slashed, SLASH_DATE, 3), F.lit(str(default_year)))
     return F.concat(year, F.lit("-"), month, F.lit("-"), day).try_cast("date")
 
 
+# One search of the message per pattern.
+MENTIONS = {
+    "client": CLIENT, "order": ORDER_REF, "type": SIGNING_TYPE, "phone": PHONE, "named_date": NAMED_DATE,
+    "slash_date": SLASH_DATE, "clock": CLOCK, "street": STREET, "zip": ZIP, "fee": SIGNING_FEE, "print": PRINT_FEE,
+    "scanbacks": SCANBACKS, "drop": DROP, "they_print": THEY_PRINT,
+}
+
+
 def extract_confirmations(messages: DataFrame, default_year: int, text: str = "text") -> DataFrame:
     """One row of fields per message. Loan numbers are never picked up."""
-    day = mentioned_date(text, default_year).cast("timestamp_ntz")
-    body = F.col(text)
-    says_scanbacks = body.rlike(r"(?i)\bscan-?backs?\b")
-    fields = messages.withColumns({
-        "client_name": found(text, CLIENT),
-        "order_ref": found(text, ORDER_REF),
-        "signing_type": canonical("signing_type", found(text, SIGNING_TYPE)),
-        "phone": F.nullif(F.concat_ws(
-            "-", found(text, PHONE, 1), found(text, PHONE, 2), found(text, PHONE, 3)), F.lit("")),
-        "scheduled_start": times.plus_minutes(day, clock_minutes(text)),
-        "street": found(text, STREET),
-        "zip": found(text, ZIP),
-        "signing_fee": found(text, SIGNING_FEE).try_cast(MONEY),
-        "print_fee": F.when(body.rlike(r"(?i)\bthey print\b"), F.lit(0).cast(MONEY))
-        .otherwise(found(text, PRINT_FEE).try_cast(MONEY)),
-        "scanbacks_required": F.when(body.rlike(r"(?i)\bno scan-?backs?\b"), 0).when(says_scanbacks, 1),
-        "shipping_carrier": found(text, CARRIER),
-        "drop_deadline": times.plus_minutes(day, clock_minutes(found(text, DROP_CLOCK))),
+    said = messages.withColumn("_m", F.struct(*[
+        mention(text, pattern).alias(name) for name, pattern in MENTIONS.items()
+    ])).drop(text)
+
+    def piece(name: str) -> Column:
+        return F.col(f"_m.{name}")
+
+    dated = said.withColumn(
+        "_day", mentioned_date(piece("named_date"), piece("slash_date"), default_year).cast("timestamp_ntz")
+    )
+    fields = dated.withColumns({
+        "client_name": found(piece("client"), CLIENT),
+        "order_ref": found(piece("order"), ORDER_REF),
+        "signing_type": canonical("signing_type", piece("type")),
+        "phone": F.regexp_replace(piece("phone"), PHONE, "$1-$2-$3"),
+        "scheduled_start": times.plus_minutes("_day", clock_minutes(piece("clock"))),
+        "street": piece("street"),
+        "zip": piece("zip"),
+        "signing_fee": F.substring(piece("fee"), 2, 20).try_cast(MONEY),
+        "print_fee": F.when(piece("they_print").isNotNull(), F.lit(0).cast(MONEY))
+        .otherwise(found(piece("print"), PRINT_FEE).try_cast(MONEY)),
+        "scanbacks_required": F.when(F.lower(piece("scanbacks")).startswith("no"), 0)
+        .when(piece("scanbacks").isNotNull(), 1),
+        "shipping_carrier": found(piece("drop"), DROP),
+        "drop_deadline": times.plus_minutes("_day", clock_minutes(piece("drop"))),
     })
     missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in REQUIRED_FIELDS]))
-    return fields.withColumn("missing_fields", missing).drop(text)
+    return fields.withColumn("missing_fields", missing).drop("_m", "_day")

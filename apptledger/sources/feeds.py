@@ -45,12 +45,14 @@ RECEIPT_FIELD = "drop_receipt"
 
 
 def _parsed(raw: DataFrame, body: str, schema: T.StructType) -> DataFrame:
-    """``doc`` per readable body; ``broken`` holds the text that did not parse."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    return raw.select(F.from_json(body, with_corrupt, options).alias("doc")).withColumn(
-        "broken", F.col("doc._corrupt")
-    )
+    """The fields of every body; ``broken`` holds the text of one that did not parse.
+
+    Going through a one-element array keeps the optimizer from repeating the parse
+    for each field and filter that uses it.
+    """
+    with_broken = T.StructType([*schema.fields, T.StructField("broken", T.StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    return raw.select(F.inline(F.array(F.from_json(body, with_broken, options))))
 
 
 def read_submissions(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
@@ -58,7 +60,7 @@ def read_submissions(raw: DataFrame, body: str = "body") -> tuple[DataFrame, Dat
     that could not be read. Identity document types are not carried on."""
     export = T.StructType([T.StructField("submissions", T.ArrayType(SUBMISSION))])
     parsed = _parsed(raw, body, export)
-    rows = parsed.where(F.col("broken").isNull()).select(F.explode("doc.submissions").alias("s"))
+    rows = parsed.where(F.col("broken").isNull()).select(F.explode("submissions").alias("s"))
     receipts = F.size(F.filter(F.coalesce("s.media", F.array()), lambda m: m["field"] == RECEIPT_FIELD))
     records = rows.select(
         "s.submission_id", "s.worker_id", F.col("s.event_id").alias("event_ext_id"),
@@ -73,13 +75,13 @@ def read_shift_status(raw: DataFrame, body: str = "body") -> tuple[DataFrame, Da
     """Shifts with their stamps, the first check-in punch and the punch count, and
     the bodies that could not be read."""
     parsed = _parsed(raw, body, SHIFT_STATUS)
-    punches = F.coalesce("doc.punches", F.array())
+    punches = F.coalesce("punches", F.array())
     first_in = F.try_element_at(F.filter(punches, lambda p: p["type"] == "in"), F.lit(1))
     shifts = parsed.where(F.col("broken").isNull()).select(
-        "doc.shift_id", "doc.worker_id", "doc.status",
-        F.col("doc.actual_in").try_cast("timestamp").alias("actual_in"),
-        F.col("doc.actual_out").try_cast("timestamp").alias("actual_out"),
-        F.substring("doc.actual_in", 1, 10).try_cast("date").alias("work_date"),
+        "shift_id", "worker_id", "status",
+        F.col("actual_in").try_cast("timestamp").alias("actual_in"),
+        F.col("actual_out").try_cast("timestamp").alias("actual_out"),
+        F.substring("actual_in", 1, 10).try_cast("date").alias("work_date"),
         first_in["gps_verified"].cast("int").alias("gps_verified"),
         first_in["distance_from_site_m"].alias("checkin_distance_m"),
         F.size(punches).alias("punch_count"),

@@ -28,6 +28,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread over the cores when they come in fewer files than there are.
+
+    A small file is one task, which keeps text work on one core. Data in many
+    files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _money(amount: Column | int) -> Column:
     return (F.lit(amount) if isinstance(amount, int) else amount).cast(MONEY)
 
@@ -283,7 +293,8 @@ def booking_count(spark: SparkSession, sf_dir: str) -> Column:
 def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Export bodies as JSON text: one record each, repeated in every tenth body,
     cut off in every fiftieth."""
-    records = submission_records(read(spark, sf_dir, "events"), booking_count(spark, sf_dir))
+    events = spread(read(spark, sf_dir, "events"), "event_id")
+    records = submission_records(events, booking_count(spark, sf_dir))
     photo = F.struct(F.lit("drop_receipt").alias("field"), F.lit("https://cdn.example/r.jpg").alias("cdn_url"))
     record = F.struct(
         "submission_id", "worker_id", F.col("event_ext_id").alias("event_id"),
@@ -332,7 +343,8 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("appointment_id")
     place = places(spark, sf_dir).select("place_id", "address", "city", "state", "zip")
     client = clients(spark, sf_dir).select("client_id", "client_name")
-    rows = lookup_join(raw_appointments(spark, sf_dir), place, "place_id", spread_by=["appointment_id"])
+    rows = spread(raw_appointments(spark, sf_dir), "appointment_id")
+    rows = lookup_join(rows, place, "place_id", spread_by=["appointment_id"])
     rows = lookup_join(rows, client, "client_id", spread_by=["appointment_id"])
     start = F.col("scheduled_start")
     hour, minute = F.hour(start), F.minute(start)

@@ -5,23 +5,42 @@ Event times are TIMESTAMP columns; watermarks reject local times.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apptledger.model import Tables
-from apptledger.operators.changes import latest_per_key
-from apptledger.operators.completion import completion_changes
+from apptledger.operators.changes import apply_changes, latest_per_key
+from apptledger.operators.completion import KEPT_WHEN_ABSENT, completion_changes, matched_records
 from apptledger.session import scratch_path
 
 
-def submissions_once(submissions: DataFrame, event_time: str = "submitted_at", delay: str = "1 hour") -> DataFrame:
+def once_per_key(rows: DataFrame, key: str, event_time: str, delay: str, slots: int) -> DataFrame:
+    """First row of each key within the watermark.
+
+    Copies are first reduced within ``slots`` groups of input partitions, so a key
+    with very many copies is spread over that many tasks; the second step then
+    sees at most ``slots`` rows of it per batch and makes the result exact.
+    """
+    slotted = rows.withWatermark(event_time, delay).withColumn("_slot", F.spark_partition_id() % slots)
+    return (
+        slotted.dropDuplicatesWithinWatermark([key, "_slot"]).drop("_slot").dropDuplicatesWithinWatermark([key])
+    )
+
+
+def submissions_once(
+    submissions: DataFrame, event_time: str = "submitted_at", delay: str = "1 hour", slots: int = 32
+) -> DataFrame:
     """Each completion record once, however often the feed repeats it."""
-    return submissions.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["submission_id"])
+    return once_per_key(submissions, "submission_id", event_time, delay, slots)
 
 
-def commands_once(commands: DataFrame, event_time: str = "issued_at", ttl: str = "24 hours") -> DataFrame:
+def commands_once(
+    commands: DataFrame, event_time: str = "issued_at", ttl: str = "24 hours", slots: int = 32
+) -> DataFrame:
     """Outbound commands with retries of the same idempotency key removed."""
-    return commands.withWatermark(event_time, ttl).dropDuplicatesWithinWatermark(["idempotency_key"])
+    return once_per_key(commands, "idempotency_key", event_time, ttl, slots)
 
 
 def shift_stamps(punches: DataFrame, event_time: str = "ts", delay: str = "2 hours") -> DataFrame:
@@ -80,37 +99,33 @@ def daily_counts(
     )
 
 
-def completion_updates(submissions: DataFrame, tables: Tables) -> DataFrame:
-    """Each record joined to its booked appointment, as the changes it makes."""
-    booked = tables.appointments.where(F.col("event_ext_id").isNotNull()).select(
-        "appointment_id", "event_ext_id", F.col("notes").alias("old_notes")
-    )
-    none = F.lit(None)
-    records = submissions.join(booked, "event_ext_id").withColumns({
-        "actual_in": none.cast("timestamp"), "actual_out": none.cast("timestamp"),
-        "gps_verified": none.cast("int"), "checkin_distance_m": none.cast("int"),
-    })
-    return completion_changes(records.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz")))
-
-
-def write_change_log(updates: DataFrame, path: str, checkpoint: str):
-    """Append each micro-batch's newest change per appointment to a change log.
+def write_completion_log(submissions: DataFrame, tables: Tables, path: str, checkpoint: str):
+    """Turn streamed completion records into a log of appointment changes.
 
-    A batch writes its own folder, so a batch that is run again replaces what it
-    wrote before. ``operators.changes.apply_changes`` folds the log into the
-    table.
+    Each micro-batch is reduced to the newest record per event, joined to the
+    booked appointments and written to its own folder, so a batch that is run
+    again replaces what it wrote before. ``fold_completion_log`` applies the log.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, ["appointment_id"], ["submission_id"]).write.mode("overwrite").parquet(
-            f"{path}/batch={batch_id}"
-        )
+        records = batch.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
+        changes = completion_changes(matched_records(tables, records))
+        changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return (
-        updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        submissions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 
 
+def fold_completion_log(tables: Tables, path: str, as_of: dt.datetime) -> Tables:
+    """The appointments with the newest logged change of each applied."""
+    log = tables.appointments.sparkSession.read.parquet(path)
+    newest = latest_per_key(log, ["appointment_id"], ["batch", "submission_id"]).drop("batch")
+    return tables.replace(appointments=apply_changes(
+        tables.appointments, newest, "appointment_id", as_of=as_of, keep_when_null=KEPT_WHEN_ABSENT
+    ))
+
+
 def run_to_files(stream: DataFrame, label: str) -> DataFrame:
     """Run a stream over all available input into a Parquet sink and read it back.
 
