@@ -32,17 +32,33 @@ def lookup_join(
     *,
     spread_by: list[str],
     bound: DataFrame | None = None,
+    counted_in: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``facts`` to ``lookup`` (one row per ``on``), keeping every match.
 
     ``spread_by`` names columns that tell the rows of one key apart.
     ``bound`` may name a table with at least as many rows as ``lookup``; its size
     is checked instead, for lookups computed by aggregation whose own estimate
-    is meaningless.
+    is meaningless. ``counted_in`` may name the rows ``facts`` was built from, so
+    that looking for hot keys does not repeat the joins in between.
     """
     if fits_broadcast(lookup if bound is None else bound):
         return facts.join(F.broadcast(lookup), on, how)
-    return spread_join(facts, lookup, [on], how, spread_by=spread_by)
+    counts = rows_per_key(facts if counted_in is None else counted_in, [on])
+    return spread_join(facts, lookup, [on], how, spread_by=spread_by, counts=counts)
+
+
+def lookup_joins(facts: DataFrame, lookups: list[tuple[DataFrame, str, str]], spread_by: list[str]) -> DataFrame:
+    """Several lookups in a row, each ``(lookup, on, how)``, with ``on`` a column of ``facts``."""
+    rows = facts
+    for lookup, on, how in lookups:
+        rows = lookup_join(rows, lookup, on, how, spread_by=spread_by, counted_in=facts)
+    return rows
+
+
+def rows_per_key(rows: DataFrame, on: list[str]) -> DataFrame:
+    """How many rows each known key has."""
+    return rows.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
 
 
 def spread_join(
@@ -62,20 +78,18 @@ def spread_join(
     the same place. ``counts`` may hand in the rows per key (``*on, _rows``) when
     they are computed anyway.
     """
-    spark = facts.sparkSession
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = F.lit(True)
-    for key in on:
-        known = known & F.col(key).isNotNull()
-
+    slots = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if counts is None:
-        counts = facts.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+        counts = rows_per_key(facts, on)
     share = counts.agg((F.sum("_rows") / F.lit(slots)).alias("share")).scalar()
     hot = (
         counts.where(F.col("_rows") > share)
         .select(*on, F.least(F.ceil(F.col("_rows") / share), F.lit(slots)).cast("int").alias("_copies"))
     )
 
+    known = F.lit(True)
+    for key in on:
+        known = known & F.col(key).isNotNull()
     token = F.xxhash64(*spread_by)
     salted = facts.join(F.broadcast(hot), on, "left").withColumn(
         "_salt",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import money, naming, times
 from apptledger.model import BILLABLE_STATUSES, OPEN_STATUSES, WORKED_STATUSES, Tables
-from apptledger.operators.joins import lookup_join
+from apptledger.operators.joins import lookup_join, lookup_joins
 from apptledger.settings import setting
 
 BY_APPOINTMENT = ["appointment_id"]
@@ -57,9 +57,11 @@ def appointments_between(tables: Tables, first: dt.date, last: dt.date) -> DataF
         F.col("access_notes").alias("place_access_notes"), "is_repeat_site", "location_ext_id",
     )
     notaries = tables.notaries.select("notary_id", "notary_name", "worker_ext_id")
-    rows = lookup_join(rows, clients, "client_id", spread_by=BY_APPOINTMENT)
-    rows = lookup_join(rows, places, "place_id", spread_by=BY_APPOINTMENT)
-    rows = lookup_join(rows, notaries, "notary_id", "left", spread_by=BY_APPOINTMENT)
+    rows = lookup_joins(
+        rows,
+        [(clients, "client_id", "inner"), (places, "place_id", "inner"), (notaries, "notary_id", "left")],
+        BY_APPOINTMENT,
+    )
     end = times.plus_minutes("scheduled_start", "duration_minutes")
     return rows.select(
         "appointment_id", "appointment_no", "status", "signing_type", "scheduled_start", "duration_minutes",
@@ -100,9 +102,10 @@ def drops_due(tables: Tables, as_of: dt.datetime) -> DataFrame:
         & (F.col("drop_deadline") <= times.local_literal(as_of + dt.timedelta(hours=24)))
         & (F.col("dropped_at").isNull() | scanbacks_pending)
     )
-    rows = lookup_join(rows, tables.clients.select("client_id", "client_name"), "client_id", spread_by=BY_APPOINTMENT)
-    rows = lookup_join(
-        rows, tables.notaries.select("notary_id", "notary_name"), "notary_id", "left", spread_by=BY_APPOINTMENT
+    clients = tables.clients.select("client_id", "client_name")
+    notaries = tables.notaries.select("notary_id", "notary_name")
+    rows = lookup_joins(
+        rows, [(clients, "client_id", "inner"), (notaries, "notary_id", "left")], BY_APPOINTMENT
     )
     return rows.select(
         "appointment_id", "appointment_no", "client_name", "client_order_ref", "signing_type", "scheduled_start",
@@ -183,7 +186,9 @@ def payouts_due(tables: Tables) -> DataFrame:
     )
     rows = lookup_join(due, subs, "notary_id", spread_by=["payout_id"]).join(work, "appointment_id")
     totals = rows.groupBy("notary_id").agg(F.sum("amount").alias("notary_total_due"))
-    rows = lookup_join(rows, totals, "notary_id", "left", spread_by=["payout_id"], bound=tables.notaries)
+    rows = lookup_join(
+        rows, totals, "notary_id", "left", spread_by=["payout_id"], bound=tables.notaries, counted_in=due
+    )
     return rows.select(
         "payout_id", "notary_id", "notary_name", "email", "payout_type", "payout_value", "appointment_id",
         "appointment_no", "appointment_date", "signing_type", "status", "billable_total", "amount",
@@ -208,10 +213,11 @@ def no_show_evidence(tables: Tables) -> DataFrame:
     rows = priced(tables.appointments.where(F.col("status") == "no_show"))
     clients = tables.clients.select("client_id", "client_name", "client_type", "billing_email")
     places = tables.places.select("place_id", "address", "city", "state", "zip")
-    rows = lookup_join(rows, clients, "client_id", spread_by=BY_APPOINTMENT)
-    rows = lookup_join(rows, places, "place_id", spread_by=BY_APPOINTMENT)
-    rows = lookup_join(
-        rows, tables.notaries.select("notary_id", "notary_name"), "notary_id", "left", spread_by=BY_APPOINTMENT
+    notaries = tables.notaries.select("notary_id", "notary_name")
+    rows = lookup_joins(
+        rows,
+        [(clients, "client_id", "inner"), (places, "place_id", "inner"), (notaries, "notary_id", "left")],
+        BY_APPOINTMENT,
     )
     return rows.select(
         "appointment_id", "appointment_no", "client_name", "client_type", "billing_email", "client_order_ref",

@@ -94,7 +94,9 @@ def render_statements(tables: Tables) -> DataFrame:
     """Open payouts per worker, split like invoices when a worker has very many."""
     due = payouts_due(tables)
     counts = due.groupBy("notary_id").agg(F.count(F.lit(1)).alias("line_count"))
-    rows = lookup_join(due, counts, "notary_id", spread_by=["payout_id"], bound=tables.notaries)
+    rows = lookup_join(
+        due, counts, "notary_id", spread_by=["payout_id"], bound=tables.notaries, counted_in=tables.payouts
+    )
     amount = F.coalesce(dollars("amount"), F.lit("amount needed"))
     line = F.concat_ws(
         "  ", F.lit(""), F.col("appointment_no"), F.col("appointment_date").cast("string"), F.col("signing_type"), amount

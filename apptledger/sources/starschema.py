@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from apptledger.functions import money, naming, times
 from apptledger.model import MONEY, RATE, SIGNING_TYPES, WORKED_STATUSES, Tables, conform
 from apptledger.operators.admission import fill_defaults
-from apptledger.operators.joins import lookup_join
+from apptledger.operators.joins import lookup_join, lookup_joins
 from apptledger.plans.views import priced
 from apptledger.settings import seed_settings, setting
 
@@ -344,8 +344,7 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = places(spark, sf_dir).select("place_id", "address", "city", "state", "zip")
     client = clients(spark, sf_dir).select("client_id", "client_name")
     rows = spread(raw_appointments(spark, sf_dir), "appointment_id")
-    rows = lookup_join(rows, place, "place_id", spread_by=["appointment_id"])
-    rows = lookup_join(rows, client, "client_id", spread_by=["appointment_id"])
+    rows = lookup_joins(rows, [(place, "place_id", "inner"), (client, "client_id", "inner")], ["appointment_id"])
     start = F.col("scheduled_start")
     hour, minute = F.hour(start), F.minute(start)
     half = F.when(hour >= 12, "pm").otherwise("am")

@@ -1,0 +1,325 @@
+"""Single rules: views on edge rows, defaults, numbers, text."""
+
+from __future__ import annotations
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from apptledger.functions import naming
+from apptledger.model import empty_tables
+from apptledger.operators import admission, lookups, payouts, quality, usage
+from apptledger.operators.billing import invoice_run
+from apptledger.plans import views
+from apptledger.settings import seed_settings, setting, settings_row
+from apptledger.sources import confirmations
+from apptledger.sources.tables import with_seed_settings
+from conftest import AS_OF, by_key, example_rows, frame, make_tables
+
+
+def week(spark, *rows, settings=None, **more):
+    """The example roster with its appointments replaced by ``rows``."""
+    base = example_rows()
+    base["appointments"] = [
+        {"client_id": 1, "place_id": 1, "signing_type": "refinance", "status": "confirmed", "notary_id": 1,
+         "duration_minutes": 60, "scheduled_start": "2026-09-30T10:00", "scanbacks_required": 0, "invoiced": 0,
+         "paid_out": 0, "appointment_no": f"A-2026-{row['appointment_id']:04d}", **row}
+        for row in rows
+    ]
+    return make_tables(spark, settings or {"timezone_offset": "-07:00", "default_notary_id": "1"}, **{**base, **more})
+
+
+def test_every_view_on_empty_tables(spark):
+    for name, view in views.all_views(empty_tables(spark), AS_OF).items():
+        assert view.count() == 0, name
+        assert len(view.columns) >= 5, name
+
+
+def test_pricing_by_status(spark):
+    fees = {"signing_fee": 100, "print_fee": 25, "trip_fee": 50, "no_sign_fee": 75, "other_fee": 25}
+    statuses = ["completed", "no_show", "cancelled", "confirmed", "requested", "rescheduled"]
+    tables = week(spark, *[{"appointment_id": i, "status": s, **fees} for i, s in enumerate(statuses, 1)])
+    rows = by_key(views.billable_appointments(tables), "status")
+    assert {s: int(r.billable_total) for s, r in rows.items()} == {
+        "completed": 200, "no_show": 125, "cancelled": 25, "confirmed": 0, "requested": 0, "rescheduled": 0}
+
+
+def test_unknown_fees_count_as_zero(spark):
+    tables = week(spark, {"appointment_id": 1, "status": "completed", "signing_fee": 80})
+    assert views.billable_appointments(tables).first().billable_total == 80
+
+
+def test_today_and_week_bounds(spark):
+    tables = week(
+        spark,
+        {"appointment_id": 1, "scheduled_start": "2026-09-30T00:00"},
+        {"appointment_id": 2, "scheduled_start": "2026-09-30T23:59:30"},
+        {"appointment_id": 3, "scheduled_start": "2026-10-06T23:59"},
+        {"appointment_id": 4, "scheduled_start": "2026-10-07T00:00"},
+        {"appointment_id": 5, "scheduled_start": "2026-09-29T23:59"},
+        {"appointment_id": 6, "status": "cancelled"},
+        {"appointment_id": 7, "duration_minutes": 90, "shift_ext_id": 5, "place_id": 2, "notary_id": None,
+         "scheduled_start": "2026-09-30T23:00"},
+    )
+    today = by_key(views.appointments_today(tables, AS_OF), "appointment_id")
+    assert set(today) == {1, 2, 7}
+    assert set(by_key(views.appointments_upcoming(tables, AS_OF), "appointment_id")) == {1, 2, 3, 7}
+    assert today[1].start_iso == "2026-09-30T00:00:00-07:00" and today[1].end_iso == "2026-09-30T01:00:00-07:00"
+    assert today[2].start_iso == "2026-09-30T23:59:30-07:00"
+    assert today[7].end_iso == "2026-10-01T00:30:00-07:00"
+    assert (today[1].needs_location, today[1].needs_shift) == (1, 1)
+    assert (today[7].needs_location, today[7].needs_shift, today[7].notary_name) == (0, 0, None)
+    assert today[1].outbound_event_title == "Refi signing A-2026-0001"
+    assert today[1].outbound_location_name == "Signing - Oak St"
+    assert today[1].loc_idempotency_key == "loc-place-1"
+    assert today[1].event_idempotency_key == "event-appt-1"
+
+
+def test_missing_offset_gives_no_iso_time(spark):
+    tables = week(spark, {"appointment_id": 1, "duration_minutes": None}, settings={"timezone_offset": None})
+    row = views.appointments_today(tables, AS_OF).first()
+    assert row.start_iso is None and row.end_iso is None
+
+
+def test_drops_due(spark):
+    done = {"status": "completed"}
+    tables = week(
+        spark,
+        {"appointment_id": 1, "drop_deadline": "2026-09-30T20:36", **done},
+        {"appointment_id": 2, "drop_deadline": "2026-09-30T20:00", "dropped_at": "2026-09-30T12:00", **done},
+        {"appointment_id": 3, "drop_deadline": "2026-10-03T17:00", **done},
+        {"appointment_id": 4, "drop_deadline": "2026-09-30T20:00", "dropped_at": "2026-09-30T12:00",
+         "scanbacks_required": 1, **done},
+        {"appointment_id": 5, "drop_deadline": "2026-09-30T12:00", **done},
+        {"appointment_id": 6, "scanbacks_required": 1, **done},
+        {"appointment_id": 7, "drop_deadline": "2026-10-01T14:36", **done},
+        {"appointment_id": 8, "drop_deadline": "2026-09-30T20:00", "status": "no_show"},
+        {"appointment_id": 9, "drop_deadline": "2026-09-30T14:36", **done},
+    )
+    rows = by_key(views.drops_due(tables, AS_OF), "appointment_id")
+    assert set(rows) == {1, 4, 5, 7, 9}
+    assert rows[1].hours_left == 6 and rows[1].overdue == 0
+    assert rows[5].hours_left == Decimal("-2.6") and rows[5].overdue == 1
+    assert (rows[4].scanbacks_pending, rows[4].drop_pending) == (1, 0)
+    assert rows[9].overdue == 0 and rows[9].hours_left == 0
+
+
+def test_aging_buckets(spark):
+    due = {"2026-09-30": "current", "2026-09-29": "30", "2026-08-31": "30", "2026-08-30": "60",
+           "2026-08-01": "60", "2026-07-31": "90+", None: "90+"}
+    invoices = [
+        {"invoice_id": i, "client_id": 1, "invoice_date": "2026-07-01", "due_date": d, "total_amount": 10, "paid": 0}
+        for i, d in enumerate(due)
+    ]
+    invoices.append({**invoices[0], "invoice_id": 99, "paid": 1})
+    rows = by_key(views.invoices_outstanding(week(spark, {"appointment_id": 1}, invoices=invoices), AS_OF), "invoice_id")
+    assert {rows[i].aging_bucket == bucket for i, bucket in enumerate(due.values())} == {True}
+    assert 99 not in rows
+    assert (rows[6].days_past_due, rows[6].overdue) == (None, 0)
+    assert rows[1].overdue == 1 and rows[0].overdue == 0
+
+
+def test_payout_rules(spark):
+    fees = {"signing_fee": 125, "print_fee": 25, "trip_fee": 50, "status": "completed"}
+    tables = week(
+        spark,
+        {"appointment_id": 1, "notary_id": 2, **fees}, {"appointment_id": 2, "notary_id": 3, **fees},
+        {"appointment_id": 3, "notary_id": 4, **fees}, {"appointment_id": 4, "notary_id": 1, **fees},
+        {"appointment_id": 5, "notary_id": 2, "status": "no_show", "trip_fee": 10},
+        {"appointment_id": 6, "notary_id": 2, "status": "cancelled"},
+        {"appointment_id": 7, "notary_id": None, **fees},
+    )
+    assert set(by_key(views.payouts_missing(tables), "appointment_id")) == {1, 2, 3, 5}
+    after = payouts.create_payouts(tables, AS_OF)
+    assert views.payouts_missing(after).count() == 0
+    rows = by_key(views.payouts_due(after), "appointment_id")
+    assert (rows[1].amount, rows[5].amount) == (90, 90)
+    assert rows[2].amount == 140
+    assert rows[3].amount is None and rows[3].needs_amount == 1 and rows[3].notary_total_due is None
+    assert rows[1].notary_total_due == 180
+    assert sorted(r.payout_id for r in rows.values()) == [1, 2, 3, 4]
+
+    paid = payouts.mark_payouts_paid(after, tables.notaries.where("notary_id = 2"), AS_OF)
+    assert set(by_key(views.payouts_due(paid), "appointment_id")) == {2, 3}
+    done = by_key(paid.appointments, "appointment_id")
+    assert (done[1].paid_out, done[5].paid_out, done[2].paid_out) == (1, 1, 0)
+
+
+def test_defaults_on_admission(spark):
+    tables = week(spark, {"appointment_id": 12}, settings={"default_appointment_minutes": "75", "default_notary_id": "1"})
+    new = frame(spark, [
+        {"request_id": 1, "client_id": 1, "place_id": 1, "scheduled_start": "2027-01-02T09:00", "trip_fee": 5,
+         "notary_id": None, "duration_minutes": None, "appointment_no": None},
+        {"request_id": 2, "client_id": 3, "place_id": 1, "scheduled_start": "2026-10-02T09:00", "notary_id": 2,
+         "duration_minutes": 30, "appointment_no": "MINE-1"},
+    ])
+    new = new.withColumn("request_id", F.col("request_id").cast("bigint"))
+    rows = by_key(admission.admit_appointments(tables, new, AS_OF).appointments.where("appointment_id > 12"), "client_id")
+    one, three = rows[1], rows[3]
+    assert {one.appointment_id, three.appointment_id} == {13, 14}
+    assert one.appointment_no == f"A-2027-{one.appointment_id:04d}" and three.appointment_no == "MINE-1"
+    assert (one.duration_minutes, one.notary_id, three.duration_minutes, three.notary_id) == (75, 1, 30, 2)
+    assert (one.signing_fee, one.print_fee, one.trip_fee, one.no_sign_fee, one.other_fee) == (125, 25, 5, 75, 0)
+    assert (three.signing_fee, three.trip_fee) == (0, 0)
+    assert (one.status, one.signing_type, one.created_at) == ("confirmed", "refinance", AS_OF)
+
+
+def test_numbers_grow_past_four_digits(spark):
+    rows = spark.sql("SELECT 12345L AS appointment_id, CAST(NULL AS STRING) AS appointment_no, "
+                     "TIMESTAMP_NTZ '2026-01-01 00:00:00' AS scheduled_start")
+    assert rows.select(naming.appointment_number()).first()[0] == "A-2026-12345"
+
+
+def test_mileage_rates(spark):
+    tables = week(spark, {"appointment_id": 1})
+    trips = frame(spark, [
+        {"trip_id": 1, "trip_date": "2026-09-01", "miles": "23.4", "rate": None},
+        {"trip_id": 2, "trip_date": "2026-09-01", "miles": "10", "rate": "0.55"},
+    ])
+    tables = admission.add_trips(tables.replace(mileage=tables.mileage.limit(0)), trips)
+    rows = by_key(tables.mileage, "trip_id")
+    assert rows[1].deduction == Decimal("16.38") and rows[2].deduction == Decimal("5.50")
+    edits = spark.sql("SELECT * FROM VALUES (1L, 10.0BD, 0.70BD), (2L, 20.0BD, NULL) AS t(trip_id, miles, rate)")
+    edited = by_key(admission.edit_trips(tables, edits).mileage, "trip_id")
+    assert edited[1].deduction == 7 and edited[2].deduction == 0 and edited[2].rate is None
+
+
+def test_invoice_prefix(spark):
+    rows = {"appointment_id": 1, "status": "completed", "signing_fee": 10}
+
+    def number(settings=None, drop=False):
+        tables = week(spark, rows, settings=settings, invoices=[])
+        if drop:
+            tables = tables.replace(settings=tables.settings.where("key <> 'invoice_prefix'"))
+        return invoice_run(tables, AS_OF).first().invoice_number
+
+    assert number({"invoice_prefix": "LM"}) == "LM-2026-0001"
+    assert number({"invoice_prefix": None}) == "INV-2026-0001"
+    assert number(drop=True) is None
+
+
+def test_settings(spark):
+    settings = seed_settings(spark, default_appointment_minutes="soon", timezone_offset="-08:00")
+    row = settings_row(settings).first()
+    assert row.default_appointment_minutes is None and row.irs_mileage_rate == Decimal("0.7000")
+    assert spark.range(1).select(setting(settings, "timezone_offset")).first()[0] == "-08:00"
+    partial = settings.where("key IN ('timezone_offset', 'state')")
+    merged = {r.key: r.value for r in with_seed_settings(partial).collect()}
+    assert merged["timezone_offset"] == "-08:00" and merged["invoice_prefix"] == "INV" and len(merged) == 10
+
+
+@pytest.mark.parametrize(("text", "shape", "time"), [
+    ("2026-09-08T10:00", True, dt.datetime(2026, 9, 8, 10)),
+    ("2026-09-08T10:00:30", True, dt.datetime(2026, 9, 8, 10, 0, 30)),
+    ("2026-09-08T10:00:00-07:00", False, None),
+    ("2026-09-08T10:00Z", False, None),
+    ("2026-09-08 10:00", False, None),
+    ("2026-9-8T10:00", False, None),
+    ("2026-09-08T29:00", True, None),
+    ("2026-09-08T10:00PM", True, None),
+    ("2026-02-31T10:00", True, None),
+])
+def test_start_text(spark, text, shape, time):
+    row = spark.createDataFrame([(text,)], "t string").select(
+        quality.is_local_start("t").alias("shape"), quality.parse_local_start("t").alias("time")).first()
+    assert (row.shape, row.time) == (shape, time)
+
+
+def test_option_keys_and_statuses(spark):
+    labels = {
+        "Signer refused / declined": ("signer_refused___declined", "no_show"),
+        "Documents issue - not signed": ("documents_issue___not_signed", "no_show"),
+        "Partial - some docs signed": ("partial___some_docs_signed", "completed"),
+        "Partial - some documents signed": ("partial___some_documents_signe", None),
+        "Rescheduled on site": ("rescheduled_on_site", "rescheduled"),
+    }
+    key = naming.option_key("label")
+    rows = spark.createDataFrame([(x,) for x in labels], "label string").select(
+        "label", key.alias("key"), naming.status_from_outcome(key).alias("status")).collect()
+    assert {r.label: (r.key, r.status) for r in rows} == labels
+
+
+def test_address_text(spark):
+    rows = spark.createDataFrame(
+        [("1042  Elm St.,", "Kirkland", "WA", "98033", 0), ("500 108th Ave NE #200", "Bellevue", None, "98004", 1),
+         (None, "Bellevue", "WA", None, 1)],
+        "address string, city string, state string, zip string, is_repeat_site int",
+    ).withColumn("client_name", F.lit("Harbor Title"))
+    got = rows.select(
+        naming.normalized_address().alias("n"), naming.street_address().alias("s"), naming.place_label().alias("l")
+    ).collect()
+    assert got[0].n == "1042 elm st kirkland wa 98033" and got[0].l == "Signing - Elm St.,"
+    assert got[1].n == "500 108th ave ne 200 bellevue 98004"
+    assert got[1].s == "500 108th Ave NE #200, Bellevue 98004" and got[1].l == "Harbor Title - Bellevue"
+    assert got[2].s is None
+
+
+def test_lookups(spark):
+    tables = week(spark, {"appointment_id": 1}, notaries=[
+        {"notary_id": 1, "notary_name": "a", "commission_expires": "2026-11-29"},
+        {"notary_id": 2, "notary_name": "b", "commission_expires": "2026-11-30"},
+        {"notary_id": 3, "notary_name": "c", "commission_expires": "2020-01-01"},
+        {"notary_id": 4, "notary_name": "d"},
+    ], journal_index=[
+        {"entry_id": 1, "appointment_id": 1, "journal_book": "Book 3", "entry_no": "0412-0417", "act_count": 6},
+        {"entry_id": 2, "appointment_id": 1, "journal_book": "Book 3", "entry_no": "0418", "act_count": 1},
+        {"entry_id": 3, "appointment_id": 1, "journal_book": "Book 3", "entry_no": "page 4", "act_count": 1},
+    ])
+    assert set(by_key(lookups.commissions_expiring(tables, AS_OF.date()), "notary_id")) == {1, 3}
+    assert [r.entry_id for r in lookups.find_journal(tables, "Book 3", 415).collect()] == [1]
+    assert [r.entry_id for r in lookups.find_journal(tables, "Book 3", 418).collect()] == [2]
+    assert [r.client_id for r in lookups.find_clients(tables, "NORTH").collect()] == [1]
+    assert lookups.find_clients(tables, "%").count() == 0
+
+
+def test_prices(spark):
+    records = spark.createDataFrame([(k,) for k in [*usage.PRICES, "free"]], "kind string")
+    costs = {r.kind: r.cost for r in usage.metered_cost(records).collect()}
+    assert costs["free"] is None
+    new_address = costs["geocode"] + 2 * costs["punch"] + costs["record_with_photo"]
+    assert new_address == Decimal("0.38")
+
+
+MESSAGES = [
+    "Order 4471-K — REFINANCE — Borrower: Pat Doe, (425) 555-0142 — Tue Sep 8, 2026 10:00 AM PT — "
+    "1042 Elm St, Kirkland, WA 98033 — Fee: $125.00 + $25.00 print — Scanbacks REQUIRED within 1 hr — "
+    "FedEx drop by 5:00 PM same day — Loan #: 0081-55231 — Note: gate code 4471, park on street.",
+    "Harbor Title emailed: seller package, Wed 9/9 2 pm at their Bellevue office, 500 108th Ave NE Suite 200, "
+    "Bellevue 98004. File LT-22890, sellers Kim and Lee. $150, they print, no scanbacks, docs stay with escrow.",
+    "Northside order 4502-M, purchase, Thu 9/10 6 pm, borrower Pat Doe 206-555-0177, 77 Pine Ct Redmond 98052, "
+    "$150 + $25 print, scanbacks, FedEx by 8 pm.",
+    "Can you do a signing tomorrow?",
+]
+
+
+def test_confirmations(spark):
+    rows = spark.createDataFrame(list(enumerate(MESSAGES)), "id int, text string")
+    got = by_key(confirmations.extract_confirmations(rows, 2026), "id")
+    a, b, c, d = (got[i] for i in range(4))
+    assert (a.order_ref, a.signing_type, a.phone, a.zip, a.street) == (
+        "4471-K", "refinance", "425-555-0142", "98033", "1042 Elm St")
+    assert a.scheduled_start == dt.datetime(2026, 9, 8, 10) and a.drop_deadline == dt.datetime(2026, 9, 8, 17)
+    assert (a.signing_fee, a.print_fee, a.scanbacks_required, a.shipping_carrier) == (125, 25, 1, "FedEx")
+    assert all("55231" not in str(v) for v in a.asDict().values())
+    assert (b.client_name, b.order_ref, b.signing_type, b.street, b.zip) == (
+        "Harbor Title", "LT-22890", "seller", "500 108th Ave NE Suite 200", "98004")
+    assert (b.signing_fee, b.print_fee, b.scanbacks_required) == (150, 0, 0)
+    assert b.scheduled_start == dt.datetime(2026, 9, 9, 14)
+    assert (c.client_name, c.order_ref, c.signing_type, c.street) == ("Northside", "4502-M", "purchase", "77 Pine Ct")
+    assert c.scheduled_start == dt.datetime(2026, 9, 10, 18) and c.drop_deadline == dt.datetime(2026, 9, 10, 20)
+    assert (c.print_fee, c.scanbacks_required, c.phone) == (25, 1, "206-555-0177")
+    assert d.missing_fields == ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
+
+
+def test_canonical_input(spark):
+    row = spark.range(1).select(
+        confirmations.canonical("client_type", F.lit("Escrow Company")),
+        confirmations.canonical("signing_type", F.lit("refi")),
+        confirmations.start_clock(F.lit("10am")), confirmations.start_clock(F.lit("12:30 PM")),
+        confirmations.without_offset(F.lit("2026-09-08T10:00:00-07:00")),
+        confirmations.without_offset(F.lit("2026-09-08T10:00Z")),
+    ).first()
+    assert tuple(row) == (
+        "title_escrow", "refinance", "T10:00", "T12:30", "2026-09-08T10:00:00", "2026-09-08T10:00")
