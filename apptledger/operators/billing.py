@@ -54,11 +54,16 @@ def invoice_lines(tables: Tables, client_ids: DataFrame | None = None) -> DataFr
 
 
 def invoice_run(tables: Tables, as_of: dt.datetime, client_ids: DataFrame | None = None) -> DataFrame:
-    """One numbered invoice header per client with open work."""
-    totals = invoice_lines(tables, client_ids).groupBy("client_id").agg(
-        F.sum("billable_total").alias("total_amount"),
-        F.count(F.lit(1)).alias("line_count"),
-    )
+    """One numbered invoice header per client with open work.
+
+    The totals are stored, since numbering and every later step of the run use
+    them: the appointments are aggregated once.
+    """
+    totals = materialized(
+        invoice_lines(tables, client_ids).groupBy("client_id").agg(
+            F.sum("billable_total").alias("total_amount"),
+            F.count(F.lit(1)).alias("line_count"),
+        ), "invoice-totals")
     headers = totals.join(tables.clients.select("client_id", "payment_terms_days"), "client_id")
     last = tables.invoices.agg(F.max("invoice_id")).scalar()
     prefix, has_prefix = setting(tables.settings, "invoice_prefix"), setting(tables.settings, "has_invoice_prefix")

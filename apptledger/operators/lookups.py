@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptledger.functions import times
-from apptledger.model import Tables
+from apptledger.model import OPEN_STATUSES, Tables
 
 
 def commissions_expiring(tables: Tables, as_of: dt.date, days: int = 60) -> DataFrame:
@@ -50,6 +50,30 @@ def with_punches(shifts: DataFrame) -> DataFrame:
     return shifts.where(F.col("punch_count") > 0)
 
 
+def worker_day(tables: Tables, notary_id: int, day: dt.date, except_id: int | None = None) -> DataFrame:
+    """A worker's open appointments on a date, besides the one being booked."""
+    rows = tables.appointments.where(
+        F.col("status").isin(OPEN_STATUSES) & (F.col("notary_id") == notary_id)
+        & times.in_local_days("scheduled_start", day, day)
+    )
+    if except_id is not None:
+        rows = rows.where(F.col("appointment_id") != except_id)
+    return rows.select("appointment_id", "appointment_no", "scheduled_start", "duration_minutes")
+
+
+def collisions(
+    tables: Tables, notary_id: int, start: dt.datetime, minutes: int, buffer_minutes: int = 30,
+    except_id: int | None = None,
+) -> DataFrame:
+    """Which of that day's appointments a booking would collide with."""
+    end = times.plus_minutes("scheduled_start", "duration_minutes")
+    pad = dt.timedelta(minutes=buffer_minutes)
+    return worker_day(tables, notary_id, start.date(), except_id).where(
+        (F.col("scheduled_start") < times.local_literal(start + dt.timedelta(minutes=minutes) + pad))
+        & (end > times.local_literal(start - pad))
+    )
+
+
 def find_journal(tables: Tables, book: str, entry: int) -> DataFrame:
     """Pointers of a book that cover an entry number, single or as a range."""
     bounds = F.split("entry_no", "-")

@@ -13,6 +13,7 @@ from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
 from apptledger.plans.views import payouts_missing, priced
+from apptledger.session import materialized
 
 
 def fill_payout_amounts(payouts: DataFrame, tables: Tables) -> DataFrame:
@@ -26,7 +27,9 @@ def fill_payout_amounts(payouts: DataFrame, tables: Tables) -> DataFrame:
 
 def create_payouts(tables: Tables, as_of: dt.datetime) -> Tables:
     """One payout for each finished appointment of a sub that has none."""
-    missing = payouts_missing(tables).withColumn("amount", money.payout_amount())
+    missing = materialized(
+        payouts_missing(tables).withColumn("amount", money.payout_amount()), "missing-payouts"
+    )
     last = tables.payouts.agg(F.max("payout_id")).scalar()
     rows = assign_ids(missing, "appointment_id", "payout_id", last).withColumns({
         "paid": F.lit(0), "created_at": times.local_literal(as_of),

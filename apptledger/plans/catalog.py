@@ -639,6 +639,17 @@ def shifts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.with_punches(rows).select("shift_id", "worker_id", "work_date", "punch_count")
 
 
+@query
+def worker_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.worker_day(star.tables(spark, sf_dir), 0, dt.date(2026, 9, 7))
+
+
+@query
+def booking_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an hour at ten on September 7 would collide with for the default worker."""
+    return lookups.collisions(star.tables(spark, sf_dir), 0, dt.datetime(2026, 9, 7, 10), 60)
+
+
 @query
 def find_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.find_journal(star.tables(spark, sf_dir), "Book 3", 112)
