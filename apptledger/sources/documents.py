@@ -116,26 +116,26 @@ def render_statements(tables: Tables) -> DataFrame:
 def render_no_show_notes(tables: Tables) -> DataFrame:
     """The note that asks for the trip fee, one per no-show."""
     offset = setting(tables.settings, "timezone_offset")
-    verified = F.when(F.col("gps_verified") == 1, F.concat(
-        F.lit(", GPS-verified on site ("), F.col("checkin_distance_m").cast("string"), F.lit(" m from the address)")
+    near = F.when(F.col("gps_verified") == 1, F.concat(
+        F.lit(", GPS-verified "), F.col("checkin_distance_m").cast("string"), F.lit(" m from the address")
     ))
-    waited = F.when(F.col("minutes_on_site").isNotNull(), F.concat(
-        F.lit(", waited "), F.col("minutes_on_site").cast("string"), F.lit(" minutes (departed "),
-        local_clock("checked_out_at", offset), F.lit(")"),
+    stayed = F.when(F.col("minutes_on_site").isNotNull(), F.concat(
+        F.lit("; on site "), F.col("minutes_on_site").cast("string"), F.lit(" minutes, left "),
+        local_clock("checked_out_at", offset),
     ))
     arrived = F.when(F.col("checked_in_at").isNotNull(), F.concat(
-        F.lit("Notary arrived "), local_clock("checked_in_at", offset), F.coalesce(verified, F.lit("")),
-        F.coalesce(waited, F.lit("")), F.lit("."),
+        F.lit("Arrived "), local_clock("checked_in_at", offset), F.coalesce(near, F.lit("")),
+        F.coalesce(stayed, F.lit("")), F.lit("."),
     ))
     subject = F.coalesce(F.concat(F.lit("Order "), F.col("client_order_ref")), F.col("appointment_no"))
     when = F.replace(F.substring(times.local_text("scheduled_start"), 1, 16), F.lit("T"), F.lit(" "))
     text = F.concat_ws(
         "\n",
-        F.concat(subject, F.lit(" - signer did not appear, "), when, F.lit(" appointment.")),
+        F.concat(subject, F.lit(": no signing at the appointment of "), when, F.lit(".")),
         arrived,
-        F.concat(F.lit("Requesting trip fee "), dollars("trip_fee"), F.lit(" + no-sign fee "), dollars("no_sign_fee"),
-                 F.lit(". Reference: "), F.col("appointment_no"), F.lit(".")),
-        F.concat(F.lit("From the record: "), F.col("notes")),
+        F.concat(F.lit("Fees owed: trip "), dollars("trip_fee"), F.lit(", no-sign "), dollars("no_sign_fee"),
+                 F.lit(". Our number: "), F.col("appointment_no"), F.lit(".")),
+        F.concat(F.lit("Record: "), F.col("notes")),
     )
     return no_show_evidence(tables).select("appointment_id", "appointment_no", text.alias("text"))
 

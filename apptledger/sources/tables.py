@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from apptledger.model import SCHEMAS, Tables, conform
 from apptledger.operators.changes import insert_or_ignore
+from apptledger.session import materialized
 from apptledger.settings import seed_settings
 
 # Stored layout: facts are split by the date the views filter on.
@@ -55,6 +57,43 @@ def save_tables(tables: Tables, base: str) -> None:
             save(df, path)
 
 
+def days_of(tables: Tables, ids: DataFrame) -> list[dt.date]:
+    """The stored days that hold the given appointments: calendar dates, so a
+    short list however many appointments there are."""
+    wanted = ids.select("appointment_id").distinct()
+    days = tables.appointments.select("appointment_id", "appointment_date").join(
+        wanted, "appointment_id", "left_semi"
+    ).select("appointment_date").distinct()
+    return sorted(row.appointment_date for row in days.collect())
+
+
+def within_days(tables: Tables, days: list[dt.date]) -> Tables:
+    """The tables with only these days of appointments, for a change that touches
+    no others. The dates prune partitions, so the rest is not read."""
+    part = tables.appointments.where(F.col("appointment_date").isin(days))
+    return Tables(**{**{n: getattr(tables, n) for n in Tables.names()}, "appointments": part})
+
+
+def replace_days(appointments: DataFrame, days: list[dt.date], base: str) -> None:
+    """Write the changed rows of ``days`` over those partitions and leave the rest.
+
+    ``appointments`` holds all rows of those days. Rows are first written to the
+    shared folder, so the folder being replaced is not read at the same time and
+    a failed replacement can be repeated from the copy. A row that moved to a day
+    outside ``days`` would replace that day's rows, so it is refused.
+    """
+    date_column, source = PARTITION_DATE["appointments"]
+    rows = conform(appointments, "appointments").withColumn(date_column, F.to_date(source))
+    copy = materialized(rows, "changed-days")
+    if not copy.where(~F.col(date_column).isin(days)).isEmpty():
+        raise ValueError("rows moved to days that were not read; add those days first")
+    (
+        copy.hint("rebalance", date_column).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(date_column)
+        .parquet(f"{base.rstrip('/')}/appointments")
+    )
+
+
 def with_seed_settings(settings: DataFrame) -> DataFrame:
     """Add the seed rows that are missing, leaving existing values alone."""
     return insert_or_ignore(settings, seed_settings(settings.sparkSession), ["key"])

@@ -60,6 +60,17 @@ def by_key(df, key: str) -> dict:
 AS_OF = dt.datetime(2026, 9, 30, 14, 36)
 
 
+@pytest.fixture(scope="session")
+def stored(spark, tmp_path_factory):
+    """The test tables in the stored layout."""
+    from apptledger.sources import starschema
+    from apptledger.sources.tables import load_tables, save_tables
+
+    path = str(tmp_path_factory.mktemp("stored") / "tables")
+    save_tables(starschema.tables(spark, str(TESTDATA)), path)
+    return load_tables(spark, path)
+
+
 def example_rows() -> dict[str, list[dict]]:
     """One week of a small business: five appointments, three clients."""
     fees = ["signing_fee", "print_fee", "trip_fee", "no_sign_fee", "other_fee"]
@@ -100,13 +111,13 @@ def example_rows() -> dict[str, list[dict]]:
         ],
         "appointments": [
             appt(1, 1, "refinance", 1, "2026-09-08T10:00", 60, "completed", (125, 25, 50, 75, 0),
-                 client_order_ref="4471-K", checked_in_at="2026-09-08T09:52:10-07:00",
+                 client_order_ref="77-A", checked_in_at="2026-09-08T09:52:10-07:00",
                  checked_out_at="2026-09-08T10:51:40-07:00", gps_verified=1, checkin_distance_m=14),
             appt(2, 2, "seller", 2, "2026-09-09T14:00", 60, "completed", (150, 0, 0, 0, 0),
                  checked_in_at="2026-09-09T13:55:00-07:00", checked_out_at="2026-09-09T14:48:00-07:00"),
             appt(3, 2, "seller", 2, "2026-09-11T10:00", 60, "completed", (150, 0, 0, 0, 0)),
             appt(4, 1, "purchase", 1, "2026-09-10T18:00", 60, "no_show", (150, 25, 50, 75, 0),
-                 client_order_ref="4502-M", outcome="borrower_no_show", shift_ext_id=88104,
+                 client_order_ref="78-B", outcome="borrower_no_show", shift_ext_id=88104,
                  checked_in_at="2026-09-10T17:53:05-07:00", checked_out_at="2026-09-10T18:48:20-07:00",
                  gps_verified=1, checkin_distance_m=9, notes="Waited."),
             appt(5, 3, "hospital", 2, "2026-09-12T11:00", 45, "completed", (75, 0, 40, 0, 0), invoiced=1,
@@ -131,6 +142,6 @@ def example(spark, tmp_path_factory):
     from apptledger.sources.tables import load_tables, save_tables
 
     path = str(tmp_path_factory.mktemp("example") / "tables")
-    settings = {"timezone_offset": "-07:00", "default_notary_id": "1", "business_name": "Lakeshore Notary"}
+    settings = {"timezone_offset": "-07:00", "default_notary_id": "1", "business_name": "Example Signings"}
     save_tables(make_tables(spark, settings, **example_rows()), path)
     return load_tables(spark, path)

@@ -63,7 +63,7 @@ def test_invoice_run_and_aging(example):
 
     assert views.receivables_by_client(after).count() == 0
     again = billing.explode_line_items(after.invoices.where("client_id = 1").select("invoice_id", "line_items"))
-    assert {(r.order_ref, r.billable) for r in again.collect()} == {("4471-K", 200.0), ("4502-M", 125.0)}
+    assert {(r.order_ref, r.billable) for r in again.collect()} == {("77-A", 200.0), ("78-B", 125.0)}
 
 
 def test_invoice_for_one_client(example, spark):
@@ -77,13 +77,13 @@ def test_invoice_text(example):
     texts = documents.render_invoices(example, billing.invoice_run(example, AS_OF).where("client_id = 1"))
     (row,) = texts.collect()
     assert row.text.splitlines() == [
-        "Lakeshore Notary",
+        "Example Signings",
         f"Invoice {row.invoice_number}",
         "To: Northside Signings (pay@northside.example)",
         "Date: 2026-09-30    Due: 2026-11-14 (net 45)",
         "",
-        "  A-2026-0001  2026-09-08  refinance, order 4471-K  signing $125.00 + print $25.00 + trip $50.00  $200.00",
-        "  A-2026-0004  2026-09-10  purchase, order 4502-M  trip $50.00 + no-sign $75.00 "
+        "  A-2026-0001  2026-09-08  refinance, order 77-A  signing $125.00 + print $25.00 + trip $50.00  $200.00",
+        "  A-2026-0004  2026-09-10  purchase, order 78-B  trip $50.00 + no-sign $75.00 "
         "(Trip / no-sign fee - signer did not appear; GPS-verified arrival 17:53)  $125.00",
         "",
         "Total due: $325.00",
@@ -92,8 +92,8 @@ def test_invoice_text(example):
 
 def test_no_show_note(example):
     (row,) = documents.render_no_show_notes(example).collect()
-    assert "arrived 17:53, GPS-verified on site (9 m from the address), waited 55 minutes (departed 18:48)" in row.text
-    assert row.text.startswith("Order 4502-M - signer did not appear, 2026-09-10 18:00 appointment.")
+    assert "Arrived 17:53, GPS-verified 9 m from the address; on site 55 minutes, left 18:48." in row.text
+    assert row.text.startswith("Order 78-B: no signing at the appointment of 2026-09-10 18:00.")
 
 
 def test_punctuality(example):

@@ -18,13 +18,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture(scope="session")
-def stored(spark, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("stored") / "tables")
-    save_tables(star.tables(spark, str(TESTDATA)), path)
-    return load_tables(spark, path)
-
-
 def test_date_filters_prune_partitions(stored):
     text = plan(views.appointments_today(stored, AS_OF))
     (line,) = [x for x in text.splitlines() if "PartitionFilters" in x and "appointment_date" in x]
@@ -99,3 +92,29 @@ def test_moved_appointments_are_found_under_their_new_date(stored):
 def test_invoice_lines_group_is_bounded(stored):
     text = plan(billing.invoice_documents(stored, billing.invoice_run(stored, AS_OF)))
     assert "hashpartitioning(invoice_id" in text
+
+
+def test_changing_some_days_leaves_the_others(spark, tmp_path):
+    from apptledger.operators import scheduling
+    from apptledger.sources.tables import days_of, replace_days, within_days
+
+    path = str(tmp_path / "tables")
+    save_tables(star.tables(spark, str(TESTDATA)), path)
+    tables = load_tables(spark, path)
+    total = tables.appointments.count()
+    requests = tables.appointments.where("status = 'confirmed' AND appointment_date = DATE '2026-09-07'").select(
+        "appointment_id", F.lit(None).cast("decimal(12,2)").alias("other_fee"))
+    asked = requests.count()
+    days = days_of(tables, requests)
+    assert days == [dt.date(2026, 9, 7)]
+    part = within_days(tables, days)
+    assert "PartitionFilters: [isnotnull(appointment_date" in plan(part.appointments)
+    replace_days(scheduling.cancel(part, requests, AS_OF).appointments, days, path)
+
+    after = load_tables(spark, path).appointments
+    assert after.count() == total
+    assert after.where(F.col("updated_at") == F.lit(str(AS_OF)).cast("timestamp_ntz")).count() == asked > 0
+
+    moved = part.appointments.withColumn("scheduled_start", F.lit("2026-09-20 09:00:00").cast("timestamp_ntz"))
+    with pytest.raises(ValueError):
+        replace_days(moved, days, path)

@@ -243,16 +243,16 @@ def test_option_keys_and_statuses(spark):
 
 def test_address_text(spark):
     rows = spark.createDataFrame(
-        [("1042  Elm St.,", "Kirkland", "WA", "98033", 0), ("500 108th Ave NE #200", "Bellevue", None, "98004", 1),
-         (None, "Bellevue", "WA", None, 1)],
+        [("18  Cedar Rd.,", "Yakima", "WA", "98901", 0), ("40 9th Ave NW #7", "Spokane", None, "99201", 1),
+         (None, "Spokane", "WA", None, 1)],
         "address string, city string, state string, zip string, is_repeat_site int",
     ).withColumn("client_name", F.lit("Harbor Title"))
     got = rows.select(
         naming.normalized_address().alias("n"), naming.street_address().alias("s"), naming.place_label().alias("l")
     ).collect()
-    assert got[0].n == "1042 elm st kirkland wa 98033" and got[0].l == "Signing - Elm St.,"
-    assert got[1].n == "500 108th ave ne 200 bellevue 98004"
-    assert got[1].s == "500 108th Ave NE #200, Bellevue 98004" and got[1].l == "Harbor Title - Bellevue"
+    assert got[0].n == "18 cedar rd yakima wa 98901" and got[0].l == "Signing - Cedar Rd.,"
+    assert got[1].n == "40 9th ave nw 7 spokane 99201"
+    assert got[1].s == "40 9th Ave NW #7, Spokane 99201" and got[1].l == "Harbor Title - Spokane"
     assert got[2].s is None
 
 
@@ -274,6 +274,25 @@ def test_lookups(spark):
     assert lookups.find_clients(tables, "%").count() == 0
 
 
+def test_one_booking_against_a_day(spark):
+    tables = week(
+        spark,
+        {"appointment_id": 1, "scheduled_start": "2026-09-30T10:00"},
+        {"appointment_id": 2, "scheduled_start": "2026-09-30T13:00"},
+        {"appointment_id": 3, "scheduled_start": "2026-09-30T11:00", "status": "cancelled"},
+        {"appointment_id": 4, "scheduled_start": "2026-09-30T11:00", "notary_id": 2},
+    )
+    day = dt.date(2026, 9, 30)
+    assert {r.appointment_id for r in lookups.worker_day(tables, 1, day).collect()} == {1, 2}
+    assert {r.appointment_id for r in lookups.worker_day(tables, 1, day, except_id=2).collect()} == {1}
+
+    def hits(hour, minute):
+        found = lookups.collisions(tables, 1, dt.datetime(2026, 9, 30, hour, minute), 60, 30)
+        return {r.appointment_id for r in found.collect()}
+
+    assert hits(11, 30) == set() and hits(11, 29) == {1} and hits(11, 31) == {2} and hits(11, 0) == {1}
+
+
 def test_prices(spark):
     records = spark.createDataFrame([(k,) for k in [*usage.PRICES, "free"]], "kind string")
     costs = {r.kind: r.cost for r in usage.metered_cost(records).collect()}
@@ -283,13 +302,13 @@ def test_prices(spark):
 
 
 MESSAGES = [
-    "Order 4471-K — REFINANCE — Borrower: Pat Doe, (425) 555-0142 — Tue Sep 8, 2026 10:00 AM PT — "
-    "1042 Elm St, Kirkland, WA 98033 — Fee: $125.00 + $25.00 print — Scanbacks REQUIRED within 1 hr — "
-    "FedEx drop by 5:00 PM same day — Loan #: 0081-55231 — Note: gate code 4471, park on street.",
-    "Harbor Title emailed: seller package, Wed 9/9 2 pm at their Bellevue office, 500 108th Ave NE Suite 200, "
-    "Bellevue 98004. File LT-22890, sellers Kim and Lee. $150, they print, no scanbacks, docs stay with escrow.",
-    "Northside order 4502-M, purchase, Thu 9/10 6 pm, borrower Pat Doe 206-555-0177, 77 Pine Ct Redmond 98052, "
-    "$150 + $25 print, scanbacks, FedEx by 8 pm.",
+    "Order 31-QX — REFINANCE — Borrower: Pat Doe, (509) 555-0111 — Mon Oct 5, 2026 9:30 AM PT — "
+    "8 Birch Ave, Yakima, WA 98901 — Fee: $110.00 + $20.00 print — Scanbacks REQUIRED within 1 hr — "
+    "FedEx drop by 4:00 PM same day — Loan #: 0099-12345 — Note: ring twice.",
+    "Harbor Title emailed: seller package, Tue 10/6 1:15 pm at their Spokane office, 40 9th Ave NW Suite 7, "
+    "Spokane 99201. File HT-100, sellers Kim and Lee. $140, they print, no scanbacks.",
+    "Northside order 32-QY, purchase, Wed 10/7 12 pm, borrower Pat Doe 509-555-0122, 3 Fir Ct Pasco 99301, "
+    "$135 + $15 print, scanbacks, UPS by 7 pm.",
     "Can you do a signing tomorrow?",
 ]
 
@@ -299,17 +318,17 @@ def test_confirmations(spark):
     got = by_key(confirmations.extract_confirmations(rows, 2026), "id")
     a, b, c, d = (got[i] for i in range(4))
     assert (a.order_ref, a.signing_type, a.phone, a.zip, a.street) == (
-        "4471-K", "refinance", "425-555-0142", "98033", "1042 Elm St")
-    assert a.scheduled_start == dt.datetime(2026, 9, 8, 10) and a.drop_deadline == dt.datetime(2026, 9, 8, 17)
-    assert (a.signing_fee, a.print_fee, a.scanbacks_required, a.shipping_carrier) == (125, 25, 1, "FedEx")
-    assert all("55231" not in str(v) for v in a.asDict().values())
+        "31-QX", "refinance", "509-555-0111", "98901", "8 Birch Ave")
+    assert a.scheduled_start == dt.datetime(2026, 10, 5, 9, 30) and a.drop_deadline == dt.datetime(2026, 10, 5, 16)
+    assert (a.signing_fee, a.print_fee, a.scanbacks_required, a.shipping_carrier) == (110, 20, 1, "FedEx")
+    assert all("12345" not in str(v) for v in a.asDict().values())
     assert (b.client_name, b.order_ref, b.signing_type, b.street, b.zip) == (
-        "Harbor Title", "LT-22890", "seller", "500 108th Ave NE Suite 200", "98004")
-    assert (b.signing_fee, b.print_fee, b.scanbacks_required) == (150, 0, 0)
-    assert b.scheduled_start == dt.datetime(2026, 9, 9, 14)
-    assert (c.client_name, c.order_ref, c.signing_type, c.street) == ("Northside", "4502-M", "purchase", "77 Pine Ct")
-    assert c.scheduled_start == dt.datetime(2026, 9, 10, 18) and c.drop_deadline == dt.datetime(2026, 9, 10, 20)
-    assert (c.print_fee, c.scanbacks_required, c.phone) == (25, 1, "206-555-0177")
+        "Harbor Title", "HT-100", "seller", "40 9th Ave NW Suite 7", "99201")
+    assert (b.signing_fee, b.print_fee, b.scanbacks_required) == (140, 0, 0)
+    assert b.scheduled_start == dt.datetime(2026, 10, 6, 13, 15)
+    assert (c.client_name, c.order_ref, c.signing_type, c.street) == ("Northside", "32-QY", "purchase", "3 Fir Ct")
+    assert c.scheduled_start == dt.datetime(2026, 10, 7, 12) and c.drop_deadline == dt.datetime(2026, 10, 7, 19)
+    assert (c.print_fee, c.scanbacks_required, c.phone) == (15, 1, "509-555-0122")
     assert d.missing_fields == ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
 
 

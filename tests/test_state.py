@@ -57,7 +57,7 @@ def test_reschedule_to_another_day(spark):
     assert (rows[1].status, rows[1].billable_total) == ("rescheduled", 0)
     assert (rows[2].status, rows[2].billable_total) == ("cancelled", 40)
     new = by_key(after.appointments.where("rescheduled_from IS NOT NULL"), "rescheduled_from")
-    assert (new[1].status, new[1].signing_fee, new[1].trip_fee, new[1].client_order_ref) == ("confirmed", 125, 50, "4471-K")
+    assert (new[1].status, new[1].signing_fee, new[1].trip_fee, new[1].client_order_ref) == ("confirmed", 125, 50, "77-A")
     assert new[2].other_fee == 0 and new[1].shift_ext_id is None and new[1].checked_in_at is None
     assert {r.appointment_id for r in new.values()} == {6, 7}
     assert new[1].appointment_no == f"A-2026-{new[1].appointment_id:04d}"
