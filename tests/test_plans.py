@@ -115,6 +115,7 @@ def test_changing_some_days_leaves_the_others(spark, tmp_path):
     assert after.count() == total
     assert after.where(F.col("updated_at") == F.lit(str(AS_OF)).cast("timestamp_ntz")).count() == asked > 0
 
-    moved = part.appointments.withColumn("scheduled_start", F.lit("2026-09-20 09:00:00").cast("timestamp_ntz"))
+    again = within_days(load_tables(spark, path), days)
+    moved = again.appointments.withColumn("scheduled_start", F.lit("2026-09-20 09:00:00").cast("timestamp_ntz"))
     with pytest.raises(ValueError):
         replace_days(moved, days, path)
