@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apptledger.functions.times import local_literal
+from apptledger.operators.joins import fits_broadcast
+from apptledger.session import materialized
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,10 +37,17 @@ def apply_changes(
     ``delta`` has one row per key. A NULL in it is written as NULL, except in the
     ``keep_when_null`` columns. Matched rows get ``updated_at = as_of`` when the
     table has that column. With ``insert`` unmatched delta rows are added.
+
+    A delta whose size is not known to be small is stored first. It then joins by
+    broadcast if it turns out small, and the base table is not shuffled for it.
     """
     keep = set(keep_when_null or [])
     changed = [c for c in delta.columns if c != key]
     renamed = delta.select(key, F.lit(1).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in changed])
+    if not insert and not fits_broadcast(renamed):
+        renamed = materialized(renamed, "changes")
+    if not insert and fits_broadcast(renamed):
+        renamed = F.broadcast(renamed)
     joined = base.join(renamed, key, "full" if insert else "left")
     hit = F.col("_hit").isNotNull()
 

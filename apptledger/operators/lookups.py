@@ -45,6 +45,11 @@ def shifts_between(shifts: DataFrame, first: dt.date, last: dt.date, status: str
     )
 
 
+def submissions_between(submissions: DataFrame, first: dt.date, last: dt.date) -> DataFrame:
+    """Completion records sent in on these local dates, for reading a period in one go."""
+    return submissions.where(times.in_local_days("submitted_at", first, last))
+
+
 def with_punches(shifts: DataFrame) -> DataFrame:
     """Shifts somebody actually punched; the others record no completion."""
     return shifts.where(F.col("punch_count") > 0)

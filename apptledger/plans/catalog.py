@@ -613,6 +613,14 @@ def newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.newest_records(once, by="worker_id").select("worker_id", "submission_id", "submitted_at", "outcome")
 
 
+@query
+def submissions_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week of completion records, repeats included."""
+    return lookups.submissions_between(_submissions(spark, sf_dir), dt.date(2024, 1, 8), dt.date(2024, 1, 14)).select(
+        "submission_id", "worker_id", "submitted_at", "outcome"
+    )
+
+
 @query
 def commissions_expiring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.commissions_expiring(star.tables(spark, sf_dir), star.AS_OF.date())
