@@ -102,6 +102,7 @@ def daily_counts(
 def write_completion_log(submissions: DataFrame, tables: Tables, path: str, checkpoint: str):
     """Turn streamed completion records into a log of appointment changes.
 
+    The log starts with an empty batch, so it can be read before any record came.
     Each micro-batch is reduced to the newest record per event, joined to the
     booked appointments and written to its own folder, so a batch that is run
     again replaces what it wrote before. ``fold_completion_log`` applies the log.
@@ -111,6 +112,7 @@ def write_completion_log(submissions: DataFrame, tables: Tables, path: str, chec
         changes = completion_changes(matched_records(tables, records))
         changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+    write(submissions.sparkSession.createDataFrame([], submissions.schema), -1)
     return (
         submissions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()

@@ -81,3 +81,14 @@ def test_streamed_completions_equal_batch(spark, events_dir, tmp_path):
         star.read(spark, str(TESTDATA), "events"), star.booking_count(spark, str(TESTDATA))).drop("appointment_id")
     batch = completion.apply_completions(tables, records, AS_OF).appointments
     assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+
+
+def test_an_empty_feed_changes_nothing(spark, events_dir, tmp_path):
+    tables = star.tables(spark, str(TESTDATA))
+    nothing = star.submission_records(stream(spark, events_dir).where("event_id < 0"), F.lit(1500)).drop("appointment_id")
+    path = str(tmp_path / "log")
+    streams.write_completion_log(
+        nothing.withColumn("submitted_at", F.col("submitted_at").cast("timestamp")), tables, path, str(tmp_path / "cp")
+    ).awaitTermination()
+    after = streams.fold_completion_log(tables, path, AS_OF).appointments
+    assert after.exceptAll(tables.appointments).count() == 0
