@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apptledger.functions import times
 from apptledger.model import Tables
 from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
