@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import naming
 from apptledger.model import Tables
-from apptledger.operators.joins import lookup_join
+from apptledger.operators.joins import lookup_join, lookup_joins
 from apptledger.plans.views import appointments_upcoming
 
 # Columns that never leave.
@@ -68,11 +68,14 @@ def find_leaks(outbound: DataFrame, tables: Tables) -> DataFrame:
     """Outbound texts that carry that appointment's private data or look like an
     identity number: ``appointment_id, field, leak``."""
     access = tables.places.select("place_id", F.col("access_notes").alias("place_access_notes"))
-    private = lookup_join(
-        tables.appointments.select("appointment_id", "place_id", "signer_name", "signer_phone", "access_notes"),
-        access, "place_id", "left", spread_by=["appointment_id"],
+    commissions = tables.notaries.select("notary_id", "commission_number")
+    private = lookup_joins(
+        tables.appointments.select(
+            "appointment_id", "place_id", "notary_id", "signer_name", "signer_phone", "access_notes"
+        ),
+        [(access, "place_id", "left"), (commissions, "notary_id", "left")], ["appointment_id"],
     )
-    secrets = [c for c in PRIVATE_COLUMNS if c in private.columns]
+    secrets = PRIVATE_COLUMNS
     fields = [c for c in outbound.columns if c != "appointment_id"]
     texts = outbound.join(private.select("appointment_id", *secrets), "appointment_id").select(
         "appointment_id", *secrets,

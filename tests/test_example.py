@@ -90,6 +90,14 @@ def test_invoice_text(example):
     ]
 
 
+def test_invoices_carry_no_private_data(example):
+    secret = example.replace(appointments=example.appointments.withColumns({
+        "signer_name": F.lit("Pat Doe"), "signer_phone": F.lit("509-555-0111"), "access_notes": F.lit("ring 2B")}))
+    for row in documents.render_invoices(secret, billing.invoice_run(secret, AS_OF)).collect():
+        for private in ["Pat Doe", "555-0111", "ring 2B", "Gate 99", "Oak St", "8th Ave"]:
+            assert private not in row.text
+
+
 def test_no_show_note(example):
     (row,) = documents.render_no_show_notes(example).collect()
     assert "Arrived 17:53, GPS-verified 9 m from the address; on site 55 minutes, left 18:48." in row.text

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import naming
 from apptledger.model import empty_tables
-from apptledger.operators import admission, lookups, payouts, quality, usage
+from apptledger.operators import admission, lookups, payouts, privacy, quality, usage
 from apptledger.operators.billing import invoice_run
 from apptledger.plans import views
 from apptledger.settings import seed_settings, setting, settings_row
@@ -274,6 +274,26 @@ def test_lookups(spark):
     assert lookups.find_clients(tables, "%").count() == 0
 
 
+def test_repeats_point_at_the_existing_row(spark):
+    tables = week(spark, {"appointment_id": 1})
+    asked = spark.sql("SELECT * FROM VALUES (1L, 602L), (2L, 999L) AS t(request_id, worker_ext_id)")
+    assert [tuple(r) for r in quality.existing_for(tables, asked, "notaries").select("request_id", "existing_id").collect()] == [(1, 2)]
+
+
+def test_leaks(spark):
+    tables = week(spark, {"appointment_id": 1, "signer_name": "Pat Doe", "signer_phone": "509-555-0111", "notary_id": 2},
+                  {"appointment_id": 2, "signer_name": "", "signer_phone": None})
+    roster = tables.notaries.withColumn("commission_number", F.concat(F.lit("WA"), F.col("notary_id").cast("string")))
+    tables = tables.replace(notaries=roster)
+    outbound = spark.sql("""SELECT * FROM VALUES
+        (1L, 'Refi signing for Pat Doe', 'Gate 99, WA2'), (2L, 'Refi signing', 'ssn 123-45-6789, passport no. 7')
+        AS t(appointment_id, title, label)""")
+    got = {(r.appointment_id, r.field, r.leak) for r in privacy.find_leaks(outbound, tables).collect()}
+    assert got == {(1, "title", "signer_name"), (1, "label", "place_access_notes"), (1, "label", "commission_number"),
+                   (2, "label", "social_security"), (2, "label", "id_number")}
+    assert privacy.find_leaks(privacy.outbound_texts(tables), tables).count() == 0
+
+
 def test_one_booking_against_a_day(spark):
     tables = week(
         spark,
