@@ -17,11 +17,25 @@ RADIUS_THRESHOLD_M = 100
 RADIUS_FLOOR_M = 91
 
 
+# Accepted ranges of the policy.
+RADIUS_RANGE_M = (10, 10000)
+REMINDER_RANGE_MIN = (0, 60)
+
+
 @dataclasses.dataclass(frozen=True)
 class CheckinPolicy:
     radius_m: int = 150
     slack_min: int = 20
     remote_checkin: bool = False
+    checkout_reminder_min: int = 15
+
+    def __post_init__(self) -> None:
+        for name, value, (low, high) in [
+            ("radius_m", self.radius_m, RADIUS_RANGE_M),
+            ("checkout_reminder_min", self.checkout_reminder_min, REMINDER_RANGE_MIN),
+        ]:
+            if not low <= value <= high:
+                raise ValueError(f"{name} must be between {low} and {high}")
 
     @property
     def effective_radius_m(self) -> int:
@@ -73,6 +87,15 @@ def checkin_eligibility(tables: Tables, policy: CheckinPolicy) -> DataFrame:
     )
 
 
+def checkout_reminders(tables: Tables, policy: CheckinPolicy, as_of: dt.datetime) -> DataFrame:
+    """Checked in, not checked out, and the reminder time after the end has come."""
+    end = times.plus_minutes("scheduled_start", "duration_minutes")
+    latest = times.local_literal(as_of - dt.timedelta(minutes=policy.checkout_reminder_min))
+    return tables.appointments.where(
+        F.col("checked_in_at").isNotNull() & F.col("checked_out_at").isNull() & (end <= latest)
+    ).select("appointment_id", "appointment_no", "notary_id", "shift_ext_id", end.alias("scheduled_end"))
+
+
 def waiting_for_checkin(tables: Tables, as_of: dt.datetime) -> DataFrame:
     """Open appointments with a shift whose start has passed without a check-in."""
     return tables.appointments.where(

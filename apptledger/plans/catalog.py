@@ -144,6 +144,13 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.render_invoices(tables, billing.invoice_run(tables, star.AS_OF))
 
 
+@query
+def payment_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late invoices fifty days after a billing run, the new ones among them."""
+    after = billing.apply_invoice_run(star.tables(spark, sf_dir), star.AS_OF)
+    return documents.render_reminders(after, star.AS_OF + dt.timedelta(days=50))
+
+
 @query
 def payout_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.render_statements(star.tables(spark, sf_dir))
@@ -569,6 +576,11 @@ def checkin_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presence.checkin_eligibility(star.tables(spark, sf_dir), presence.CheckinPolicy(radius_m=60, slack_min=15))
 
 
+@query
+def checkout_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presence.checkout_reminders(star.tables(spark, sf_dir), presence.CheckinPolicy(), star.AS_OF)
+
+
 @query
 def waiting_for_checkin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifts never punched: stamps of the evenly numbered are taken away first."""

@@ -1,4 +1,4 @@
-"""Plain-text invoices, payout statements and no-show notes.
+"""Plain-text invoices, reminders, payout statements and no-show notes.
 
 Texts are built a document at a time, and a document holds a bounded number of
 lines (see ``operators.billing``), so no single row grows with a client.
@@ -6,12 +6,15 @@ lines (see ``operators.billing``), so no single row grows with a client.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from apptledger.functions import times
+from apptledger.functions import money, times
 from apptledger.model import Tables
-from apptledger.operators.billing import document_part, invoiced_lines
+from apptledger.operators.billing import LINE_ITEM, document_part, invoiced_lines
 from apptledger.operators.joins import lookup_join
 from apptledger.plans.views import no_show_evidence, payouts_due
 from apptledger.settings import setting
@@ -140,6 +143,26 @@ def render_no_show_notes(tables: Tables) -> DataFrame:
     return no_show_evidence(tables).select("appointment_id", "appointment_no", text.alias("text"))
 
 
+def render_reminders(tables: Tables, as_of: dt.datetime) -> DataFrame:
+    """A short message per late invoice, with the order references of its lines.
+
+    The references come from the JSON on the row, so nothing is shuffled for them.
+    """
+    today = as_of.date()
+    late = tables.invoices.where((F.col("paid") == 0) & (F.col("due_date") < times.date_literal(today)))
+    clients = tables.clients.select("client_id", "client_name", "billing_email")
+    rows = lookup_join(late, clients, "client_id", spread_by=["invoice_id"])
+    items = F.from_json("line_items", T.ArrayType(LINE_ITEM))
+    orders = F.nullif(F.array_join(F.array_compact(F.transform(items, lambda x: x["order_ref"])), ", "), F.lit(""))
+    text = F.concat(
+        F.lit("Invoice "), F.coalesce("invoice_number", F.lit("")), F.lit(" to "), F.col("client_name"), F.lit(" for "),
+        dollars("total_amount"), F.lit(" was due on "), F.col("due_date").cast("string"), F.lit(", "),
+        money.days_past_due(today).cast("string"), F.lit(" days ago."),
+        F.coalesce(F.concat(F.lit(" Orders: "), orders, F.lit(".")), F.lit("")),
+    )
+    return rows.select("invoice_id", "client_id", "billing_email", text.alias("text"))
+
+
 def write_texts(rendered: DataFrame, path: str, by: str) -> None:
     """Write texts as files, in folders named by ``by``."""
     rendered.select(by, "text").hint("rebalance", by).write.partitionBy(by).option("lineSep", "\n\f\n").text(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from apptledger.operators import billing, presence
@@ -119,6 +120,22 @@ def test_checkin_policy(example):
     assert remote.where("allowed").count() == 4
 
 
+@pytest.mark.parametrize("policy", [{"radius_m": 5}, {"radius_m": 20000}, {"checkout_reminder_min": 61}])
+def test_policy_ranges(policy):
+    with pytest.raises(ValueError):
+        presence.CheckinPolicy(**policy)
+
+
+def test_reminders(example):
+    after = billing.apply_invoice_run(example, AS_OF)
+    assert documents.render_reminders(after, AS_OF).count() == 0
+    late = by_key(documents.render_reminders(after, AS_OF + dt.timedelta(days=40)), "client_id")
+    assert set(late) == {2}
+    assert late[2].text.endswith("to Harbor Title for $300.00 was due on 2026-10-30, 10 days ago.")
+    both = by_key(documents.render_reminders(after, AS_OF + dt.timedelta(days=46)), "client_id")
+    assert both[1].text.endswith("was due on 2026-11-14, 1 days ago. Orders: 77-A, 78-B.")
+
+
 def test_written_texts(example, tmp_path, spark):
     path = str(tmp_path / "texts")
     documents.write_texts(documents.render_no_show_notes(example), path, "appointment_no")
