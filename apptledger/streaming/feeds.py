@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apptledger.model import Tables
 from apptledger.operators.changes import apply_changes, latest_per_key
 from apptledger.operators.completion import KEPT_WHEN_ABSENT, completion_changes, matched_records
+from apptledger.operators.usage import PRICES
 from apptledger.session import scratch_path
 
 
@@ -43,8 +44,34 @@ def commands_once(
     return once_per_key(commands, "idempotency_key", event_time, ttl, slots)
 
 
-def shift_stamps(punches: DataFrame, event_time: str = "ts", delay: str = "2 hours") -> DataFrame:
-    """First check-in and last check-out per shift and day.
+def offset_in_seconds(offset: str) -> int:
+    """Seconds east of UTC for text such as ``-05:00``."""
+    hours, minutes = (int(x) for x in offset[1:].split(":"))
+    return (hours * 3600 + minutes * 60) * (-1 if offset[0] == "-" else 1)
+
+
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+
+
+def local_window(event_time: str, width: str, offset: str) -> Column:
+    """Tumbling windows counted from the business's local midnight; ``width`` such
+    as ``1 hour``."""
+    number, unit = width.split()
+    start = -offset_in_seconds(offset) % (int(number) * UNIT_SECONDS[unit.rstrip("s")])
+    return F.window(event_time, width, startTime=f"{start} seconds")
+
+
+def local_time(instant: Column, offset: str) -> Column:
+    """The business's wall clock at an instant, whatever the session zone."""
+    seconds = F.unix_seconds(instant) + offset_in_seconds(offset)
+    midnight = F.date_from_unix_date(F.floor(seconds / F.lit(86400)).cast("int")).cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", F.pmod(seconds, F.lit(86400)).cast("int"), midnight)
+
+
+def shift_stamps(
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+) -> DataFrame:
+    """First check-in and last check-out per shift and local day.
 
     A windowed aggregate rather than a join of ins with outs: it keeps one small
     state row per shift however many punches a shift gets, and emits a shift when
@@ -53,27 +80,34 @@ def shift_stamps(punches: DataFrame, event_time: str = "ts", delay: str = "2 hou
     time = F.col(event_time)
     return (
         punches.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, "1 day").alias("day"), "shift_id", "worker_id")
+        .groupBy(local_window(event_time, "1 day", offset).alias("day"), "shift_id", "worker_id")
         .agg(
             F.min(F.when(F.col("type") == "in", time)).alias("actual_in"),
             F.max(F.when(F.col("type") == "out", time)).alias("actual_out"),
             F.count(F.lit(1)).alias("punch_count"),
         )
-        .select(F.to_date("day.start").alias("work_date"), "shift_id", "worker_id", "actual_in", "actual_out", "punch_count")
+        .select(
+            local_time(F.col("day.start"), offset).cast("date").alias("work_date"),
+            "shift_id", "worker_id", "actual_in", "actual_out", "punch_count",
+        )
     )
 
 
-def time_on_site(punches: DataFrame, event_time: str = "ts", delay: str = "2 hours") -> DataFrame:
+def time_on_site(
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+) -> DataFrame:
     """Shifts that were checked in and out, with the seconds between."""
-    stamps = shift_stamps(punches, event_time, delay)
+    stamps = shift_stamps(punches, event_time, delay, offset)
     return stamps.where(F.col("actual_out") >= F.col("actual_in")).withColumn(
         "seconds_on_site", F.unix_seconds("actual_out") - F.unix_seconds("actual_in")
     )
 
 
-def missing_checkout(punches: DataFrame, event_time: str = "ts", delay: str = "2 hours") -> DataFrame:
+def missing_checkout(
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+) -> DataFrame:
     """Shifts checked in on a day that closed without a later check-out."""
-    stamps = shift_stamps(punches, event_time, delay)
+    stamps = shift_stamps(punches, event_time, delay, offset)
     left = F.coalesce(F.col("actual_out") >= F.col("actual_in"), F.lit(False))
     return stamps.where(F.col("actual_in").isNotNull() & ~left).select(
         "work_date", "shift_id", "worker_id", "actual_in"
@@ -81,20 +115,20 @@ def missing_checkout(punches: DataFrame, event_time: str = "ts", delay: str = "2
 
 
 def daily_counts(
-    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", width: str = "1 day"
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", width: str = "1 day", offset: str = "+00:00"
 ) -> DataFrame:
-    """Punches per window and type and what they cost."""
+    """Punches per local window and type and what they cost."""
     return (
         punches.withWatermark(event_time, delay)
-        .groupBy(F.window(event_time, width).alias("w"), "type")
+        .groupBy(local_window(event_time, width, offset).alias("w"), "type")
         .agg(
             F.count(F.lit(1)).alias("punches"),
             F.sum(F.col("gps_verified").cast("int")).alias("verified"),
-            (F.count(F.lit(1)) * F.lit("0.10").cast("decimal(4,2)")).alias("cost"),
+            (F.count(F.lit(1)) * F.lit(PRICES["punch"])).alias("cost"),
         )
         .select(
-            F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-            F.col("w.end").cast("timestamp_ntz").alias("window_end"), "type", "punches", "verified", "cost",
+            local_time(F.col("w.start"), offset).alias("window_start"),
+            local_time(F.col("w.end"), offset).alias("window_end"), "type", "punches", "verified", "cost",
         )
     )
 

@@ -94,6 +94,16 @@ def test_invoice_lines_group_is_bounded(stored):
     assert "hashpartitioning(invoice_id" in text
 
 
+def test_small_changes_do_not_shuffle_the_table(stored):
+    """Also when the change set was derived, so that its size was not known before."""
+    from apptledger.operators import scheduling
+
+    requests = stored.appointments.join(stored.clients.where("client_type = 'lender'"), "client_id").select(
+        "appointment_id", F.lit(None).cast("decimal(12,2)").alias("other_fee"))
+    text = plan(scheduling.cancel(stored, requests, AS_OF).appointments)
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
 def test_changing_some_days_leaves_the_others(spark, tmp_path):
     from apptledger.operators import scheduling
     from apptledger.sources.tables import days_of, replace_days, within_days

@@ -106,3 +106,30 @@ def test_an_empty_feed_changes_nothing(spark, events_dir, tmp_path):
     ).awaitTermination()
     after = streams.fold_completion_log(tables, path, AS_OF).appointments
     assert after.exceptAll(tables.appointments).count() == 0
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
+def test_days_are_the_business_days(spark, tmp_path, zone):
+    """A late afternoon shift west of UTC crosses midnight there, not here."""
+    path = str(tmp_path / "punches")
+    spark.sql("""SELECT * FROM VALUES
+        (1L, 7L, 'in', true, TIMESTAMP '2026-09-08 16:30:00-07:00'), (1L, 7L, 'out', true, TIMESTAMP '2026-09-08 17:30:00-07:00'),
+        (2L, 7L, 'in', false, TIMESTAMP '2026-09-09 09:00:00-07:00'), (9L, 9L, 'out', true, TIMESTAMP '2026-09-12 09:00:00-07:00')
+        AS t(shift_id, worker_id, type, gps_verified, ts)""").coalesce(1).write.parquet(path)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+        paired = streams.run_to_files(streams.time_on_site(live, offset="-07:00"), "t-local").collect()
+        alerts = streams.run_to_files(streams.missing_checkout(live, offset="-07:00"), "t-local-alerts").collect()
+        counts = streams.run_to_files(streams.daily_counts(live, offset="-07:00"), "t-local-counts")
+        first = counts.where("type = 'in'").orderBy("window_start").first()
+        halves = streams.run_to_files(streams.daily_counts(live, width="30 minutes", offset="+05:45"), "t-halves")
+        half = halves.where("type = 'in'").orderBy("window_start").first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [(r.shift_id, str(r.work_date), r.seconds_on_site) for r in paired] == [(1, "2026-09-08", 3600)]
+    assert [(r.shift_id, str(r.work_date)) for r in alerts] == [(2, "2026-09-09")]
+    assert (str(first.window_start), str(first.window_end), first.punches) == (
+        "2026-09-08 00:00:00", "2026-09-09 00:00:00", 1)
+    assert str(half.window_start) == "2026-09-09 05:00:00", "16:30 at -07:00 is 05:15 at +05:45"
