@@ -12,6 +12,7 @@ from apptledger.model import Tables, conform
 from apptledger.operators.changes import apply_changes, latest_per_key
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
+from apptledger.session import materialized
 
 
 def match_places(requests: DataFrame, places: DataFrame) -> DataFrame:
@@ -36,9 +37,10 @@ def resolve_places(requests: DataFrame, places: DataFrame) -> tuple[DataFrame, D
 def new_places(requests: DataFrame, tables: Tables, as_of: dt.datetime) -> DataFrame:
     """One row per address not cached yet, described by its first request."""
     _, misses = resolve_places(requests, tables.places)
-    first = latest_per_key(
-        misses.withColumn("_first", -F.col("request_id")), ["normalized_address"], ["_first"]
-    ).drop("place_id", "location_ext_id", "needs_location", "_first")
+    first = materialized(
+        latest_per_key(
+            misses.withColumn("_first", -F.col("request_id")), ["normalized_address"], ["_first"]
+        ).drop("place_id", "location_ext_id", "needs_location", "_first"), "new-places")
     last = tables.places.agg(F.max("place_id")).scalar()
     numbered = assign_ids(first, "normalized_address", "place_id", last)
     return conform(numbered.withColumns({

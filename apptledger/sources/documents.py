@@ -95,10 +95,10 @@ def render_invoices(tables: Tables, headers: DataFrame) -> DataFrame:
 
 def render_statements(tables: Tables) -> DataFrame:
     """Open payouts per worker, split like invoices when a worker has very many."""
-    due = payouts_due(tables)
-    counts = due.groupBy("notary_id").agg(F.count(F.lit(1)).alias("line_count"))
+    unpaid = tables.payouts.where(F.col("paid") == 0)
+    counts = unpaid.groupBy("notary_id").agg(F.count(F.lit(1)).alias("line_count"))
     rows = lookup_join(
-        due, counts, "notary_id", spread_by=["payout_id"], bound=tables.notaries, counted_in=tables.payouts
+        payouts_due(tables), counts, "notary_id", spread_by=["payout_id"], bound=tables.notaries, counted_in=unpaid
     )
     amount = F.coalesce(dollars("amount"), F.lit("amount needed"))
     line = F.concat_ws(
