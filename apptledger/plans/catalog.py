@@ -893,6 +893,13 @@ def stream_missing_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_files(streams.missing_checkout(star.punches(star.events_stream(spark, sf_dir))), "no-checkout")
 
 
+@query
+def stream_missing_checkin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Punches and planned shifts in one feed; shifts nobody checked in to."""
+    feed = star.punches(star.events_stream(spark, sf_dir), {**star.PUNCH_TYPES, "signup": "scheduled"})
+    return streams.run_to_files(streams.missing_checkin(feed), "no-checkin")
+
+
 @query
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_to_files(streams.daily_counts(star.punches(star.events_stream(spark, sf_dir))), "daily")

@@ -250,13 +250,16 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
 
 
-def punches(events: DataFrame) -> DataFrame:
+PUNCH_TYPES = {"click": "in", "purchase": "out"}
+
+
+def punches(events: DataFrame, types: dict[str, str] = PUNCH_TYPES) -> DataFrame:
     """Check-in and check-out punches, from a batch or a stream of events."""
-    return events.where(F.col("event_type").isin("click", "purchase")).select(
+    return events.where(F.col("event_type").isin(list(types))).select(
         "event_id",
         _shift_id(F.col("user_id"), F.col("ts")).alias("shift_id"),
         F.col("user_id").alias("worker_id"),
-        F.when(F.col("event_type") == "click", "in").otherwise("out").alias("type"),
+        F.element_at(naming.literal_map(types), F.col("event_type")).alias("type"),
         F.floor("value").cast("int").alias("distance_from_site_m"),
         (F.col("event_id") % 7 != 0).alias("gps_verified"),
         F.col("ts").cast("timestamp").alias("ts"),

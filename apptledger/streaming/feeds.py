@@ -114,6 +114,27 @@ def missing_checkout(
     )
 
 
+def missing_checkin(
+    feed: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+) -> DataFrame:
+    """Shifts scheduled on a day that closed without a check-in.
+
+    ``feed`` holds punches and, with type ``scheduled``, one row per planned shift
+    at its start.
+    """
+    time = F.col(event_time)
+    return (
+        feed.withWatermark(event_time, delay)
+        .groupBy(local_window(event_time, "1 day", offset).alias("day"), "shift_id", "worker_id")
+        .agg(
+            F.min(F.when(F.col("type") == "scheduled", time)).alias("scheduled_at"),
+            F.sum((F.col("type") == "in").cast("int")).alias("check_ins"),
+        )
+        .where(F.col("scheduled_at").isNotNull() & (F.col("check_ins") == 0))
+        .select(local_time(F.col("day.start"), offset).cast("date").alias("work_date"), "shift_id", "worker_id", "scheduled_at")
+    )
+
+
 def daily_counts(
     punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", width: str = "1 day", offset: str = "+00:00"
 ) -> DataFrame:
