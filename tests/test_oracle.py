@@ -10,10 +10,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from apptledger.plans.catalog import QUERIES
+from oracle.queries import all_sql
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +28,7 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
