@@ -19,15 +19,18 @@ def with_columns(df: DataFrame, source: str, added: T.StructType,
     """
     names = set(added.fieldNames())
     kept = [c for c in df.columns if c not in names]
-    # The source may be replaced by its own result, so it travels under a name of its own.
-    carried = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{source}`"].alias("__source__"))
+    carried, at = df.select(*[df[f"`{c}`"] for c in kept]), len(kept)
+    if source in kept:
+        at = kept.index(source)
+    else:  # replaced by its own result, so it travels under another name
+        carried = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{source}`"].alias("__source__"))
     schema = T.StructType([df.schema[c] for c in kept] + list(added.fields))
     types = [(f.name, to_arrow_type(f.dataType)) for f in added.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            made = compute(batch.column(len(kept)))
+            made = compute(batch.column(at))
             columns = [v.cast(t) if isinstance(v, pa.Array) else pa.array(v, type=t)
                        for v, (_, t) in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays(

@@ -14,7 +14,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(documents))
+    decoded = bpe.decode(bpe.encode(documents).drop("text"))
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
