@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe
+from apptledger.llm import bpe, licenses, quality, secrets, unigram, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,56 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_bytes", "n_packed", F.size("chunk_bytes").cast("long").alias("n_chunks"), "n_bad_chunks")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
+#: (host, path, verdict) of the registered query.
+URL_RULES = [
+    ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = urlrules.judge(pages, urlrules.rules_table(spark, URL_RULES))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return spans.select(
+        "doc_id", *map(number, secrets.KINDS[:3]), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"), number("random"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = F.try_element_at("matches", F.lit(1))
+    return scanned.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
+        best["dice"].alias("dice"), best["n_bigrams"].cast("long").alias("n_bigrams"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_compression": op2_compression,
+    "op3_token_counts": op3_token_counts,
+    "op7_url_rules": op7_url_rules,
+    "op9_secrets": op9_secrets,
+    "op10_licenses": op10_licenses,
 }
 
-#: No SQL dialect expresses these operators; tests/llm holds each against a brute-force version or a round trip.
+#: Where SQL can express a query over whole tables. tests/llm holds the others against brute force or a round trip.
 SQL: dict[str, str] = {}
