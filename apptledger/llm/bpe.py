@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from apptledger.llm.arrow import with_columns
 
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Longer words are merged each time they occur.
 CACHED_LENGTH = 40
 #: What the tokenizer's own regular expressions count as white space.

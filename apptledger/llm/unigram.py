@@ -34,7 +34,7 @@ from apptledger.llm.arrow import with_columns
 
 SPACE = "▁"
 UNKNOWN = 10
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 #: Longer parts are counted each time they occur.
 CACHED_LENGTH = 40
 #: Piece types of the file: ordinary, and given by the user.
