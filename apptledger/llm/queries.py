@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, licenses, quality, secrets, unigram, urlrules
+from apptledger.llm import bpe, licenses, neardup, quality, secrets, unigram, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
 
 
+def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: (host, path, verdict) of the registered query.
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -68,6 +72,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
     "op3_token_counts": op3_token_counts,
+    "op4_minmax_neardup": op4_minmax_neardup,
     "op7_url_rules": op7_url_rules,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
