@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, licenses, neardup, quality, secrets, unigram, urlrules
+from apptledger.llm import bpe, licenses, neardup, quality, secrets, topk, unigram, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
+
+
 #: (host, path, verdict) of the registered query.
 URL_RULES = [
     ("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_compression": op2_compression,
     "op3_token_counts": op3_token_counts,
     "op4_minmax_neardup": op4_minmax_neardup,
+    "op6_topk": op6_topk,
     "op7_url_rules": op7_url_rules,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
