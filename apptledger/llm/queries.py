@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, licenses, neardup, quality, secrets, topk, unigram, urlrules
+from apptledger.llm import bpe, html, licenses, neardup, quality, secrets, topk, unigram, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return extracted.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op4_minmax_neardup": op4_minmax_neardup,
     "op6_topk": op6_topk,
     "op7_url_rules": op7_url_rules,
+    "op8_main_text": op8_main_text,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
 }
