@@ -78,7 +78,12 @@ TEMPLATES = {
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
         "this work."),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Rights reserved": "Copyright. All rights reserved.",
+    "All rights reserved": "All rights reserved.",
+    "CC BY 4.0": "Licensed under CC BY 4.0.",
+    "CC BY-SA 4.0": "Licensed under CC BY-SA 4.0.",
+    "CC BY-ND 4.0": "Licensed under CC BY-ND 4.0.",
+    "CC BY-NC 4.0": "Licensed under CC BY-NC 4.0.",
+    "CC BY-NC-SA 4.0": "Licensed under CC BY-NC-SA 4.0.",
 }
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, html, licenses, neardup, quality, secrets, topk, unigram, urlrules
+from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, secrets, topk, unigram, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def op4_minmax_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = mixing.rates(documents, table(spark, sf_dir, "labels"))
+    return rated.select(
+        "doc_id", "n_words", *[f"p_{d}" for d in mixing.DOMAINS], "rate",
+        mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.search(vectors.where("vec_id % 50 = 0"), vectors, k=5)
@@ -83,6 +91,7 @@ QUERIES = {
     "op2_compression": op2_compression,
     "op3_token_counts": op3_token_counts,
     "op4_minmax_neardup": op4_minmax_neardup,
+    "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_url_rules": op7_url_rules,
     "op8_main_text": op8_main_text,
