@@ -99,5 +99,58 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
+UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def url_sql() -> str:
+    rules = ", ".join(f"({quoted(h)}, {quoted(p)}, {quoted(v)})" for h, p, v in URL_RULES)
+    return f"""
+WITH rules(h, p, v) AS (VALUES {rules}),
+split AS (
+  SELECT row_number() OVER () AS r, page_id,
+    CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), {UPPER_LOWER}) AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM split),
+fits AS (
+  SELECT r, h || p AS rule, v, row_number() OVER (
+    PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC, v DESC) AS place
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT r, rule, v FROM fits WHERE place = 1) USING (r)"""
+
+
+def license_sql() -> str:
+    listed = ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in sorted(licenses.TEMPLATES.items()))
+    words = f"regexp_extract_all(translate(body, {UPPER_LOWER}), '[0-9A-Za-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    least = licenses.THRESHOLD / (2 - licenses.THRESHOLD)
+    return f"""
+WITH listed(license, body) AS (VALUES {listed}),
+templates AS (SELECT license, {pairs} AS t FROM (SELECT license, {words} AS w FROM listed)),
+docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+passages AS (
+  SELECT r, unnest(string_split(text, chr(10))) AS body FROM docs
+  UNION SELECT r, unnest(regexp_split_to_array(text, '\n[\x20\t\r]*\n')) FROM docs
+  UNION SELECT r, text FROM docs),
+cut AS (SELECT r, {pairs} AS p FROM (SELECT r, {words} AS w FROM passages)),
+scored AS (
+  SELECT r, license, len(p) AS n_bigrams, 2 * len(list_intersect(p, t)) / (len(p) + len(t)) AS dice
+  FROM cut JOIN templates ON len(p) >= {least} * len(t) AND len(p) * {least} <= len(t)),
+best AS (
+  SELECT *, count(*) OVER (PARTITION BY r) AS n_matches, row_number() OVER (
+    PARTITION BY r ORDER BY dice DESC, n_bigrams DESC, license) AS place
+  FROM scored WHERE dice >= {licenses.THRESHOLD})
+SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, license, dice, n_bigrams::BIGINT AS n_bigrams
+FROM docs LEFT JOIN (SELECT * FROM best WHERE place = 1) USING (r)"""
+
+
 #: Where SQL can express a query over whole tables. tests/llm holds the others against brute force or a round trip.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_url_rules": url_sql(),
+    "op10_licenses": license_sql(),
+}
