@@ -10,7 +10,7 @@ gap and ends outside it. Valid classes form the template; the runs between their
 
 Text of the template is left out, and so is any slot inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles or comments of readers, known by element, role, or words of class and id. What
-remains inside ``article`` elements is the text; without one inside ``main``; without either, of the whole body.
+remains inside ``article`` elements is the text, be it empty; without one inside ``main``; without either, of the whole body.
 A header inside an article belongs to the article.
 
 Vectors are never gathered: a token's vector is a 64-bit exclusive or over hashes of (page, count), combined
@@ -154,13 +154,14 @@ class Reader:
                     break
             top = stack[-1]
             below, own, attributes = self.element(top[1], name, match[4])
-            out.append((own, None, True, *top[2:]))
+            furniture = top[2] or is_furniture(name, attributes, top[3])
+            inside = (furniture, top[3] or name == "article" and not furniture,
+                      top[4] or (name == "main" or attributes.get("role") == "main") and not furniture)
+            out.append((own, None, True, *inside))
             # Paragraphs and headings hold no elements that matter, and are often left open.
             if name in VOID or name == "p" or len(name) == 2 and name[0] == "h" and name[1].isdigit():
                 continue
-            furniture = top[2] or is_furniture(name, attributes, top[3])
-            stack.append((name, below, furniture, top[3] or name == "article" and not furniture,
-                          top[4] or (name == "main" or attributes.get("role") == "main") and not furniture))
+            stack.append((name, below, *inside))
         return out
 
 

@@ -33,7 +33,7 @@ MIN_WORDS, MAX_REPEAT = 20, 30
 LEVEL, CHUNK = 3, 8192
 MAX_CHUNKS = 0.5
 #: (bytes from, least ratio, greatest ratio); a band holds up to the next one's start.
-BANDS = [(0, 1.0, 2.1), (512, 1.2, 2.4), (2048, 1.4, 2.5), (8192, 1.5, 2.65), (32768, 1.6, 2.9)]
+BANDS = [(0, 1.0, 2.1), (512, 1.2, 2.4), (2048, 1.4, 2.6), (8192, 1.5, 2.8), (32768, 1.6, 3.2)]
 
 MEASURES = T.StructType([
     T.StructField("n_words", T.LongType()), T.StructField("word_chars", T.LongType()),
