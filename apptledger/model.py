@@ -88,24 +88,23 @@ def _schema(columns: str) -> T.StructType:
 
 SCHEMAS: dict[str, T.StructType] = {name: _schema(columns) for name, columns in _COLUMNS.items()}
 
-# Columns whose change counts as an edit of the appointment (its number and
-# creation time do not).
-TOUCHING_COLUMNS = [
-    c for c in SCHEMAS["appointments"].fieldNames()
-    if c not in ("appointment_id", "appointment_no", "created_at", "updated_at")
-]
-
-
 class Tables:
     """The nine base tables, each opened when first used.
 
-    Transforms return a new bundle; nothing is mutated.
+    Transforms return a new bundle; nothing is mutated. A bundle that holds a
+    part of the appointments knows them all as ``every_appointment``, for rules
+    about the whole table.
     """
 
-    def __init__(self, **frames: DataFrame | Callable[[], DataFrame]) -> None:
+    def __init__(self, *, whole: Callable[[], DataFrame] | None = None, **frames: DataFrame | Callable[[], DataFrame]) -> None:
         if set(frames) != set(SCHEMAS):
             raise ValueError(f"expected exactly the tables {sorted(SCHEMAS)}")
         self._frames = frames
+        self._whole = whole
+
+    @property
+    def every_appointment(self) -> DataFrame:
+        return self._whole() if self._whole else self.appointments
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in self._frames:
@@ -120,7 +119,7 @@ class Tables:
         only describes rows as they were written."""
         if "appointments" in changed:
             changed["appointments"] = changed["appointments"].drop("appointment_date")
-        return Tables(**{**self._frames, **changed})
+        return Tables(whole=self._whole, **{**self._frames, **changed})
 
     @staticmethod
     def names() -> list[str]:

@@ -13,6 +13,7 @@ from apptledger.model import MONEY, RATE, Tables, conform
 from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
+from apptledger.session import materialized
 from apptledger.settings import setting
 
 DEFAULTED_FEES = ["signing_fee", "print_fee", "trip_fee", "no_sign_fee"]
@@ -43,7 +44,8 @@ def admit_appointments(tables: Tables, new: DataFrame, as_of: dt.datetime) -> Ta
     ``new`` carries a unique ``request_id`` and any appointment columns except
     the id. Ids continue after the highest one in use.
     """
-    last = tables.appointments.agg(F.max("appointment_id")).scalar()
+    new = materialized(new, "bookings")  # numbering reads it twice
+    last = tables.every_appointment.agg(F.max("appointment_id")).scalar()
     numbered = assign_ids(new, "request_id", "appointment_id", last)
     return tables.replace(appointments=tables.appointments.unionByName(
         complete_bookings(numbered, tables, as_of), allowMissingColumns=True
@@ -74,7 +76,7 @@ def snapshot_trips(trips: DataFrame, settings: DataFrame) -> DataFrame:
 def add_trips(tables: Tables, trips: DataFrame) -> Tables:
     """Append trips; ``trips`` carries ids or a unique ``request_id``."""
     if "trip_id" not in trips.columns:
-        trips = assign_ids(trips, "request_id", "trip_id", tables.mileage.agg(F.max("trip_id")).scalar())
+        trips = assign_ids(materialized(trips, "trips"), "request_id", "trip_id", tables.mileage.agg(F.max("trip_id")).scalar())
     shaped = conform(snapshot_trips(conform(trips, "mileage"), tables.settings), "mileage")
     return tables.replace(mileage=tables.mileage.unionByName(shaped))
 
@@ -94,6 +96,6 @@ def edit_trips(tables: Tables, edits: DataFrame) -> Tables:
 def add_journal_entries(tables: Tables, entries: DataFrame) -> Tables:
     if "entry_id" not in entries.columns:
         last = tables.journal_index.agg(F.max("entry_id")).scalar()
-        entries = assign_ids(entries, "request_id", "entry_id", last)
+        entries = assign_ids(materialized(entries, "entries"), "request_id", "entry_id", last)
     shaped = conform(entries, "journal_index").withColumn("act_count", F.coalesce("act_count", F.lit(1)))
     return tables.replace(journal_index=tables.journal_index.unionByName(shaped))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,11 @@ from apptledger.plans.views import priced
 from apptledger.session import materialized
 from apptledger.settings import setting
 
-# A document never holds more lines than this. An invoice within the limit is one
-# document; a longer one is split by ranges of appointment ids, which are unique,
-# so no group can outgrow the limit and no line is lost.
+# A document holds this many lines; a longer invoice goes on in further parts, each
+# full before the next begins.
 LINES_PER_DOCUMENT = 4096
+# Lines are ranked within ranges of this many ids, whatever a client's number of lines.
+ID_RANGE = 4096
 
 # The fields of one line item, in output order.
 LINE_ITEM = T.StructType([
@@ -80,33 +81,40 @@ def invoice_run(tables: Tables, as_of: dt.datetime, client_ids: DataFrame | None
     )
 
 
-def document_part(line_count: Column | str = "line_count") -> Column:
-    """0 for an invoice that fits one document, else 1 + the id range of the line."""
-    id_range = F.floor(F.col("appointment_id") / F.lit(LINES_PER_DOCUMENT)).cast("bigint")
-    return F.when(times.col(line_count) <= LINES_PER_DOCUMENT, F.lit(0).cast("bigint")).otherwise(id_range + 1)
+def document_part(line_no: Column | str = "line_no") -> Column:
+    """0 for the first ``LINES_PER_DOCUMENT`` lines, 1 for the next, and so on."""
+    return F.floor((times.col(line_no) - 1) / F.lit(LINES_PER_DOCUMENT)).cast("bigint")
 
 
-def invoiced_lines(tables: Tables, headers: DataFrame, client_ids: DataFrame | None = None) -> DataFrame:
-    """Each billed line with the header it belongs to and its document part."""
-    header = headers.select(
-        "client_id", "invoice_id", "invoice_number", "invoice_date", "due_date", "payment_terms_days",
-        "total_amount", "line_count",
+def numbered_lines(lines: DataFrame, owner: str) -> DataFrame:
+    """``line_no`` from 1 for each owner's lines, by appointment, and the ``part_no`` it falls in.
+
+    Lines are ranked within ranges of ids, which are unique, so a task ranks
+    ``ID_RANGE`` lines of an owner at most; each range starts where the owner's earlier
+    ones end. Only the counts of ranges meet in one place, not the lines.
+    """
+    ranged = lines.withColumn("_range", F.floor(F.col("appointment_id") / F.lit(ID_RANGE)))
+    within = Window.partitionBy(owner, "_range")
+    earlier = Window.partitionBy(owner).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(owner, "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        owner, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
     )
-    rows = lookup_join(
-        invoice_lines(tables, client_ids), header, "client_id", spread_by=["appointment_id"], bound=tables.clients
+    ranked = ranged.withColumn("_rank", F.row_number().over(within.orderBy("appointment_id")))
+    numbered = ranked.join(starts, [owner, "_range"])
+    return numbered.withColumn("line_no", F.col("_start") + F.col("_rank")).withColumn("part_no", document_part()).drop(
+        "_range", "_rank", "_start"
     )
-    return rows.withColumn("part_no", document_part())
 
 
 def invoice_documents(tables: Tables, headers: DataFrame) -> DataFrame:
-    """Line items as JSON arrays, ordered by appointment."""
+    """Line items as JSON arrays, ordered by appointment; the header joins the finished documents."""
     item = F.struct(*[
         F.col(_LINE_SOURCE.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in LINE_ITEM.fields
     ])
-    lines = F.array_sort(F.collect_list(F.struct("appointment_id", item.alias("item"))))
-    documents = invoiced_lines(tables, headers).groupBy("invoice_id", "invoice_number", "part_no").agg(
-        lines.alias("lines")
-    )
+    wanted = headers.select("client_id", "invoice_id", "invoice_number")
+    lines = F.array_sort(F.collect_list(F.struct("line_no", item.alias("item"))))
+    documents = numbered_lines(invoice_lines(tables), "client_id").groupBy("client_id", "part_no").agg(lines.alias("lines"))
+    documents = lookup_join(documents, wanted, "client_id", spread_by=["part_no"], bound=tables.clients)
     return documents.select(
         "invoice_id", "invoice_number", "part_no", F.size("lines").alias("lines_in_part"),
         F.to_json(F.transform("lines", lambda x: x["item"]), {"ignoreNullFields": "false"}).alias("line_items"),
@@ -136,12 +144,11 @@ def mark_invoiced(tables: Tables, client_ids: DataFrame, as_of: dt.datetime) ->
 def apply_invoice_run(tables: Tables, as_of: dt.datetime, client_ids: DataFrame | None = None) -> Tables:
     """Append the run's invoices and flag what they bill.
 
-    An invoice kept in one document carries its JSON on the row; for a longer one
-    the parts of ``invoice_documents`` hold it.
+    The row carries the JSON of its first part; ``invoice_documents`` has them all.
     """
     headers = materialized(invoice_run(tables, as_of, client_ids), "invoice-run")
-    whole = invoice_documents(tables, headers).where(F.col("part_no") == 0).select("invoice_id", "line_items")
-    rows = headers.join(whole, "invoice_id", "left").withColumns({
+    first = invoice_documents(tables, headers).where(F.col("part_no") == 0).select("invoice_id", "line_items")
+    rows = headers.join(first, "invoice_id", "left").withColumns({
         "paid": F.lit(0), "created_at": times.local_literal(as_of),
     })
     return tables.replace(

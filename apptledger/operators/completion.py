@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import naming
 from apptledger.model import Tables
-from apptledger.operators.changes import apply_changes, latest_per_key
+from apptledger.operators.changes import apply_changes, latest_per_key, one_per_key
 
 # A record without these leaves what is already known.
 KEPT_WHEN_ABSENT = [
@@ -18,6 +18,14 @@ KEPT_WHEN_ABSENT = [
 ]
 
 
+def shift_stamps(shifts: DataFrame) -> DataFrame:
+    """One row per shift with a punch: of several replies about a shift the one that knows most punches, then the latest."""
+    columns = ["actual_in", "actual_out", "gps_verified", "checkin_distance_m"]
+    known = shifts.where((F.col("punch_count") > 0) & F.col("shift_id").isNotNull()).select("shift_id", "punch_count", *columns)
+    last = latest_per_key(known, ["shift_id"], ["punch_count", "actual_out", "actual_in", "gps_verified", "checkin_distance_m"])
+    return last.select(F.col("shift_id").alias("shift_ext_id"), *columns)
+
+
 def matched_records(tables: Tables, submissions: DataFrame, shifts: DataFrame | None = None) -> DataFrame:
     """The newest record of each event next to its appointment.
 
@@ -38,10 +46,7 @@ def matched_records(tables: Tables, submissions: DataFrame, shifts: DataFrame |
             "actual_in": none.cast("timestamp"), "actual_out": none.cast("timestamp"),
             "gps_verified": none.cast("int"), "checkin_distance_m": none.cast("int"),
         })
-    stamps = shifts.where(F.col("punch_count") > 0).select(
-        F.col("shift_id").alias("shift_ext_id"), "actual_in", "actual_out", "gps_verified", "checkin_distance_m"
-    )
-    return rows.join(stamps, "shift_ext_id")
+    return rows.join(shift_stamps(shifts), "shift_ext_id")
 
 
 def appended(notes: Column, more: Column) -> Column:
@@ -49,8 +54,8 @@ def appended(notes: Column, more: Column) -> Column:
     return F.nullif(F.concat(F.coalesce(notes, F.lit("")), F.coalesce(more, F.lit(""))), F.lit(""))
 
 
-def completion_changes(records: DataFrame) -> DataFrame:
-    """What each matched record changes on its appointment.
+def completion_changes(records: DataFrame, *also: str) -> DataFrame:
+    """What each matched record changes on its appointment, next to columns of the record asked for.
 
     A no-show takes the status, outcome, stamps and the details of the wait; drop,
     scan-back and document fields belong to work that took place.
@@ -79,21 +84,24 @@ def completion_changes(records: DataFrame) -> DataFrame:
         appended(
             F.col("old_notes"), F.when(absent, F.col("no_sign_details")).otherwise(F.col("issues"))
         ).alias("notes"),
+        *also,
     )
 
 
 def apply_completions(
     tables: Tables, submissions: DataFrame, as_of: dt.datetime, shifts: DataFrame | None = None
 ) -> Tables:
-    changes = completion_changes(matched_records(tables, submissions, shifts))
+    changes = completion_changes(matched_records(tables, submissions, shifts), "submitted_at")
     return tables.replace(appointments=apply_changes(
-        tables.appointments, changes, "appointment_id", as_of=as_of, keep_when_null=KEPT_WHEN_ABSENT
+        tables.appointments, changes, "appointment_id", as_of=as_of, keep_when_null=KEPT_WHEN_ABSENT,
+        newest_by=["submitted_at", "submission_id"],
     ))
 
 
 def apply_no_shows(tables: Tables, reports: DataFrame, as_of: dt.datetime) -> Tables:
     """No-shows told by the business rather than by a record: ``appointment_id,
-    outcome, details``. Fees are left as they are."""
+    outcome, details``, and ``requested_at`` where several may tell of one. Fees are left as they are."""
+    reports = one_per_key(reports, "appointment_id")
     told = tables.appointments.select("appointment_id", F.col("notes").alias("old_notes")).join(
         reports.select("appointment_id", "outcome", "details"), "appointment_id"
     ).select(
@@ -107,11 +115,7 @@ def apply_no_shows(tables: Tables, reports: DataFrame, as_of: dt.datetime) -> Ta
 
 def record_stamps(tables: Tables, shifts: DataFrame, as_of: dt.datetime) -> Tables:
     """Copy shift stamps onto the appointments they belong to."""
-    stamps = shifts.where(F.col("punch_count") > 0).select(
-        F.col("shift_id").alias("shift_ext_id"),
-        F.col("actual_in").alias("checked_in_at"), F.col("actual_out").alias("checked_out_at"),
-        "gps_verified", "checkin_distance_m",
-    )
+    stamps = shift_stamps(shifts).withColumnsRenamed({"actual_in": "checked_in_at", "actual_out": "checked_out_at"})
     booked = tables.appointments.where(F.col("shift_ext_id").isNotNull()).select("appointment_id", "shift_ext_id")
     changes = booked.join(stamps, "shift_ext_id").drop("shift_ext_id")
     return tables.replace(appointments=apply_changes(
@@ -124,17 +128,17 @@ def record_drops(tables: Tables, drops: DataFrame, as_of: dt.datetime) -> Tables
     """Packages handed over: ``appointment_no, dropped_at, tracking_no, shipping_carrier``.
     A carrier already on the row stays."""
     carriers = tables.appointments.select("appointment_no", F.col("shipping_carrier").alias("_had"))
-    delta = carriers.join(drops, "appointment_no").select(
+    delta = carriers.join(one_per_key(drops, "appointment_no", ["dropped_at"]), "appointment_no").select(
         "appointment_no", "dropped_at", "tracking_no",
         F.coalesce("_had", "shipping_carrier").alias("shipping_carrier"),
     )
     return tables.replace(
-        appointments=apply_changes(tables.appointments, delta, "appointment_no", as_of=as_of)
+        appointments=apply_changes(tables.appointments, delta, "appointment_no", as_of=as_of, newest_by=["dropped_at"])
     )
 
 
 def record_scanbacks(tables: Tables, sent: DataFrame, as_of: dt.datetime) -> Tables:
     delta = sent.select("appointment_no", "scanbacks_sent_at")
     return tables.replace(
-        appointments=apply_changes(tables.appointments, delta, "appointment_no", as_of=as_of)
+        appointments=apply_changes(tables.appointments, delta, "appointment_no", as_of=as_of, newest_by=["scanbacks_sent_at"])
     )

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import naming, times
 from apptledger.model import Tables, conform
-from apptledger.operators.changes import apply_changes, latest_per_key
+from apptledger.operators.changes import apply_changes, latest_per_key, one_per_key
+from apptledger.operators.chains import followed
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
 from apptledger.session import materialized
@@ -71,9 +72,14 @@ def merge_places(tables: Tables, merges: DataFrame, as_of: dt.datetime) -> Table
     """Fold duplicates into survivors (``place_id, survivor_id``).
 
     Appointments move to the survivor. The survivor keeps its location id and
-    takes a duplicate's only when it has none.
+    takes a duplicate's only when it has none, which moves its ``updated_at``.
+    Survivors that are merged themselves are followed to the last one; merges
+    that run in a circle, or of a place into itself, are left out.
     """
-    plan = merges.select("place_id", "survivor_id")
+    wanted = one_per_key(merges.select("place_id", "survivor_id"), "place_id")
+    ends = followed(wanted.select(F.col("place_id").alias("node"), F.col("survivor_id").alias("up")).where("node <> up"))
+    plan = materialized(
+        ends.where(F.col("root").isNotNull()).select(F.col("node").alias("place_id"), F.col("root").alias("survivor_id")), "merges")
     moved = lookup_join(
         tables.appointments, plan, "place_id", "left", spread_by=["appointment_id"], bound=tables.places
     )
@@ -89,7 +95,9 @@ def merge_places(tables: Tables, merges: DataFrame, as_of: dt.datetime) -> Table
         .agg(F.min("location_ext_id").alias("_inherited"))
     )
     kept = tables.places.join(plan.select("place_id"), "place_id", "left_anti").join(inherited, "place_id", "left")
-    places = kept.withColumn("location_ext_id", F.coalesce("location_ext_id", "_inherited")).select(
-        *tables.places.columns
-    )
+    gained = F.col("location_ext_id").isNull() & F.col("_inherited").isNotNull()
+    places = kept.withColumns({
+        "updated_at": F.when(gained, times.local_literal(as_of)).otherwise(F.col("updated_at")),
+        "location_ext_id": F.coalesce("location_ext_id", "_inherited"),
+    }).select(*tables.places.columns)
     return tables.replace(appointments=appointments, places=places)

@@ -90,7 +90,7 @@ def delete_places(tables: Tables, ids: DataFrame) -> tuple[Tables, DataFrame]:
     """Deletes the places nothing refers to; returns the others, which stay, with
     the number of appointments that hold them."""
     asked = ids.select("place_id").distinct()
-    holders = tables.appointments.groupBy("place_id").agg(F.count(F.lit(1)).alias("appointments"))
+    holders = tables.every_appointment.groupBy("place_id").agg(F.count(F.lit(1)).alias("appointments"))
     blocked = asked.join(holders, "place_id")
     free = asked.join(holders, "place_id", "left_anti")
     return tables.replace(places=tables.places.join(free, "place_id", "left_anti")), blocked

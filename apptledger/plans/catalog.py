@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from apptledger.plans import reports, views
 from apptledger.session import scratch_path
 from apptledger.sources import confirmations, documents, feeds
 from apptledger.sources import starschema as star
+from apptledger.sources.tables import load_tables, save_tables
 from apptledger.streaming import feeds as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,8 +149,10 @@ def invoice_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def payment_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Late invoices fifty days after a billing run, the new ones among them."""
-    after = billing.apply_invoice_run(star.tables(spark, sf_dir), star.AS_OF)
-    return documents.render_reminders(after, star.AS_OF + dt.timedelta(days=50))
+    tables = star.tables(spark, sf_dir)
+    after = billing.apply_invoice_run(tables, star.AS_OF)
+    parts = billing.invoice_documents(tables, billing.invoice_run(tables, star.AS_OF))
+    return documents.render_reminders(after, star.AS_OF + dt.timedelta(days=50), parts)
 
 
 @query
@@ -445,19 +449,73 @@ def admit_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def merge_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites of region 3 fold into the site before them; shows appointments with
+    """Sites of regions 3 and 2 fold into the site before them, so some by way of another; shows appointments with
     the location they now use."""
     tables = star.tables(spark, sf_dir)
     merges = star.read(spark, sf_dir, "nation").where(F.col("n_nationkey") % 5 == 3).select(
         F.col("n_nationkey").cast("bigint").alias("place_id"),
         (F.col("n_nationkey") - 1).cast("bigint").alias("survivor_id"),
     )
+    merges = merges.unionByName(star.read(spark, sf_dir, "nation").where(F.col("n_nationkey") % 5 == 2).select(
+        F.col("n_nationkey").cast("bigint").alias("place_id"), (F.col("n_nationkey") - 1).cast("bigint").alias("survivor_id")))
     after = places.merge_places(tables, merges, star.AS_OF)
     return after.appointments.select("appointment_id", "place_id", "updated_at").join(
         after.places.select("place_id", "location_ext_id"), "place_id"
     )
 
 
+@query
+def link_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location ids for the sites that lack one, each told twice."""
+    tables = star.tables(spark, sf_dir)
+    links = tables.places.where(F.col("location_ext_id").isNull()).select(
+        "place_id", (F.col("place_id") + 40_000).alias("location_ext_id"))
+    after = places.link_locations(tables, links.unionByName(links), star.AS_OF)
+    return after.places.select("place_id", "location_ext_id", "updated_at")
+
+
+@query
+def update_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A setting for every tenth client, added to the seed ones, one of which changes."""
+    tables = star.tables(spark, sf_dir)
+    values = tables.clients.where(F.col("client_id") % 10 == 0).select(
+        F.concat(F.lit("terms_of_"), F.col("client_id").cast("string")).alias("key"),
+        F.col("payment_terms_days").cast("string").alias("value"))
+    values = values.unionByName(spark.createDataFrame([("default_notary_id", "7")], "key string, value string"))
+    after = upkeep.update_settings(tables, values).settings
+    return after.where((F.col("key") == "default_notary_id") | F.col("key").startswith("terms_of_"))
+
+
+@query
+def stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables written in the stored layout and read back: rows and sum of ids of each."""
+    path = scratch_path(spark, "stored")
+    save_tables(star.tables(spark, sf_dir), path)
+    back = load_tables(spark, path)
+    counts = [
+        getattr(back, name).agg(
+            F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.sum(key).alias("ids"))
+        for name, key in [
+            ("clients", "client_id"), ("places", "place_id"), ("notaries", "notary_id"), ("appointments", "appointment_id"),
+            ("journal_index", "entry_id"), ("mileage", "trip_id"), ("invoices", "invoice_id"), ("payouts", "payout_id")]
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _listed(name: str) -> Query:
+    """A view's rows in the order it is read in."""
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables, view = star.tables(spark, sf_dir), getattr(views, name)
+        return views.listed(name, view(tables, star.AS_OF) if name in views.NEEDS_TIME else view(tables))
+
+    build.__name__ = f"listed_{name}"
+    return build
+
+
+for _name in views.LISTED_BY:
+    query(_listed(_name))
+
+
 # Feeds and completion
 
 
@@ -885,24 +943,24 @@ def stream_commands_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_time_on_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_files(streams.time_on_site(star.punches(star.events_stream(spark, sf_dir))), "time-on-site")
+    return streams.run_to_files(streams.time_on_site(star.punches(star.closed_events_stream(spark, sf_dir))), "time-on-site")
 
 
 @query
 def stream_missing_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_files(streams.missing_checkout(star.punches(star.events_stream(spark, sf_dir))), "no-checkout")
+    return streams.run_to_files(streams.missing_checkout(star.punches(star.closed_events_stream(spark, sf_dir))), "no-checkout")
 
 
 @query
 def stream_missing_checkin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Punches and planned shifts in one feed; shifts nobody checked in to."""
-    feed = star.punches(star.events_stream(spark, sf_dir), {**star.PUNCH_TYPES, "signup": "scheduled"})
+    feed = star.punches(star.closed_events_stream(spark, sf_dir), {**star.PUNCH_TYPES, "signup": "scheduled"})
     return streams.run_to_files(streams.missing_checkin(feed), "no-checkin")
 
 
 @query
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.run_to_files(streams.daily_counts(star.punches(star.events_stream(spark, sf_dir))), "daily")
+    return streams.run_to_files(streams.daily_counts(star.punches(star.closed_events_stream(spark, sf_dir))), "daily")
 
 
 @query

@@ -244,6 +244,10 @@ LISTED_BY = {
 }
 
 
+# Views that depend on the clock.
+NEEDS_TIME = {"appointments_today", "appointments_upcoming", "drops_due", "invoices_outstanding"}
+
+
 def listed(name: str, rows: DataFrame) -> DataFrame:
     """A view's rows in the order it is read in."""
     if name not in LISTED_BY:

@@ -32,15 +32,21 @@ PHONE = r"\(?(\d{3})\)?[ -](\d{3})-(\d{4})"
 NAMED_DATE = r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+(\d{1,2})(?:,\s*(\d{4}))?"
 SLASH_DATE = r"\b(\d{1,2})/(\d{1,2})\b(?:/(\d{4}))?"
 CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*([AaPp])\.?[Mm]\b"
+# Short forms of street endings.
+STREET_ENDINGS = "Aly|Ave|Blvd|Cir|Ct|Dr|Hwy|Ln|Loop|Pkwy|Pl|Plz|Rd|Row|Run|Sq|St|Ter|Trl|Way|Xing"
 STREET = (
-    r"\b(\d+ (?:[A-Za-z0-9]+ ){1,3}?(?:St|Ave|Ct|Rd|Blvd|Dr|Ln|Way)\b(?: [NSEW]{1,2}\b)?(?: Suite \w+)?)"
+    r"\b(\d+ (?:[A-Za-z0-9]+ ){1,3}?(?:" + STREET_ENDINGS + r")\b(?: [NSEW]{1,2}\b)?(?: Suite \w+)?)"
 )
 ZIP = r"(?<![\d-])(\d{5})(?![\d-])"
-SIGNING_FEE = r"\$(\d+(?:\.\d{2})?)"
-PRINT_FEE = r"\+\s*\$(\d+(?:\.\d{2})?)\s*print"
+AMOUNT = r"\$(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d+(?:\.\d{2})?)"
+SIGNING_FEE = AMOUNT
+PRINT_FEE = r"\+\s*" + AMOUNT + r"\s*print"
 SCANBACKS = r"(?i)\b(?:no\s+)?scan-?backs?\b"
 THEY_PRINT = r"(?i)\bthey print\b"
 DROP = r"\b(FedEx|UPS)\b(?:\s+drop)?\s+by\s+\d{1,2}(?::\d{2})?\s*[AaPp]\.?[Mm]\b"
+PERSON = r"[A-Z][a-z'-]+(?: [A-Z][a-z'-]+)+"
+SIGNER = r"(?:[Ss]igning party:?|[Bb]orrowers?:?|[Ss]ellers?|[Ss]igners?:?|meet) (" + PERSON + r"(?: and " + PERSON + r")*)"
+TOWN = STREET + r",? ([A-Z][A-Za-z.' -]*?)(?:, ([A-Z]{2}))?,? \d{5}\b"
 CLIENT = r"^(.+?)\s+(?:emailed|order)\b"
 
 REQUIRED_FIELDS = ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
@@ -57,6 +63,11 @@ def found(text: Column | str, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(times.col(text), pattern, group), F.lit(""))
 
 
+def amount(text: Column, pattern: str) -> Column:
+    """A dollar amount, its thousands set apart by commas or not."""
+    return F.replace(found(text, pattern), F.lit(","), F.lit("")).try_cast(MONEY)
+
+
 def canonical(field: str, said: Column | str) -> Column:
     """The house value for what was said; values already in house form pass."""
     said = F.trim(F.lower(times.col(said)))
@@ -99,7 +110,7 @@ def mentioned_date(named: Column, slashed: Column, default_year: int) -> Column:
 MENTIONS = {
     "client": CLIENT, "order": ORDER_REF, "type": SIGNING_TYPE, "phone": PHONE, "named_date": NAMED_DATE,
     "slash_date": SLASH_DATE, "clock": CLOCK, "street": STREET, "zip": ZIP, "fee": SIGNING_FEE, "print": PRINT_FEE,
-    "scanbacks": SCANBACKS, "drop": DROP, "they_print": THEY_PRINT,
+    "scanbacks": SCANBACKS, "drop": DROP, "they_print": THEY_PRINT, "signer": SIGNER, "town": TOWN,
 }
 
 
@@ -122,10 +133,14 @@ def extract_confirmations(messages: DataFrame, default_year: int, text: str = "t
         "phone": F.regexp_replace(piece("phone"), PHONE, "$1-$2-$3"),
         "scheduled_start": times.plus_minutes("_day", clock_minutes(piece("clock"))),
         "street": piece("street"),
+        "city": found(piece("town"), TOWN, 2),
+        "state": found(piece("town"), TOWN, 3),
         "zip": piece("zip"),
-        "signing_fee": F.substring(piece("fee"), 2, 20).try_cast(MONEY),
+        "signer_name": found(piece("signer"), SIGNER),
+        "signer_count": F.size(F.split(found(piece("signer"), SIGNER), " and ")).cast("bigint"),
+        "signing_fee": amount(piece("fee"), SIGNING_FEE),
         "print_fee": F.when(piece("they_print").isNotNull(), F.lit(0).cast(MONEY))
-        .otherwise(found(piece("print"), PRINT_FEE).try_cast(MONEY)),
+        .otherwise(amount(piece("print"), PRINT_FEE)),
         "scanbacks_required": F.when(F.lower(piece("scanbacks")).startswith("no"), 0)
         .when(piece("scanbacks").isNotNull(), 1),
         "shipping_carrier": found(piece("drop"), DROP),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from apptledger.functions import money, times
 from apptledger.model import Tables
-from apptledger.operators.billing import LINE_ITEM, document_part, invoiced_lines
+from apptledger.operators.billing import LINE_ITEM, invoice_lines, numbered_lines
 from apptledger.operators.joins import lookup_join
 from apptledger.plans.views import no_show_evidence, payouts_due
 from apptledger.settings import setting
@@ -69,15 +69,15 @@ def invoice_line_text(offset: Column) -> Column:
 def render_invoices(tables: Tables, headers: DataFrame) -> DataFrame:
     """One text per invoice document. The head and total repeat on every part."""
     offset = setting(tables.settings, "timezone_offset")
-    lines = invoiced_lines(tables, headers).withColumn("text", invoice_line_text(offset))
-    documents = lines.groupBy("client_id", "invoice_id", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("appointment_id", "text"))).alias("texts")
+    lines = numbered_lines(invoice_lines(tables), "client_id").withColumn("text", invoice_line_text(offset))
+    documents = lines.groupBy("client_id", "part_no").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("texts")
     )
     heads = headers.join(tables.clients.select("client_id", "client_name", "billing_email"), "client_id").select(
-        "invoice_id", "invoice_number", "invoice_date", "due_date", "payment_terms_days", "total_amount",
+        "client_id", "invoice_id", "invoice_number", "invoice_date", "due_date", "payment_terms_days", "total_amount",
         "client_name", "billing_email",
     )
-    rows = lookup_join(documents, heads, "invoice_id", spread_by=["part_no"], bound=tables.clients)
+    rows = lookup_join(documents, heads, "client_id", spread_by=["part_no"], bound=tables.clients)
     address = F.coalesce(F.concat(F.lit(" ("), F.col("billing_email"), F.lit(")")), F.lit(""))
     head = F.concat_ws(
         "\n",
@@ -95,19 +95,15 @@ def render_invoices(tables: Tables, headers: DataFrame) -> DataFrame:
 
 def render_statements(tables: Tables) -> DataFrame:
     """Open payouts per worker, split like invoices when a worker has very many."""
-    unpaid = tables.payouts.where(F.col("paid") == 0)
-    counts = unpaid.groupBy("notary_id").agg(F.count(F.lit(1)).alias("line_count"))
-    rows = lookup_join(
-        payouts_due(tables), counts, "notary_id", spread_by=["payout_id"], bound=tables.notaries, counted_in=unpaid
-    )
+    rows = numbered_lines(payouts_due(tables), "notary_id")
     amount = F.coalesce(dollars("amount"), F.lit("amount needed"))
     line = F.concat_ws(
         "  ", F.lit(""), F.col("appointment_no"), F.col("appointment_date").cast("string"), F.col("signing_type"), amount
     )
     documents = (
-        rows.withColumns({"text": line, "part_no": document_part()})
+        rows.withColumn("text", line)
         .groupBy("notary_id", "notary_name", "notary_total_due", "part_no")
-        .agg(F.array_sort(F.collect_list(F.struct("appointment_id", "text"))).alias("texts"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("texts"))
     )
     text = F.concat(
         F.lit("Statement for "), F.col("notary_name"), F.lit("\n"), _document("texts"),
@@ -143,13 +139,18 @@ def render_no_show_notes(tables: Tables) -> DataFrame:
     return no_show_evidence(tables).select("appointment_id", "appointment_no", text.alias("text"))
 
 
-def render_reminders(tables: Tables, as_of: dt.datetime) -> DataFrame:
+def render_reminders(tables: Tables, as_of: dt.datetime, documents: DataFrame | None = None) -> DataFrame:
     """A short message per late invoice, with the order references of its lines.
 
     The references come from the JSON on the row, so nothing is shuffled for them.
+    The further parts of long invoices, given as ``documents``, get a message each.
     """
     today = as_of.date()
     late = tables.invoices.where((F.col("paid") == 0) & (F.col("due_date") < times.date_literal(today)))
+    if documents is not None:
+        more = documents.where(F.col("part_no") > 0).select("invoice_id", F.col("line_items").alias("_further"))
+        further = late.join(more, "invoice_id").withColumn("line_items", F.col("_further")).select(*late.columns)
+        late = late.unionByName(further)
     clients = tables.clients.select("client_id", "client_name", "billing_email")
     rows = lookup_join(late, clients, "client_id", spread_by=["invoice_id"])
     items = F.from_json("line_items", T.ArrayType(LINE_ITEM))

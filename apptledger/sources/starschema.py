@@ -18,6 +18,7 @@ from apptledger.model import MONEY, RATE, SIGNING_TYPES, WORKED_STATUSES, Tables
 from apptledger.operators.admission import fill_defaults
 from apptledger.operators.joins import lookup_join, lookup_joins
 from apptledger.plans.views import priced
+from apptledger.session import scratch_path
 from apptledger.settings import seed_settings, setting
 
 AS_OF = dt.datetime(2026, 9, 30, 14, 36)
@@ -152,7 +153,7 @@ def appointments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "drop_deadline": F.when(key % 3 != 1, F.timestamp_add("HOUR", F.lit(17), day)),
         "dropped_at": F.when(key % 5 != 0, F.timestamp_add("HOUR", F.lit(16), day)),
         "shipping_carrier": F.when(key % 4 == 0, "FedEx").when(key % 4 == 1, "UPS").when(key % 4 == 2, "courier"),
-        "tracking_no": F.when(key % 5 != 0, _text("7712 ", key)),
+        "tracking_no": F.when(key % 5 != 0, _text("TRK ", key)),
         "access_notes": F.when(key % 4 == 2, _text("ring ", key)),
         "submission_id": F.when(status.isin(WORKED_STATUSES), F.lit(3000000000) + key),
         "checked_in_at": F.timestamp_seconds(arrived),
@@ -250,6 +251,28 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir.rstrip('/')}/events*.parquet")
 
 
+@lru_cache(maxsize=8)
+def _closed_events(spark: SparkSession, sf_dir: str) -> str:
+    """A copy of the events with a last check-in long after them, which lets every earlier day close."""
+    events = read(spark, sf_dir, "events")
+    last = events.groupBy().agg(F.max("ts").alias("last"))
+    closing = last.select(
+        F.lit(-1).alias("event_id"), F.lit(-1).alias("user_id"), F.lit("click").alias("event_type"),
+        F.timestamp_add("DAY", F.lit(30), F.col("last")).alias("ts"), F.lit(0.0).alias("value"),
+    )
+    path = scratch_path(spark, "closed-events")
+    closing = closing.select(*[
+        (F.col(f.name) if f.name in closing.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields
+    ])
+    events.unionByName(closing).write.parquet(path)
+    return path
+
+
+def closed_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream that ends, so that its last days are complete."""
+    return spark.readStream.schema(read(spark, sf_dir, "events").schema).parquet(_closed_events(spark, sf_dir))
+
+
 PUNCH_TYPES = {"click": "in", "purchase": "out"}
 
 
@@ -286,7 +309,7 @@ def submission_records(events: DataFrame, bookings: Column) -> DataFrame:
         naming.option_key(label).alias("outcome"),
         F.get_json_object("props", "$.k").cast("int").alias("docs_notarized"),
         F.when(key % 3 == 0, "not_required").when(key % 3 == 1, "sent").otherwise("pending").alias("scanbacks"),
-        F.when(key % 4 == 1, _text("7712 ", key)).alias("tracking_no"),
+        F.when(key % 4 == 1, _text("TRK ", key)).alias("tracking_no"),
         F.when(key % 5 == 2, _text("issue ", key)).alias("issues"),
         F.when((key % 6).isin(1, 2, 4), _text("waited ", key % 60, " min")).alias("no_sign_details"),
         (key % 3).cast("int").alias("drop_receipts"),
@@ -347,11 +370,17 @@ def raw_shift_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).alias("body"))
 
 
+def thousands(amount: Column) -> Column:
+    """``1,234.50``, as people write it."""
+    return F.format_number(amount, 2)
+
+
 @lru_cache(maxsize=8)
 def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmation messages written out from bookings, in three shapes."""
     key = F.col("appointment_id")
-    place = places(spark, sf_dir).select("place_id", "address", "city", "state", "zip")
+    town = F.translate("city", "_0123456789", " ABCDEFGHIJ").alias("city")  # as a town is written
+    place = places(spark, sf_dir).select("place_id", "address", town, "state", "zip")
     client = clients(spark, sf_dir).select("client_id", "client_name")
     rows = spread(raw_appointments(spark, sf_dir), "appointment_id")
     rows = lookup_joins(rows, [(place, "place_id", "inner"), (client, "client_id", "inner")], ["appointment_id"])
@@ -371,30 +400,30 @@ def confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
         " — ",
         F.concat(F.lit("Order "), F.col("client_order_ref")),
         F.upper(said_type),
-        F.concat(F.lit("Borrower: Sam Signer, ("), F.regexp_replace("signer_phone", "^(\\d+)-", "$1) ")),
-        _text(month, " ", F.dayofmonth(start), ", 2026 ", long_clock, " PT"),
+        F.concat(F.lit("Signing party: Sam Signer, ("), F.regexp_replace("signer_phone", "^(\\d+)-", "$1) ")),
+        _text(month, " ", F.dayofmonth(start), ", 2026 ", long_clock, " local"),
         _text(F.col("address"), ", ", F.col("city"), F.coalesce(F.concat(F.lit(", "), F.col("state")), F.lit("")), zip_),
-        F.when(fee.isNotNull(), _text("Fee: $", fee, " + $25.00 print")),
-        F.when(scans, "Scanbacks REQUIRED within 1 hr"),
-        F.when(key % 2 == 0, "FedEx drop by 5:00 PM same day"),
-        _text("Loan #: 0081-", 50000 + key % 40000),
+        F.when(fee.isNotNull(), F.concat(F.lit("Pays $"), thousands(fee), F.lit(" + $25.00 print"))),
+        F.when(scans, "send scan-backs the same afternoon"),
+        F.when(key % 2 == 0, "hand to FedEx by 5:00 PM"),
+        _text("Loan reference 31-", 50000 + key % 40000),
     )
     noted = F.concat(
-        F.col("client_name"), F.lit(" emailed: "), said_type, F.lit(" package, "), slash_date, F.lit(" "), short_clock,
-        F.lit(" at their office, "), F.col("address"), F.lit(", "), F.col("city"), zip_, F.lit("."),
+        F.col("client_name"), F.lit(" emailed: "), said_type, F.lit(" papers for "), slash_date, F.lit(" "), short_clock,
+        F.lit(", to be signed at the branch, "), F.col("address"), F.lit(", "), F.col("city"), zip_, F.lit("."),
         F.coalesce(F.concat(F.lit(" File "), F.col("client_order_ref"), F.lit(".")), F.lit("")),
-        F.coalesce(_text(" $", fee, ", they print,"), F.lit(" They print,")),
-        F.when(scans, " scanbacks.").otherwise(" no scanbacks."),
+        F.coalesce(F.concat(F.lit(" They print, and pay $"), thousands(fee), F.lit(".")), F.lit(" They print.")),
+        F.when(scans, " Scan-backs please.").otherwise(" No scan-backs please."),
     )
     comma = F.concat_ws(
         ", ",
         F.concat(F.col("client_name"), F.coalesce(F.concat(F.lit(" order "), F.col("client_order_ref")), F.lit(" order"))),
-        F.when(F.col("signing_type") == "refinance", "refi").otherwise(said_type),
-        F.concat(slash_date, F.lit(" "), short_clock),
-        F.concat(F.lit("borrower Sam Signer "), F.col("signer_phone")),
+        F.concat(F.when(F.col("signing_type") == "refinance", "refi").otherwise(said_type), F.lit(" on "), slash_date,
+                 F.lit(" at "), short_clock),
+        F.concat(F.lit("meet Sam Signer on "), F.col("signer_phone")),
         F.concat(F.col("address"), F.lit(" "), F.col("city"), zip_),
-        F.when(fee.isNotNull(), _text("$", fee, " + $25 print")),
-        F.when(scans, "scanbacks"),
+        F.when(fee.isNotNull(), F.concat(F.lit("fee $"), thousands(fee), F.lit(" + $25 print"))),
+        F.when(scans, "needs scanbacks"),
         F.when(key % 2 == 0, "UPS by 6:30 pm"),
     )
     return rows.select(

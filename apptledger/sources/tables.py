@@ -69,9 +69,11 @@ def days_of(tables: Tables, ids: DataFrame) -> list[dt.date]:
 
 def within_days(tables: Tables, days: list[dt.date]) -> Tables:
     """The tables with only these days of appointments, for a change that touches
-    no others. The dates prune partitions, so the rest is not read."""
-    part = tables.appointments.where(F.col("appointment_date").isin(days))
-    return Tables(**{**{n: getattr(tables, n) for n in Tables.names()}, "appointments": part})
+    no others. The dates prune partitions, so the rest is not read, except for the
+    highest id and for the holders of a place, which rules take from all rows."""
+    whole = tables.appointments
+    part = whole.where(F.col("appointment_date").isin(days))
+    return Tables(whole=lambda: whole, **{**{n: getattr(tables, n) for n in Tables.names()}, "appointments": part})
 
 
 def replace_days(appointments: DataFrame, days: list[dt.date], base: str) -> None:

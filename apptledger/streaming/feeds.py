@@ -69,45 +69,47 @@ def local_time(instant: Column, offset: str) -> Column:
 
 
 def shift_stamps(
-    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00", quiet: str = "1 day"
 ) -> DataFrame:
-    """First check-in and last check-out per shift and local day.
+    """First check-in and last check-out per shift, on the local day it began.
 
-    A windowed aggregate rather than a join of ins with outs: it keeps one small
-    state row per shift however many punches a shift gets, and emits a shift when
-    its day is closed, with or without a check-out.
+    A session per shift rather than a join of ins with outs: it keeps one small
+    state row per shift however many punches a shift gets, goes on over midnight,
+    and emits a shift when it has been ``quiet`` for so long, with or without a
+    check-out.
     """
     time = F.col(event_time)
     return (
         punches.withWatermark(event_time, delay)
-        .groupBy(local_window(event_time, "1 day", offset).alias("day"), "shift_id", "worker_id")
+        .groupBy(F.session_window(event_time, quiet).alias("stay"), "shift_id", "worker_id")
         .agg(
             F.min(F.when(F.col("type") == "in", time)).alias("actual_in"),
             F.max(F.when(F.col("type") == "out", time)).alias("actual_out"),
             F.count(F.lit(1)).alias("punch_count"),
         )
         .select(
-            local_time(F.col("day.start"), offset).cast("date").alias("work_date"),
+            local_time(F.col("stay.start"), offset).cast("date").alias("work_date"),
             "shift_id", "worker_id", "actual_in", "actual_out", "punch_count",
         )
     )
 
 
 def time_on_site(
-    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00", quiet: str = "1 day"
 ) -> DataFrame:
     """Shifts that were checked in and out, with the seconds between."""
-    stamps = shift_stamps(punches, event_time, delay, offset)
+    stamps = shift_stamps(punches, event_time, delay, offset, quiet)
     return stamps.where(F.col("actual_out") >= F.col("actual_in")).withColumn(
         "seconds_on_site", F.unix_seconds("actual_out") - F.unix_seconds("actual_in")
     )
 
 
 def missing_checkout(
-    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+    punches: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00", quiet: str = "1 day"
 ) -> DataFrame:
-    """Shifts checked in on a day that closed without a later check-out."""
-    stamps = shift_stamps(punches, event_time, delay, offset)
+    """Shifts checked in that stayed quiet without a later check-out. ``quiet``, longer than any
+    shift, and ``delay`` add up to how late the alert comes."""
+    stamps = shift_stamps(punches, event_time, delay, offset, quiet)
     left = F.coalesce(F.col("actual_out") >= F.col("actual_in"), F.lit(False))
     return stamps.where(F.col("actual_in").isNotNull() & ~left).select(
         "work_date", "shift_id", "worker_id", "actual_in"
@@ -115,9 +117,9 @@ def missing_checkout(
 
 
 def missing_checkin(
-    feed: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00"
+    feed: DataFrame, event_time: str = "ts", delay: str = "2 hours", offset: str = "+00:00", quiet: str = "1 day"
 ) -> DataFrame:
-    """Shifts scheduled on a day that closed without a check-in.
+    """Shifts scheduled that stayed quiet without a check-in.
 
     ``feed`` holds punches and, with type ``scheduled``, one row per planned shift
     at its start.
@@ -125,13 +127,13 @@ def missing_checkin(
     time = F.col(event_time)
     return (
         feed.withWatermark(event_time, delay)
-        .groupBy(local_window(event_time, "1 day", offset).alias("day"), "shift_id", "worker_id")
+        .groupBy(F.session_window(event_time, quiet).alias("stay"), "shift_id", "worker_id")
         .agg(
             F.min(F.when(F.col("type") == "scheduled", time)).alias("scheduled_at"),
             F.sum((F.col("type") == "in").cast("int")).alias("check_ins"),
         )
         .where(F.col("scheduled_at").isNotNull() & (F.col("check_ins") == 0))
-        .select(local_time(F.col("day.start"), offset).cast("date").alias("work_date"), "shift_id", "worker_id", "scheduled_at")
+        .select(local_time(F.col("stay.start"), offset).cast("date").alias("work_date"), "shift_id", "worker_id", "scheduled_at")
     )
 
 
@@ -164,7 +166,7 @@ def write_completion_log(submissions: DataFrame, tables: Tables, path: str, chec
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         records = batch.withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
-        changes = completion_changes(matched_records(tables, records))
+        changes = completion_changes(matched_records(tables, records), "submitted_at")
         changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     write(submissions.sparkSession.createDataFrame([], submissions.schema), -1)
@@ -175,9 +177,10 @@ def write_completion_log(submissions: DataFrame, tables: Tables, path: str, chec
 
 
 def fold_completion_log(tables: Tables, path: str, as_of: dt.datetime) -> Tables:
-    """The appointments with the newest logged change of each applied."""
+    """The appointments with the newest logged change of each applied: the one
+    submitted last, whichever batch brought it."""
     log = tables.appointments.sparkSession.read.parquet(path)
-    newest = latest_per_key(log, ["appointment_id"], ["batch", "submission_id"]).drop("batch")
+    newest = latest_per_key(log, ["appointment_id"], ["submitted_at", "submission_id", "batch"]).drop("batch", "submitted_at")
     return tables.replace(appointments=apply_changes(
         tables.appointments, newest, "appointment_id", as_of=as_of, keep_when_null=KEPT_WHEN_ABSENT
     ))

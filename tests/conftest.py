@@ -72,7 +72,7 @@ def stored(spark, tmp_path_factory):
 
 
 def example_rows() -> dict[str, list[dict]]:
-    """One week of a small business: five appointments, three clients."""
+    """An invented week: five appointments, three clients."""
     fees = ["signing_fee", "print_fee", "trip_fee", "no_sign_fee", "other_fee"]
 
     def appt(i, client, kind, place, start, minutes, status, money, **more):
@@ -85,53 +85,54 @@ def example_rows() -> dict[str, list[dict]]:
 
     return {
         "clients": [
-            {"client_id": 1, "client_name": "Northside Signings", "client_type": "signing_service",
-             "billing_email": "pay@northside.example", "payment_terms_days": 45, "default_signing_fee": 125,
-             "default_print_fee": 25, "default_trip_fee": 50, "default_no_sign_fee": 75, "is_active": 1},
-            {"client_id": 2, "client_name": "Harbor Title", "client_type": "title_escrow",
-             "billing_email": "ap@harbor.example", "payment_terms_days": 30, "default_signing_fee": 150, "is_active": 1},
-            {"client_id": 3, "client_name": "Direct - Lee family", "client_type": "direct", "payment_terms_days": 0,
+            {"client_id": 1, "client_name": "Cedar Lane Closings", "client_type": "signing_service",
+             "billing_email": "accounts@cedarlane.example", "payment_terms_days": 21, "default_signing_fee": 110,
+             "default_print_fee": 15, "default_trip_fee": 38, "default_no_sign_fee": 64, "is_active": 1},
+            {"client_id": 2, "client_name": "Mill Creek Settlement", "client_type": "title_escrow",
+             "billing_email": "office@millcreek.example", "payment_terms_days": 14, "default_signing_fee": 165,
              "is_active": 1},
+            {"client_id": 3, "client_name": "Direct - Abara household", "client_type": "direct",
+             "payment_terms_days": 0, "is_active": 1},
         ],
         "places": [
-            {"place_id": 1, "normalized_address": "12 oak st springfield wa 98001", "address": "12 Oak St",
-             "city": "Springfield", "state": "WA", "zip": "98001", "place_label": "Signing - Oak St",
-             "access_notes": "Gate 99", "is_repeat_site": 0},
-            {"place_id": 2, "normalized_address": "500 8th ave springfield wa 98004", "address": "500 8th Ave",
-             "city": "Springfield", "state": "WA", "zip": "98004", "place_label": "Harbor Title - Springfield",
-             "location_ext_id": 9102, "is_repeat_site": 1},
+            {"place_id": 1, "normalized_address": "340 birch ln fairmont or 97301", "address": "340 Birch Ln",
+             "city": "Fairmont", "state": "OR", "zip": "97301", "place_label": "Signing - Birch Ln",
+             "access_notes": "Side door", "is_repeat_site": 0},
+            {"place_id": 2, "normalized_address": "77 harbor way fairmont or 97302", "address": "77 Harbor Way",
+             "city": "Fairmont", "state": "OR", "zip": "97302", "place_label": "Mill Creek Settlement - Fairmont",
+             "location_ext_id": 5502, "is_repeat_site": 1},
         ],
         "notaries": [
-            {"notary_id": 1, "notary_name": "Owner", "worker_ext_id": 601, "is_owner": 1, "is_active": 1},
-            {"notary_id": 2, "notary_name": "Flat Sub", "worker_ext_id": 602, "is_owner": 0, "payout_type": "flat",
+            {"notary_id": 1, "notary_name": "Owner", "worker_ext_id": 511, "is_owner": 1, "is_active": 1},
+            {"notary_id": 2, "notary_name": "Flat Sub", "worker_ext_id": 512, "is_owner": 0, "payout_type": "flat",
              "payout_value": 90, "is_active": 1},
-            {"notary_id": 3, "notary_name": "Percent Sub", "worker_ext_id": 603, "is_owner": 0,
+            {"notary_id": 3, "notary_name": "Percent Sub", "worker_ext_id": 513, "is_owner": 0,
              "payout_type": "percent", "payout_value": 70, "is_active": 1},
-            {"notary_id": 4, "notary_name": "Unset Sub", "worker_ext_id": 604, "is_owner": 0, "is_active": 1},
+            {"notary_id": 4, "notary_name": "Unset Sub", "worker_ext_id": 514, "is_owner": 0, "is_active": 1},
         ],
         "appointments": [
-            appt(1, 1, "refinance", 1, "2026-09-08T10:00", 60, "completed", (125, 25, 50, 75, 0),
-                 client_order_ref="77-A", checked_in_at="2026-09-08T09:52:10-07:00",
-                 checked_out_at="2026-09-08T10:51:40-07:00", gps_verified=1, checkin_distance_m=14),
-            appt(2, 2, "seller", 2, "2026-09-09T14:00", 60, "completed", (150, 0, 0, 0, 0),
-                 checked_in_at="2026-09-09T13:55:00-07:00", checked_out_at="2026-09-09T14:48:00-07:00"),
-            appt(3, 2, "seller", 2, "2026-09-11T10:00", 60, "completed", (150, 0, 0, 0, 0)),
-            appt(4, 1, "purchase", 1, "2026-09-10T18:00", 60, "no_show", (150, 25, 50, 75, 0),
-                 client_order_ref="78-B", outcome="borrower_no_show", shift_ext_id=88104,
-                 checked_in_at="2026-09-10T17:53:05-07:00", checked_out_at="2026-09-10T18:48:20-07:00",
-                 gps_verified=1, checkin_distance_m=9, notes="Waited."),
-            appt(5, 3, "hospital", 2, "2026-09-12T11:00", 45, "completed", (75, 0, 40, 0, 0), invoiced=1,
-                 checked_in_at="2026-09-12T10:48:00-07:00", checked_out_at="2026-09-12T11:32:15-07:00"),
+            appt(1, 1, "heloc", 2, "2026-09-21T08:30", 75, "completed", (110, 15, 38, 64, 0),
+                 client_order_ref="CL-301", checked_in_at="2026-09-21T08:20:40-07:00",
+                 checked_out_at="2026-09-21T09:40:05-07:00", gps_verified=1, checkin_distance_m=33),
+            appt(2, 2, "purchase", 1, "2026-09-22T16:15", 50, "completed", (165, 0, 12, 0, 0),
+                 checked_in_at="2026-09-22T16:11:00-07:00", checked_out_at="2026-09-22T17:02:00-07:00"),
+            appt(3, 2, "reverse", 2, "2026-09-24T12:00", 90, "completed", (185, 0, 0, 0, 0)),
+            appt(4, 1, "refinance", 1, "2026-09-25T19:20", 45, "no_show", (140, 15, 38, 64, 0),
+                 client_order_ref="CL-317", outcome="borrower_no_show", shift_ext_id=4404,
+                 checked_in_at="2026-09-25T19:14:15-07:00", checked_out_at="2026-09-25T20:01:40-07:00",
+                 gps_verified=1, checkin_distance_m=27, notes="Rang twice."),
+            appt(5, 3, "apostille", 2, "2026-09-26T10:10", 30, "completed", (60, 0, 27, 0, 0), invoiced=1,
+                 checked_in_at="2026-09-26T10:01:00-07:00", checked_out_at="2026-09-26T10:37:30-07:00"),
         ],
         "mileage": [
-            {"trip_id": 1, "appointment_id": 1, "trip_date": "2026-09-08", "miles": 23, "rate": "0.70", "deduction": "16.10"},
-            {"trip_id": 2, "appointment_id": 2, "trip_date": "2026-09-09", "miles": 18, "rate": "0.70", "deduction": "12.60"},
-            {"trip_id": 3, "appointment_id": 4, "trip_date": "2026-09-10", "miles": 31, "rate": "0.70", "deduction": "21.70"},
-            {"trip_id": 4, "appointment_id": 5, "trip_date": "2026-09-12", "miles": 14, "rate": "0.70", "deduction": "9.80"},
+            {"trip_id": 1, "appointment_id": 1, "trip_date": "2026-09-21", "miles": "17.5", "rate": "0.70", "deduction": "12.25"},
+            {"trip_id": 2, "appointment_id": 2, "trip_date": "2026-09-22", "miles": 26, "rate": "0.70", "deduction": "18.20"},
+            {"trip_id": 3, "appointment_id": 4, "trip_date": "2026-09-25", "miles": 9, "rate": "0.70", "deduction": "6.30"},
+            {"trip_id": 4, "appointment_id": 5, "trip_date": "2026-09-26", "miles": 40, "rate": "0.70", "deduction": "28.00"},
         ],
         "invoices": [
-            {"invoice_id": 1, "client_id": 3, "invoice_number": "INV-2026-0001", "invoice_date": "2026-09-12",
-             "due_date": "2026-09-12", "total_amount": 115, "paid": 1, "paid_date": "2026-09-12"},
+            {"invoice_id": 1, "client_id": 3, "invoice_number": "INV-2026-0001", "invoice_date": "2026-09-26",
+             "due_date": "2026-09-26", "total_amount": 87, "paid": 1, "paid_date": "2026-09-26"},
         ],
     }
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from apptledger.operators.changes import latest_per_key
 from apptledger.operators.joins import BROADCAST_LIMIT_CONF, lookup_join, spread_join
 from apptledger.operators.numbering import assign_ids
 from apptledger.plans import views
+from apptledger.sources import documents as text_documents
 from apptledger.sources import starschema as star
 from conftest import AS_OF, TESTDATA, example_rows, make_tables
 
@@ -137,7 +139,7 @@ def test_chains(spark):
         for i in [*range(1, 12), 20, 21, 30]
     ]
     appointments = make_tables(spark, appointments=rows).appointments
-    got = {r.appointment_id: (r.root_id, r.hops) for r in scheduling.reschedule_chain(appointments, 6).collect()}
+    got = {r.appointment_id: (r.root_id, r.hops) for r in scheduling.reschedule_chain(appointments).collect()}
     assert got == {
         **{i: (1, i - 1) for i in range(2, 9)}, 10: (9, 1), 11: (9, 1), 20: (None, None), 21: (None, None), 30: (999, 1)}
 
@@ -157,13 +159,37 @@ def test_long_invoices_split_without_losing_lines(spark, monkeypatch):
     headers = billing.invoice_run(tables, AS_OF)
     documents = billing.invoice_documents(tables, headers)
     assert documents.agg(F.max("lines_in_part")).first()[0] <= 8
-    assert documents.where("part_no = 0").count() == 1
+    # Parts are full before the next begins.
+    sizes = {(r.invoice_number, r.part_no): r.lines_in_part for r in documents.collect()}
+    assert sorted(sizes.values()) == sorted([8] * 5 + [8, 8, 4] + [1])
     lines = billing.explode_line_items(documents)
     assert lines.count() == 61 and lines.select("appointment_no").distinct().count() == 61
     total = lines.groupBy("invoice_id").agg(F.sum("billable").alias("t")).collect()
     assert sorted(r.t for r in total) == [10.0, 200.0, 400.0]
 
 
+def test_ids_far_apart_fill_parts(spark, monkeypatch):
+    """Ids a hundred thousand apart make no part of one line, and every order reaches a reminder."""
+    monkeypatch.setattr(billing, "LINES_PER_DOCUMENT", 100)
+    rows = example_rows()
+    rows["appointments"] = [
+        {"appointment_id": i * 100_000, "appointment_no": f"A-{i}", "client_id": 1, "place_id": 1, "signing_type": "seller",
+         "status": "completed", "signing_fee": 10, "invoiced": 0, "client_order_ref": f"R{i}", "scheduled_start": "2026-09-01T10:00"}
+        for i in range(1, 1051)
+    ]
+    rows["invoices"] = []
+    tables = make_tables(spark, **rows)
+    headers = billing.invoice_run(tables, AS_OF)
+    parts = billing.invoice_documents(tables, headers)
+    assert sorted(r.lines_in_part for r in parts.collect()) == [50] + [100] * 10
+    texts = [r.text for r in text_documents.render_invoices(tables, headers).collect()]
+    assert len(texts) == 11 and sum(t.count(", order R") for t in texts) == 1050
+    after = billing.apply_invoice_run(tables, AS_OF)
+    told = text_documents.render_reminders(after, AS_OF + dt.timedelta(days=400), parts).collect()
+    found = [ref for r in told for ref in r.text.split("Orders: ")[1].rstrip(".").split(", ")]
+    assert sorted(found) == sorted(f"R{i}" for i in range(1, 1051))
+
+
 def test_views_do_not_depend_on_row_order(spark, example):
     shuffled = example.replace(appointments=example.appointments.repartition(7).orderBy(F.desc("appointment_id")))
     for name in ["receivables_by_client", "no_show_evidence", "payouts_missing"]:

@@ -61,10 +61,10 @@ def test_shift_pairing_over_several_batches(spark, events_dir):
     events = star.read(spark, str(TESTDATA), "events")
     punches = star.punches(events)
     limit = punches.agg((F.max("ts") - F.expr("INTERVAL 2 HOURS"))).first()[0]
-    batch = punches.groupBy("shift_id", F.to_date("ts").alias("d")).agg(
+    batch = punches.groupBy("shift_id").agg(
         F.min(F.when(F.col("type") == "in", F.col("ts"))).alias("i"),
-        F.max(F.when(F.col("type") == "out", F.col("ts"))).alias("o"),
-    ).where(F.date_add("d", 1).cast("timestamp") <= F.lit(limit))
+        F.max(F.when(F.col("type") == "out", F.col("ts"))).alias("o"), F.max("ts").alias("last"),
+    ).where(F.col("last") + F.expr("INTERVAL 1 DAY") <= F.lit(limit))
     done = {r.shift_id for r in batch.where("o >= i").collect()}
     open_ = {r.shift_id for r in batch.where("i IS NOT NULL AND (o IS NULL OR o < i)").collect()}
     on_site = streams.run_to_files(streams.time_on_site(star.punches(stream(spark, events_dir))), "t-site")
@@ -108,6 +108,38 @@ def test_an_empty_feed_changes_nothing(spark, events_dir, tmp_path):
     assert after.exceptAll(tables.appointments).count() == 0
 
 
+def test_a_late_record_that_is_older_does_not_win(spark, tmp_path):
+    """Records that arrive out of order give the same outcome as in one batch."""
+    tables = star.tables(spark, str(TESTDATA))
+    booked = tables.appointments.where("event_ext_id IS NOT NULL AND status = 'confirmed'").select("event_ext_id").limit(1)
+    shape = star.submission_records(star.read(spark, str(TESTDATA), "events"), F.lit(1500)).drop("appointment_id", "event_ext_id")
+    two = shape.where("submission_id IN (0, 1)").crossJoin(booked).withColumn("submitted_at", F.expr(
+        "CASE submission_id WHEN 0 THEN TIMESTAMP '2026-09-08 12:00:00Z' ELSE TIMESTAMP '2026-09-08 11:00:00Z' END"))
+    path, log = str(tmp_path / "records"), str(tmp_path / "log")
+    for number in (0, 1):
+        two.where(f"submission_id = {number}").coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    live = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    streams.write_completion_log(live, tables, log, str(tmp_path / "cp")).awaitTermination()
+    streamed = streams.fold_completion_log(tables, log, AS_OF).appointments
+    records = spark.read.parquet(path).withColumn("submitted_at", F.col("submitted_at").cast("timestamp_ntz"))
+    batch = completion.apply_completions(tables, records, AS_OF).appointments
+    assert streamed.exceptAll(batch).count() == 0 and batch.exceptAll(streamed).count() == 0
+    assert batch.join(booked, "event_ext_id").first().submission_id == 0
+
+
+def test_a_shift_over_midnight_is_one_shift(spark, tmp_path):
+    path = str(tmp_path / "punches")
+    spark.sql("""SELECT * FROM VALUES
+        (1L, 7L, 'in', true, TIMESTAMP '2026-09-08 23:30:00Z'), (1L, 7L, 'out', true, TIMESTAMP '2026-09-09 00:40:00Z'),
+        (9L, 9L, 'out', true, TIMESTAMP '2026-09-12 09:00:00Z')
+        AS t(shift_id, worker_id, type, gps_verified, ts)""").coalesce(1).write.parquet(path)
+    live = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    paired = streams.run_to_files(streams.time_on_site(live), "t-night").collect()
+    assert [(r.shift_id, str(r.work_date), r.seconds_on_site) for r in paired] == [(1, "2026-09-08", 4200)]
+    assert streams.run_to_files(streams.missing_checkout(live), "t-night-alerts").count() == 0
+
+
 @pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Kolkata"])
 def test_days_are_the_business_days(spark, tmp_path, zone):
     """A late afternoon shift west of UTC crosses midnight there, not here."""
