@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import times
 from apptledger.model import OPEN_STATUSES, Tables
+from apptledger.plans.views import in_days
 
 
 def commissions_expiring(tables: Tables, as_of: dt.date, days: int = 60) -> DataFrame:
@@ -59,7 +60,7 @@ def worker_day(tables: Tables, notary_id: int, day: dt.date, except_id: int | No
     """A worker's open appointments on a date, besides the one being booked."""
     rows = tables.appointments.where(
         F.col("status").isin(OPEN_STATUSES) & (F.col("notary_id") == notary_id)
-        & times.in_local_days("scheduled_start", day, day)
+        & in_days(tables.appointments, day, day)
     )
     if except_id is not None:
         rows = rows.where(F.col("appointment_id") != except_id)

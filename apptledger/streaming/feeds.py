@@ -17,13 +17,15 @@ from apptledger.operators.usage import PRICES
 from apptledger.session import scratch_path
 
 
-def once_per_key(rows: DataFrame, key: str, event_time: str, delay: str, slots: int) -> DataFrame:
+def once_per_key(rows: DataFrame, key: str, event_time: str, delay: str, slots: int | None = None) -> DataFrame:
     """First row of each key within the watermark.
 
     Copies are first reduced within ``slots`` groups of input partitions, so a key
     with very many copies is spread over that many tasks; the second step then
-    sees at most ``slots`` rows of it per batch and makes the result exact.
+    sees at most ``slots`` rows of it per batch and makes the result exact. There
+    are as many groups as shuffle partitions unless told otherwise.
     """
+    slots = slots or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slotted = rows.withWatermark(event_time, delay).withColumn("_slot", F.spark_partition_id() % slots)
     return (
         slotted.dropDuplicatesWithinWatermark([key, "_slot"]).drop("_slot").dropDuplicatesWithinWatermark([key])
@@ -31,14 +33,14 @@ def once_per_key(rows: DataFrame, key: str, event_time: str, delay: str, slots:
 
 
 def submissions_once(
-    submissions: DataFrame, event_time: str = "submitted_at", delay: str = "1 hour", slots: int = 32
+    submissions: DataFrame, event_time: str = "submitted_at", delay: str = "1 hour", slots: int | None = None
 ) -> DataFrame:
     """Each completion record once, however often the feed repeats it."""
     return once_per_key(submissions, "submission_id", event_time, delay, slots)
 
 
 def commands_once(
-    commands: DataFrame, event_time: str = "issued_at", ttl: str = "24 hours", slots: int = 32
+    commands: DataFrame, event_time: str = "issued_at", ttl: str = "24 hours", slots: int | None = None
 ) -> DataFrame:
     """Outbound commands with retries of the same idempotency key removed."""
     return once_per_key(commands, "idempotency_key", event_time, ttl, slots)

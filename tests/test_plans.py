@@ -91,7 +91,9 @@ def test_moved_appointments_are_found_under_their_new_date(stored):
 
 def test_invoice_lines_group_is_bounded(stored):
     text = plan(billing.invoice_documents(stored, billing.invoice_run(stored, AS_OF)))
-    assert "hashpartitioning(invoice_id" in text
+    # Lines are ranked by ranges of ids and gathered by part, never by client alone.
+    assert "_range#" in text and "hashpartitioning(client_id" in text
+    assert [x for x in text.splitlines() if "collect_list" in x and "part_no" in x]
 
 
 def test_small_changes_do_not_shuffle_the_table(stored):
@@ -101,7 +103,9 @@ def test_small_changes_do_not_shuffle_the_table(stored):
     requests = stored.appointments.join(stored.clients.where("client_type = 'lender'"), "client_id").select(
         "appointment_id", F.lit(None).cast("decimal(12,2)").alias("other_fee"))
     text = plan(scheduling.cancel(stored, requests, AS_OF).appointments)
-    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+    # Requests are reduced to one per appointment; the appointments stay where they are.
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    assert text.count("Exchange hashpartitioning") == 1
 
 
 def test_changing_some_days_leaves_the_others(spark, tmp_path):
@@ -129,3 +133,35 @@ def test_changing_some_days_leaves_the_others(spark, tmp_path):
     moved = again.appointments.withColumn("scheduled_start", F.lit("2026-09-20 09:00:00").cast("timestamp_ntz"))
     with pytest.raises(ValueError):
         replace_days(moved, days, path)
+
+
+def test_one_day_of_a_worker_reads_one_partition(stored):
+    from apptledger.operators import lookups
+
+    for rows in (lookups.worker_day(stored, 0, dt.date(2026, 9, 7)),
+                 lookups.collisions(stored, 0, dt.datetime(2026, 9, 7, 10), 60)):
+        assert "PartitionFilters: [isnotnull(appointment_date" in plan(rows)
+
+
+def test_numbers_of_a_part_continue_after_all_rows(stored, spark):
+    """Ids and holders come from every day, also when only some are read."""
+    from apptledger.operators import admission, upkeep
+    from apptledger.sources.tables import within_days
+
+    highest = stored.appointments.agg(F.max("appointment_id")).first()[0]
+    part = within_days(stored, [dt.date(2026, 9, 7)])
+    new = spark.sql("SELECT 1L AS request_id, 1L AS client_id, 1L AS place_id, TIMESTAMP_NTZ '2026-09-07 09:00:00' AS scheduled_start")
+    admitted = admission.admit_appointments(part, new, AS_OF).appointments
+    assert admitted.agg(F.max("appointment_id")).first()[0] == highest + 1
+    kept, blocked = upkeep.delete_places(part, stored.places.select("place_id"))
+    assert blocked.count() == stored.appointments.select("place_id").distinct().count()
+
+
+def test_equal_starts_know_each_other(spark):
+    from conftest import make_tables
+    from apptledger.operators import scheduling
+
+    rows = [{"appointment_id": i, "appointment_no": str(i), "client_id": 1, "place_id": 1, "status": "confirmed", "notary_id": 1,
+             "duration_minutes": 30, "scheduled_start": "2026-09-30T10:00"} for i in (4, 7, 9)]
+    found = scheduling.schedule_conflicts(make_tables(spark, appointments=rows), 0).collect()
+    assert {r.appointment_id: (r.conflicts, r.same_start) for r in found} == {4: (2, 9), 7: (2, 4), 9: (2, 4)}
