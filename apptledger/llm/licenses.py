@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -172,10 +174,13 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
     none = F.array().cast(MATCHES)
     if not any(bigrams_of(body) for body in templates.values()):
         return df.withColumn("matches", none)
-    probes = "|".join(map(re.escape, probe_words(templates, threshold)))
+    # Looked for as plain strings, so a word that holds another needs no search of its own.
+    probes = probe_words(templates, threshold)
+    probes = [w for w in probes if not any(v != w and v in w for v in probes)]
     found = F.array_sort(matches(df[text], templates, threshold), lambda a, b: (
         F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1)
         .when(a["n_bigrams"] > b["n_bigrams"], -1).when(a["n_bigrams"] < b["n_bigrams"], 1)
         .when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)))
-    return df.withColumn("matches", F.when(df[text].rlike(f"(?i){probes}"), found.cast(MATCHES)).otherwise(none))
-
+    lowered = df.withColumn("__lower__", F.lower(df[text]))
+    any_probe = reduce(or_, [F.contains(F.col("__lower__"), F.lit(w)) for w in probes])
+    return lowered.withColumn("matches", F.when(any_probe, found.cast(MATCHES)).otherwise(none)).drop("__lower__")

@@ -37,11 +37,11 @@ def copies(seed=4):
     vocabulary = [f"w{i}" for i in range(500)]
     passage = " ".join(rng.choices(vocabulary, k=80))
     texts = []
-    for group in range(12):
-        base = rng.choices(vocabulary, k=rng.choice([6, 7, 30, 150]))
+    for group in range(20):
+        base = rng.choices(vocabulary, k=rng.choice([6, 7, 80, 200]))
         for _ in range(rng.choice([1, 2, 10])):
             words = list(base)
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(3)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
             texts.append(" ".join(words).upper() if rng.random() < 0.2 else " ".join(words))
         texts.append(passage + " " + " ".join(rng.choices(vocabulary, k=60 + group)))
