@@ -89,6 +89,12 @@ TEMPLATES = {
 }
 
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Words of ordinary prose, taken as probes last.
+COMMON = frozenset((
+    "a all an and any are as at be by do for from if in is it may no not of on or other otherwise out persons possible "
+    "so subject that the their these this to under was whether which who will with without you your").split())
+#: Shorter probes must stand as a word of their own, as parts of words hold them too often.
+PROBE_PART = 6
 MATCHES = "array<struct<dice:double,n_bigrams:int,license:string,passage:string>>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -108,7 +114,7 @@ def probe_words(templates: dict[str, str], threshold: float) -> list[str]:
     """Words of which every match of a template holds at least one.
 
     For each template, words are taken until the bigrams without any of them are too few for a match. Words that
-    few templates' worth of ordinary prose would hold come first: longer ones, by what they add.
+    ordinary prose seldom holds come first: none of ``COMMON``, and longer ones, by what they add.
     """
     share = threshold / (2 - threshold)
     chosen: Counter[str] = Counter()
@@ -122,7 +128,7 @@ def probe_words(templates: dict[str, str], threshold: float) -> list[str]:
         open_pairs = covered(open_pairs)
         while open_pairs and len(open_pairs) >= least:
             gains = Counter(w for pair in open_pairs for w in set(pair))
-            chosen[max(gains, key=lambda w: (min(len(w), 7), gains[w], w))] += 1
+            chosen[max(gains, key=lambda w: (w not in COMMON, not w.isdigit(), min(len(w), 7), gains[w], w))] += 1
             open_pairs = covered(open_pairs)
     return sorted(chosen)
 
@@ -176,11 +182,17 @@ def scan(df: DataFrame, text: str = "text", templates: dict[str, str] | None = N
         return df.withColumn("matches", none)
     # Looked for as plain strings, so a word that holds another needs no search of its own.
     probes = probe_words(templates, threshold)
-    probes = [w for w in probes if not any(v != w and v in w for v in probes)]
+    probes = [w for w in probes if not any(v != w and v in w and len(v) >= PROBE_PART for v in probes)]
     found = F.array_sort(matches(df[text], templates, threshold), lambda a, b: (
         F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1)
         .when(a["n_bigrams"] > b["n_bigrams"], -1).when(a["n_bigrams"] < b["n_bigrams"], 1)
         .when(a["license"] < b["license"], -1).when(a["license"] > b["license"], 1).otherwise(0)))
     lowered = df.withColumn("__lower__", F.lower(df[text]))
-    any_probe = reduce(or_, [F.contains(F.col("__lower__"), F.lit(w)) for w in probes])
+    inside = "0-9A-Za-z\\x{80}-\\x{10FFFF}"
+
+    def holds(probe: str) -> Column:
+        part = F.contains(F.col("__lower__"), F.lit(probe))
+        return part if len(probe) >= PROBE_PART else part & F.col("__lower__").rlike(f"(?<![{inside}]){probe}(?![{inside}])")
+
+    any_probe = reduce(or_, map(holds, probes))
     return lowered.withColumn("matches", F.when(any_probe, found.cast(MATCHES)).otherwise(none)).drop("__lower__")

@@ -39,7 +39,7 @@ def copies(seed=4):
     texts = []
     for group in range(20):
         base = rng.choices(vocabulary, k=rng.choice([6, 7, 80, 200]))
-        for _ in range(rng.choice([1, 2, 10])):
+        for _ in range(rng.choice([2, 5, 10])):
             words = list(base)
             for _ in range(rng.randrange(3)):
                 words[rng.randrange(len(words))] = rng.choice(vocabulary)
