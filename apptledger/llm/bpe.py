@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from apptledger.llm.arrow import with_columns
 
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
 #: Longer words are merged each time they occur.
 CACHED_LENGTH = 40
 #: What the tokenizer's own regular expressions count as white space.
-SPACES = r"\t\n\x0b\f\r\x20\x85\xa0  -     　"
+SPACES = r"\t\n\x0b\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Separators to ``str.split`` that are none to the tokenizer.
 SPLIT_ONLY = "\x1c\x1d\x1e\x1f"
 #: Ids and places are packed into one number, so that queue entries compare fast.
