@@ -1,15 +1,17 @@
 """Secret scans: fixed patterns, and strings that a tokenizer needs too many tokens for.
 
 Patterns find assignments to secret names, access keys and long hex strings. The token-efficiency test
-adds strings that no pattern names: every run of ``RUN`` characters is cut at path and pair
-separators, digests and identifiers are set aside, and what is left is encoded with a public byte-level
-vocabulary. Words of any language fill a token with several characters; random strings do not, so a
-piece with fewer than ``characters_per_token`` characters a token is reported as kind ``random``.
-
-Set aside as known digests: hex of an MD5, SHA-1, SHA-224, SHA-256, SHA-384 or SHA-512 length, UUIDs, and ``sha256-``
-and the like before a digest. Set aside as identifiers: pieces without a digit, or with less than
-three changes between letters and digits, unless both cases and digits mix; and pieces of at most
-``MIN_LENGTH - 1`` characters.
+adds strings that no pattern names: every run of at least ``MIN_LENGTH`` characters of ``PART``, base64 and its URL-safe form
+included, is encoded whole with a public byte-level vocabulary. Words of any language fill a token with several
+characters; random strings do not, so a run with fewer than ``characters_per_token`` characters a token is reported
+whole as kind ``random``. A path, a run with a word of one token between slashes, is judged by its segments instead;
+and of what passes as a whole the pieces between separators are judged.
+
+Set aside as known digests: hex of an MD5, SHA-1, SHA-224, SHA-256, SHA-384 or SHA-512 length between separators, and
+UUIDs. Set aside as identifiers: strings without a letter, or with less than three changes between letters and digits
+and fewer than ``MIN_LENGTH`` letters, unless both cases and digits mix; and strings of at most ``MIN_LENGTH - 1``
+characters. Letters alone are judged by their characters a token. Strings
+without small letters are encoded in lower case, as names in capitals are words.
 
 Spans are half-open ranges of code points. Null text: none. Texts are scanned whole; repeated rows give
 repeated results; an empty table gives an empty one. Two spans of different kinds may cover the same
@@ -38,10 +40,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 MIN_LENGTH = 20
 CHARACTERS_PER_TOKEN = 2.0
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+/_-]{20,}=*")
+SEGMENT = re.compile(r"[A-Za-z0-9+_-]{20,}=*")
 PIECE = re.compile(r"[A-Za-z0-9+]{20,}=*")
 UUID = re.compile(r"(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})")
-DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+DIGEST = re.compile(r"(?<![A-Za-z0-9+])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9+])")
+WORD = re.compile(r"(?<![^/])[A-Za-z]{4,}(?![^/])")
 DIGEST_LENGTHS = frozenset({32, 40, 56, 64, 96, 128})
 CHANGE = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
 
@@ -68,10 +72,13 @@ def encoding(path: str):
 
 def is_identifier(piece: str) -> bool:
     """A name, number or slug rather than a random string."""
-    if piece.isdigit() or not any(c.isdigit() for c in piece):
+    letters = sum(c.isalpha() for c in piece)
+    if not letters:
         return True
+    if not any(c.isdigit() for c in piece):
+        return False
     mixed = any(c.islower() for c in piece) and any(c.isupper() for c in piece)
-    return not mixed and len(CHANGE.findall(piece)) < 3
+    return not mixed and len(CHANGE.findall(piece)) < 3 and letters < MIN_LENGTH
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -83,18 +90,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return spans
 
 
+def blanked(found: re.Match) -> str:
+    """Spaces in place of a known identifier or digest, its length kept."""
+    return found[0] if found.re is DIGEST and len(found[0]) not in DIGEST_LENGTHS else " " * len(found[0])
+
+
 def random_spans(text: str, encode, limit: float) -> list[tuple[int, int, int]]:
     """Spans that the vocabulary packs badly."""
+
+    def is_random(value: str) -> bool:
+        value = value.rstrip("=")
+        # Names in capitals are words too, which the vocabulary packs in lower case.
+        read = value.lower() if value.isupper() else value
+        return not is_identifier(value) and len(value) < limit * len(encode(read))
+
+    def is_path(value: str) -> bool:
+        return any(len(encode(word)) == 1 for word in WORD.findall(value))
+
     spans = []
-    for run in RUN.finditer(text):
-        # An identifier of hex groups is blanked out, its length kept.
-        whole = UUID.sub(lambda m: " " * len(m[0]), run[0])
-        for found in PIECE.finditer(whole):
-            piece = found[0].rstrip("=")
-            if DIGEST.fullmatch(piece) and len(piece) in DIGEST_LENGTHS or is_identifier(piece):
-                continue
-            if len(piece) < limit * len(encode(piece)):
-                spans.append((run.start() + found.start(), 3, run.start() + found.end()))
+    for run in PART.finditer(text):
+        known = DIGEST.sub(blanked, UUID.sub(blanked, run[0]))
+        for part in PART.finditer(known):
+            at = run.start() + part.start()
+            for whole in SEGMENT.finditer(part[0]) if "/" in part[0] and is_path(part[0]) else [PART.match(part[0])]:
+                found = [whole] if is_random(whole[0]) else [
+                    m for m in PIECE.finditer(part[0], whole.start(), whole.end()) if is_random(m[0])]
+                spans += [(at + m.start(), 3, at + m.end()) for m in found]
     return spans
 
 

@@ -77,3 +77,17 @@ def test_columns_and_empty_tables(spark, documents):
     docs = documents([(1, RANDOM), (1, RANDOM), (None, None)]).withColumn("spans", F.lit(1))
     assert [len(r.spans) for r in secrets.scan(docs).collect()] == [1, 1, 0]
     assert secrets.scan(docs.limit(0)).collect() == []
+
+
+def test_whole_secrets_with_separators_and_letters_alone(spark, documents):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = [letters + "0123456789-_", letters + "0123456789+/", letters]
+    given = ["".join(rng.choices(alphabets[i % 3], k=(32, 40)[i % 2])) for i in range(1200)]
+    rows = secrets.scan(documents([(i, f"see {v} here") for i, v in enumerate(given)])).collect()
+    whole = [any((s.kind, s.start, s.end) == ("random", 4, 4 + len(given[r.doc_id])) for s in r.spans) for r in rows]
+    assert sum(whole) >= 0.99 * len(given)
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert ("random", key) in kinds(spark, documents, f"aws_secret_access_key = {key}")
+    assert ("random", key) in kinds(spark, documents, f"aws_secret_access_key={key}")
+    assert [k for k, _ in kinds(spark, documents, f"sha256-{SHA256}/usr/share/dict/words-2024-01-02")] == ["hex"]
