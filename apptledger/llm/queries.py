@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, secrets, topk, unigram, urlrules
+from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, secrets, topk, unigram, urlrules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         best["dice"].alias("dice"), best["n_bigrams"].cast("long").alias("n_bigrams"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(embeddings)
+    rows = whitening.whitened(embeddings, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)).cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, "at").alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
@@ -97,6 +107,7 @@ QUERIES = {
     "op8_main_text": op8_main_text,
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
+    "op11_whitening": op11_whitening,
 }
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
