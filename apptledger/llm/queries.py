@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, secrets, topk, unigram, urlrules, whitening
+from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, runs, secrets, topk, unigram, urlrules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +99,35 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(explained, "at").alias("explained"), F.lit(model.identity_error).alias("identity_error"))
 
 
+def altered_words(values: pa.Array) -> Iterator[list[bytes]]:
+    """Words of (text, hash) pairs; every tenth hash has the words from a place on repeat themselves."""
+    for words, value in zip(runs.words_of(values.field("text")), values.field("hash"), strict=True):
+        count, value = len(words), value.as_py()
+        if count and value is not None and value % 10 == 0:
+            seed = value // 10
+            at = seed % count
+            period = 1 + (count - at) // (3 + seed % 8)
+            words[at:] = [words[at + i % period] for i in range(count - at)]
+        yield words
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select(
+        "doc_id", F.struct("text", F.crc32(F.col("doc_id").cast("string")).alias("hash")).alias("runs"))
+    found = runs.repeats(documents, "runs", altered_words)
+    # The greatest length first, of these the smallest start, then period.
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    rows = found.select("doc_id", "runs", "collapsed", longest.alias("longest"))
+    length = -F.col("longest.shorter")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"),
+        F.col("longest.period").alias("period"),
+        F.expr("1000 * -longest.shorter div longest.period").cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
@@ -108,6 +140,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_licenses": op10_licenses,
     "op11_whitening": op11_whitening,
+    "op12_runs": op12_runs,
 }
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"

@@ -1,0 +1,118 @@
+"""Periodic runs against a search of every period word by word."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from apptledger.llm import queries, runs
+
+from .conftest import ODD_TEXTS
+
+
+def brute_force(words):
+    """(start, length, period) by start and period."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            k = i
+            while k + q < len(words) and words[k] == words[k + q]:
+                k += 1
+            if k - i + q >= max(runs.LEAST, 2 * q):
+                found.setdefault((i, k - i + q), q)
+            i = max(k, i + 1)
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def collapsed(words, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return b" ".join(w for i, w in enumerate(words) if i not in gone).decode("utf-8", "surrogatepass")
+
+
+def sample(rng):
+    size, letters = rng.choice([0, 1, 11, 12, 13, 40, 150]), rng.choice([1, 2, 3, 30])
+    words = [rng.randrange(letters) for _ in range(size)]
+    if size > 20 and rng.random() < 0.6:
+        at = rng.randrange(size)
+        period = rng.randint(1, max(1, (size - at) // 3))
+        words[at:] = [words[at + i % period] for i in range(size - at)]
+    return words
+
+
+def test_the_cover_meets_every_difference():
+    assert {(a - b) % runs.CYCLE for a in runs.COVER for b in runs.COVER} == set(range(runs.CYCLE))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_extensions(seed):
+    rng = random.Random(seed)
+    ids, starts = runs.joined([np.array(sample(rng), np.int64) for _ in range(5)])
+    table = runs.Extensions(ids)
+    i = np.array([rng.randrange(len(ids)) for _ in range(300)])
+    j = np.array([rng.randrange(len(ids)) for _ in range(300)])
+    i, j = i[i != j], j[i != j]
+    for a, b, n in zip(i, j, table.between(i, j), strict=True):
+        k = 0
+        while max(a, b) + k < len(ids) and ids[a + k] == ids[b + k]:
+            k += 1
+        assert n == k
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_runs_of_lots(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(runs, "ANCHORS", rng.choice([7, 300, 1_000_000]))
+    documents = [sample(rng) for _ in range(rng.randint(1, 8))]
+    found = runs.runs([np.array(d, np.int64) for d in documents]).tolist()
+    for number, words in enumerate(documents):
+        assert sorted(tuple(r[1:]) for r in found if r[0] == number) == brute_force(words)
+
+
+def test_long_texts_stay_linear():
+    """A power of one word, a Fibonacci string with its many runs, and words that never repeat."""
+    ones, (a, b) = [b"x"] * 200_000, ([b"a"], [b"a", b"b"])
+    while len(b) < 30_000:
+        a, b = b, b + a
+    distinct = [b"%d" % i for i in range(50_000)]
+    (one, text), (many, _), (none, same) = runs.judged([ones, b, distinct])
+    assert one == [{"start": 0, "length": 200_000, "period": 1}] and text == "x"
+    assert 1000 < len(many) < len(b) and none == [] and same == " ".join(w.decode() for w in distinct)
+
+
+def test_odd_texts(spark, documents):
+    texts = [*ODD_TEXTS, "a b c " * 4 + "d", "tick " * 12, "tick " * 11, "Σ σ " * 9, "z\x0by " * 30]
+    df = documents(list(enumerate(texts))).withColumnRenamed("source", "runs").withColumnRenamed("lang", "a.b")
+    rows = runs.repeats(df).collect()
+    assert len(rows) == len(texts) and set(df.columns) | {"runs", "collapsed"} == set(rows[0].__fields__)
+    for row in rows:
+        words = (texts[row.doc_id] or "").encode("utf-8").split()
+        expected = brute_force(words) if len(words) < 1000 else [(0, len(words), 1)]
+        assert [tuple(r) for r in row.runs] == expected and row.collapsed == collapsed(words, expected)
+    assert runs.repeats(df.limit(0)).count() == 0
+
+
+def test_the_query(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op12_runs(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    changed = 0
+    for row in rows:
+        words, h = (texts[row.doc_id] or "").encode().split(), zlib.crc32(str(row.doc_id).encode())
+        if h % 10 == 0 and words:
+            g, n = h // 10, len(words)
+            a, changed = g % n, changed + 1
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        found = brute_force(words)
+        best = min(((-n, s, q) for s, n, q in found), default=None)
+        expected = (None,) * 4 if best is None else (best[1], -best[0], best[2], 1000 * -best[0] // best[2])
+        assert (row.n_runs, row.start, row.length, row.period, row.exponent_milli) == (len(found), *expected)
+        assert row.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest()
+        assert row.collapsed_sha256 == hashlib.sha256(collapsed(words, found).encode()).hexdigest()
+    assert changed and any(r.n_runs > 1 for r in rows)
