@@ -19,11 +19,11 @@ def with_columns(df: DataFrame, source: str, added: T.StructType,
     """
     names = set(added.fieldNames())
     kept = [c for c in df.columns if c not in names]
-    carried, at = df.select(*[df[f"`{c}`"] for c in kept]), len(kept)
-    if source in kept:
-        at = kept.index(source)
-    else:  # replaced by its own result, so it travels under another name
-        carried = df.select(*[df[f"`{c}`"] for c in kept], df[f"`{source}`"].alias("__source__"))
+    # A source replaced by its own result travels along as one more column.
+    carried = kept if source in kept else [*kept, source]
+    at = carried.index(source)
+    # By place: Arrow functions resolve names again, which dots in them would break.
+    sent = df.select(*[df["`" + c.replace("`", "``") + "`"].alias(f"c{i}") for i, c in enumerate(carried)])
     schema = T.StructType([df.schema[c] for c in kept] + list(added.fields))
     types = [(f.name, to_arrow_type(f.dataType)) for f in added.fields]
 
@@ -36,4 +36,4 @@ def with_columns(df: DataFrame, source: str, added: T.StructType,
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i) for i in range(len(kept))] + columns, names=kept + [n for n, _ in types])
 
-    return carried.mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)

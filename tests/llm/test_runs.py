@@ -86,7 +86,7 @@ def test_long_texts_stay_linear():
 
 def test_odd_texts(spark, documents):
     texts = [*ODD_TEXTS, "a b c " * 4 + "d", "tick " * 12, "tick " * 11, "Σ σ " * 9, "z\x0by " * 30]
-    df = documents(list(enumerate(texts))).withColumnRenamed("source", "runs").withColumnRenamed("lang", "a.b")
+    df = documents(list(enumerate(texts))).withColumnRenamed("source", "runs").withColumnRenamed("lang", "a.`b")
     rows = runs.repeats(df).collect()
     assert len(rows) == len(texts) and set(df.columns) | {"runs", "collapsed"} == set(rows[0].__fields__)
     for row in rows:
