@@ -63,17 +63,17 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 NOTHING = np.zeros(0, np.uint64)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of ``size`` words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return NOTHING
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    count = len(words) - SHINGLE + 1
+    count = len(words) - size + 1
     rolled = hashes[:count].copy()
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         rolled *= STEP
         rolled += hashes[k:k + count]
     return np.unique(rolled)

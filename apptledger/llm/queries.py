@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, runs, secrets, topk, unigram, urlrules, whitening
+from apptledger.llm import bpe, html, licenses, mixing, neardup, quality, runs, secrets, setjoin, topk, unigram, urlrules, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,6 +128,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_compression": op2_compression,
@@ -141,6 +145,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_whitening": op11_whitening,
     "op12_runs": op12_runs,
+    "op13_set_join": op13_set_join,
 }
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
