@@ -35,6 +35,7 @@ from apptledger.sources import confirmations, documents, feeds
 from apptledger.sources import starschema as star
 from apptledger.sources.tables import load_tables, save_tables
 from apptledger.streaming import feeds as streams
+from apptledger.streaming import keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -938,7 +939,48 @@ def stream_commands_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("worker_id"), F.col("ts").cast("timestamp").alias("issued_at"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("attempt"),
     ).drop("attempt")
-    return streams.run_to_files(streams.commands_once(commands), "commands")
+    return streams.run_to_files(streams.commands_once(commands), "commands", keyed=True)
+
+
+@query
+def stream_commands_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assignments under one key per worker: one passes, and the next one 24 hours or more after it."""
+    commands = star.events_stream(spark, sf_dir).select(
+        naming.idempotency_key("assign", "user_id").alias("idempotency_key"), "event_id",
+        F.col("ts").cast("timestamp").alias("issued_at"))
+    return streams.run_to_files(streams.commands_once(commands), "assignments", keyed=True)
+
+
+@query
+def stream_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stay of a shift, none given up within the day."""
+    punches = star.punches(star.closed_events_stream(spark, sf_dir))
+    return streams.run_to_files(keyed.stays(punches, longest_seconds=2 * 86400), "stays", keyed=True)
+
+
+@query
+def worker_hours_by_stay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.worker_hours_by_stay(star.punches(star.read(spark, sf_dir, "events")))
+
+
+@query
+def stream_shift_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing check-ins and check-outs when they are due, with plans that are moved and taken back."""
+    events = star.closed_events_stream(spark, sf_dir)
+    feed = star.punches(events).select("event_id", "shift_id", "worker_id", "type", "ts").unionByName(
+        star.planned_shifts(events), allowMissingColumns=True)
+    return streams.run_to_files(keyed.shift_alerts(feed), "alerts", keyed=True)
+
+
+@query
+def stream_daily_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, every tenth of them read twice, and punches: what they cost by day."""
+    events = star.closed_events_stream(spark, sf_dir)
+    records = star.submission_records(events, star.booking_count(spark, sf_dir)).withColumn(
+        "submitted_at", F.col("submitted_at").cast("timestamp"))
+    again = F.when(F.col("submission_id") % 10 == 0, 2).otherwise(1)
+    read = records.withColumn("_copy", F.explode(F.sequence(F.lit(1), again))).drop("_copy")
+    return streams.run_to_files(streams.daily_costs(star.punches(events), read), "daily-costs")
 
 
 @query
@@ -970,6 +1012,7 @@ def stream_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "completions")
     records = streams.submissions_once(_stream_submissions(spark, sf_dir)).drop("appointment_id")
     streams.write_completion_log(records, tables, f"{base}/log", f"{base}/checkpoint").awaitTermination()
+    streams.compact_completion_log(spark, f"{base}/log")
     return streams.fold_completion_log(tables, f"{base}/log", star.AS_OF).appointments.select(
         "appointment_id", "status", "outcome", "submission_id", "dropped_at", "notes"
     )

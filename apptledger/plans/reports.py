@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptledger.functions import money, times
@@ -106,3 +106,29 @@ def worker_hours(shifts: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("shifts"), F.sum(seconds).alias("seconds"))
         .withColumn("hours", F.round(F.col("seconds").cast("decimal(18,0)") / F.lit(3600), 2).cast("decimal(12,2)"))
     )
+
+
+def stays(punches: DataFrame) -> DataFrame:
+    """One row per stay of a shift: from a check-in to the next check-out.
+
+    A check-in while a stay is open and a check-out while none is are repeated taps. A shift has few punches, so its
+    window stays small.
+    """
+    known = punches.where(F.col("shift_id").isNotNull() & F.col("ts").isNotNull())
+    order = Window.partitionBy("shift_id").orderBy("ts", "type", "event_id")
+    turns = known.withColumn("_before", F.lag("type").over(order)).where(
+        ((F.col("type") == "in") & ~F.col("_before").eqNullSafe("in")) | ((F.col("type") == "out") & (F.col("_before") == "in")))
+    paired = turns.withColumns({
+        "actual_out": F.lead("ts").over(order), "_after": F.lead("type").over(order)})
+    return paired.where((F.col("type") == "in") & (F.col("_after") == "out")).select(
+        "shift_id", "worker_id", F.col("ts").alias("actual_in"), "actual_out",
+        (F.unix_seconds("actual_out") - F.unix_seconds("ts")).alias("seconds_on_site"))
+
+
+def worker_hours_by_stay(punches: DataFrame, offset: str = "+00:00") -> DataFrame:
+    """Hours per worker and local date from all stays, breaks left out."""
+    return (
+        stays(punches).groupBy("worker_id", times.local_time(F.col("actual_in"), offset).cast("date").alias("work_date"))
+        .agg(F.count(F.lit(1)).alias("stays"), F.sum("seconds_on_site").alias("seconds"))
+        .withColumn("hours", F.round(F.col("seconds").cast("decimal(18,0)") / F.lit(3600), 2).cast("decimal(12,2)"))
+    )
