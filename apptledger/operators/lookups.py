@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apptledger.functions import times
 from apptledger.model import OPEN_STATUSES, Tables
+from apptledger.operators.joins import spread_join
 from apptledger.plans.views import in_days
 
 
@@ -80,11 +81,57 @@ def collisions(
     )
 
 
-def find_journal(tables: Tables, book: str, entry: int) -> DataFrame:
-    """Pointers of a book that cover an entry number, single or as a range."""
+def entry_bounds() -> tuple[Column, Column]:
+    """First and last entry number of a journal pointer, which holds one number or a range."""
     bounds = F.split("entry_no", "-")
     first = F.try_element_at(bounds, F.lit(1)).try_cast("bigint")
-    last = F.coalesce(F.try_element_at(bounds, F.lit(2)).try_cast("bigint"), first)
+    return first, F.coalesce(F.try_element_at(bounds, F.lit(2)).try_cast("bigint"), first)
+
+
+def shifted(number: Column, level: Column) -> Column:
+    """``number`` divided by ``2 ** level``, rounded down."""
+    return F.call_function("shiftright", number, level)
+
+
+def aligned_pieces(first: Column, last: Column) -> Column:
+    """A range of numbers as an array of (level, block): blocks of ``2 ** level`` numbers that start at a multiple of
+    their size, at most two of each level, each number in one of them. Empty where the range is."""
+    length = last - first + 1
+
+    def at(level: Column) -> Column:
+        # Whole blocks of this level inside the range; an odd end cannot be part of a block twice as large.
+        low, high = -shifted(-first, level), shifted(last + 1, level)
+        return F.filter(F.array(
+            F.struct(level.alias("level"), F.when((low < high) & (low % 2 != 0), low).alias("block")),
+            F.struct(level.alias("level"), F.when((low < high) & (high % 2 != 0), high - 1).alias("block")),
+        ), lambda piece: piece["block"].isNotNull())
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2(length.cast("double"))).cast("int"))
+    return F.when(length > 0, F.flatten(F.transform(levels, at)))
+
+
+def journal_entries_for(tables: Tables, questions: DataFrame) -> DataFrame:
+    """Pointers that cover the entry each question asks for; ``questions`` holds ``journal_book``, ``entry`` and
+    columns of its own. Questions that no pointer covers are left out.
+
+    Ranges are cut into aligned blocks and each question looks up the one block of every size that holds its
+    number, so ranges of any length meet by equality: a range of n numbers takes some 2 log n rows, a question
+    one per size that occurs. A question meets a pointer once, as a range's blocks do not overlap.
+    """
+    first, last = entry_bounds()
+    pieces = tables.journal_index.where(first >= 0).select(
+        "journal_book", F.inline(aligned_pieces(first, last)), "entry_id", "appointment_id", "entry_no", "act_type", "act_count")
+    highest = pieces.agg(F.coalesce(F.max("level"), F.lit(0))).scalar()
+    asked = questions.where(F.col("journal_book").isNotNull() & F.col("entry").isNotNull()).withColumn(
+        "level", F.explode(F.sequence(F.lit(0), highest))
+    ).withColumn("block", shifted(F.col("entry").cast("bigint"), F.col("level")))
+    met = spread_join(asked, pieces, ["journal_book", "level", "block"], spread_by=questions.columns)
+    return met.select(*questions.columns, "entry_id", "appointment_id", "entry_no", "act_type", "act_count")
+
+
+def find_journal(tables: Tables, book: str, entry: int) -> DataFrame:
+    """Pointers of a book that cover an entry number, single or as a range."""
+    first, last = entry_bounds()
     return tables.journal_index.where(
         (F.col("journal_book") == book) & (first <= entry) & (last >= entry)
     ).select("entry_id", "appointment_id", "journal_book", "entry_no", "act_type", "act_count")

@@ -342,6 +342,12 @@ def schedule_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.schedule_conflicts(star.tables(spark, sf_dir))
 
 
+@query
+def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = star.tables(spark, sf_dir)
+    return scheduling.conflict_pairs(tables, star.FIRST_SLOT.date(), star.FIRST_SLOT.date() + dt.timedelta(days=60))
+
+
 @query
 def reschedule_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scheduling.reschedule_chain(star.tables(spark, sf_dir).appointments)
@@ -734,6 +740,16 @@ def find_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.find_journal(star.tables(spark, sf_dir), "Book 3", 112)
 
 
+@query
+def journal_entries_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per client: which pointers cover this entry of this book."""
+    tables = star.tables(spark, sf_dir)
+    questions = tables.clients.select(
+        F.col("client_id").alias("question_id"), F.concat(F.lit("Book "), (F.col("client_id") % 9).cast("string")).alias("journal_book"),
+        (F.col("client_id") % 300).alias("entry"))
+    return lookups.journal_entries_for(tables, questions)
+
+
 @query
 def journal_for_no_shows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journal pointers of appointments where nobody signed: there should be none in life."""
