@@ -1,4 +1,7 @@
-"""Domain tables: schemas, allowed values and the ``Tables`` bundle."""
+"""Domain tables: schemas, allowed values and the ``Tables`` bundle.
+
+``invoice_lines`` holds one row per line of an invoice; the JSON on an invoice's row is the first document of them.
+"""
 
 from __future__ import annotations
 
@@ -75,6 +78,11 @@ _COLUMNS = {
         invoice_id bigint, client_id bigint, invoice_number string, invoice_date date, due_date date,
         total_amount money, paid int, paid_date date, sent_date date, line_items string, notes string,
         created_at timestamp_ntz""",
+    "invoice_lines": """
+        invoice_id bigint, line_no bigint, appointment_id bigint, appointment_no string, appointment_date date,
+        signing_type string, status string, client_order_ref string, signing_fee money, print_fee money, trip_fee money,
+        no_sign_fee money, other_fee money, billable_total money, shift_ext_id bigint, gps_verified int,
+        checked_in_at timestamp""",
     "payouts": """
         payout_id bigint, notary_id bigint, appointment_id bigint, amount money, paid int,
         paid_date date, notes string, created_at timestamp_ntz""",
@@ -88,8 +96,11 @@ def _schema(columns: str) -> T.StructType:
 
 SCHEMAS: dict[str, T.StructType] = {name: _schema(columns) for name, columns in _COLUMNS.items()}
 
+LINES = "invoice_lines"
+
+
 class Tables:
-    """The nine base tables, each opened when first used.
+    """The base tables, each opened when first used. Where no invoice lines are given there are none.
 
     Transforms return a new bundle; nothing is mutated. A bundle that holds a
     part of the appointments knows them all as ``every_appointment``, for rules
@@ -97,6 +108,8 @@ class Tables:
     """
 
     def __init__(self, *, whole: Callable[[], DataFrame] | None = None, **frames: DataFrame | Callable[[], DataFrame]) -> None:
+        if LINES not in frames and "invoices" in frames:
+            frames[LINES] = lambda: self.invoices.sparkSession.createDataFrame([], SCHEMAS[LINES])
         if set(frames) != set(SCHEMAS):
             raise ValueError(f"expected exactly the tables {sorted(SCHEMAS)}")
         self._frames = frames

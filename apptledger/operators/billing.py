@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apptledger.functions import money, naming, times
-from apptledger.model import BILLABLE_STATUSES, Tables, conform
+from apptledger.model import BILLABLE_STATUSES, LINES, SCHEMAS, Tables, conform
 from apptledger.operators.changes import apply_changes
 from apptledger.operators.joins import lookup_join
 from apptledger.operators.numbering import assign_ids
@@ -101,24 +101,58 @@ def numbered_lines(lines: DataFrame, owner: str) -> DataFrame:
     )
     ranked = ranged.withColumn("_rank", F.row_number().over(within.orderBy("appointment_id")))
     numbered = ranked.join(starts, [owner, "_range"])
-    return numbered.withColumn("line_no", F.col("_start") + F.col("_rank")).withColumn("part_no", document_part()).drop(
+    return numbered.withColumn("line_no", (F.col("_start") + F.col("_rank")).cast("bigint")).withColumn("part_no", document_part()).drop(
         "_range", "_rank", "_start"
     )
 
 
-def invoice_documents(tables: Tables, headers: DataFrame) -> DataFrame:
-    """Line items as JSON arrays, ordered by appointment; the header joins the finished documents."""
+def run_lines(tables: Tables, headers: DataFrame) -> DataFrame:
+    """The lines that a run bills, as rows of ``invoice_lines``, for ``headers`` that are not applied yet."""
+    wanted = headers.select("client_id", "invoice_id")
+    lines = numbered_lines(invoice_lines(tables), "client_id")
+    billed = lookup_join(lines, wanted, "client_id", spread_by=["appointment_id"], bound=tables.clients)
+    return conform(billed, LINES)
+
+
+def lines_of(tables: Tables, headers: DataFrame) -> DataFrame:
+    """The lines of these invoices, whether their run is applied already or not."""
+    known = headers.select("client_id", "invoice_id")
+    wanted = known.select("invoice_id").distinct()
+    stored = lookup_join(tables.invoice_lines, wanted, "invoice_id", spread_by=["line_no"], bound=headers)
+    return stored.select(*SCHEMAS[LINES].fieldNames()).unionByName(
+        run_lines(tables, known.join(tables.invoices.select("invoice_id"), "invoice_id", "left_anti")))
+
+
+def further_lines(lines: DataFrame) -> DataFrame:
+    """Lines beyond the document that an invoice's own row holds."""
+    return lines.where(F.col("line_no") > LINES_PER_DOCUMENT)
+
+
+def line_documents(lines: DataFrame) -> DataFrame:
+    """JSON arrays of line items in their order, ``LINES_PER_DOCUMENT`` to a part."""
     item = F.struct(*[
         F.col(_LINE_SOURCE.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in LINE_ITEM.fields
     ])
-    wanted = headers.select("client_id", "invoice_id", "invoice_number")
-    lines = F.array_sort(F.collect_list(F.struct("line_no", item.alias("item"))))
-    documents = numbered_lines(invoice_lines(tables), "client_id").groupBy("client_id", "part_no").agg(lines.alias("lines"))
-    documents = lookup_join(documents, wanted, "client_id", spread_by=["part_no"], bound=tables.clients)
-    return documents.select(
-        "invoice_id", "invoice_number", "part_no", F.size("lines").alias("lines_in_part"),
-        F.to_json(F.transform("lines", lambda x: x["item"]), {"ignoreNullFields": "false"}).alias("line_items"),
-    )
+    parts = lines.withColumn("part_no", document_part()).groupBy("invoice_id", "part_no").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", item.alias("item")))).alias("lines"))
+    return parts.select(
+        "invoice_id", "part_no", F.size("lines").alias("lines_in_part"),
+        F.to_json(F.transform("lines", lambda x: x["item"]), {"ignoreNullFields": "false"}).alias("line_items"))
+
+
+def invoice_documents(tables: Tables, headers: DataFrame) -> DataFrame:
+    """All line items of these invoices as JSON, before a run is applied and any time after."""
+    numbers = headers.select("invoice_id", "invoice_number")
+    documents = lookup_join(line_documents(lines_of(tables, headers)), numbers, "invoice_id", spread_by=["part_no"], bound=headers)
+    return documents.select("invoice_id", "invoice_number", "part_no", "lines_in_part", "line_items")
+
+
+def lines_from_json(invoices: DataFrame) -> DataFrame:
+    """Rows of ``invoice_lines`` as far as the JSON on the invoices' rows goes."""
+    items = F.from_json("line_items", T.ArrayType(LINE_ITEM))
+    rows = invoices.where(F.col("line_items").isNotNull()).select("invoice_id", F.posexplode(items).alias("at", "item"))
+    named = rows.select("invoice_id", (F.col("at") + 1).alias("line_no"), "item.*")
+    return conform(named.withColumnsRenamed({k: v for k, v in _LINE_SOURCE.items()}), LINES)
 
 
 def explode_line_items(documents: DataFrame) -> DataFrame:
@@ -142,17 +176,19 @@ def mark_invoiced(tables: Tables, client_ids: DataFrame, as_of: dt.datetime) ->
 
 
 def apply_invoice_run(tables: Tables, as_of: dt.datetime, client_ids: DataFrame | None = None) -> Tables:
-    """Append the run's invoices and flag what they bill.
+    """Append the run's invoices and their lines, and flag what they bill.
 
-    The row carries the JSON of its first part; ``invoice_documents`` has them all.
+    Every line becomes a row of ``invoice_lines``; the invoice carries the JSON of its first part.
     """
     headers = materialized(invoice_run(tables, as_of, client_ids), "invoice-run")
-    first = invoice_documents(tables, headers).where(F.col("part_no") == 0).select("invoice_id", "line_items")
+    lines = materialized(run_lines(tables, headers), "invoice-lines")
+    first = line_documents(lines.where(F.col("line_no") <= LINES_PER_DOCUMENT)).select("invoice_id", "line_items")
     rows = headers.join(first, "invoice_id", "left").withColumns({
         "paid": F.lit(0), "created_at": times.local_literal(as_of),
     })
     return tables.replace(
         invoices=tables.invoices.unionByName(conform(rows, "invoices")),
+        invoice_lines=tables.invoice_lines.unionByName(lines),
         appointments=mark_invoiced(tables, headers, as_of),
     )
 

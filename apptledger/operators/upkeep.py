@@ -55,7 +55,7 @@ def _cleared(rows: DataFrame, ids: DataFrame, column: str, spread_by: list[str])
 
 
 def delete_appointments(tables: Tables, ids: DataFrame) -> Tables:
-    """Removes their journal pointers and payouts; trips and replacements lose the link."""
+    """Removes their journal pointers and payouts; trips, replacements and invoiced lines lose the link."""
     ids = _ids(ids, "appointment_id")
     left = _without(tables.appointments, ids, "appointment_id", ["appointment_id"])
     return tables.replace(
@@ -63,16 +63,20 @@ def delete_appointments(tables: Tables, ids: DataFrame) -> Tables:
         journal_index=_without(tables.journal_index, ids, "appointment_id", ["entry_id"]),
         payouts=_without(tables.payouts, ids, "appointment_id", ["payout_id"]),
         mileage=_cleared(tables.mileage, ids, "appointment_id", ["trip_id"]),
+        invoice_lines=_cleared(tables.invoice_lines, ids, "appointment_id", ["invoice_id", "line_no"]),
     )
 
 
 def delete_clients(tables: Tables, ids: DataFrame) -> Tables:
-    """Removes their appointments, with all that hangs on those, and invoices."""
+    """Removes their appointments, with all that hangs on those, and invoices with their lines."""
     ids = _ids(ids, "client_id")
     doomed = _marked(tables.appointments, ids, "client_id", ["appointment_id"]).where(F.col("_gone") == 1)
-    return delete_appointments(tables, doomed).replace(
+    bills = _marked(tables.invoices, ids, "client_id", ["invoice_id"]).where(F.col("_gone") == 1)
+    after = delete_appointments(tables, doomed)
+    return after.replace(
         clients=tables.clients.join(ids, "client_id", "left_anti"),
         invoices=_without(tables.invoices, ids, "client_id", ["invoice_id"]),
+        invoice_lines=_without(after.invoice_lines, _ids(bills, "invoice_id"), "invoice_id", ["invoice_id", "line_no"]),
     )
 
 

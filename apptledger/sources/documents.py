@@ -14,7 +14,14 @@ from pyspark.sql import types as T
 
 from apptledger.functions import money, times
 from apptledger.model import Tables
-from apptledger.operators.billing import LINE_ITEM, invoice_lines, numbered_lines
+from apptledger.operators.billing import (
+    LINE_ITEM,
+    document_part,
+    further_lines,
+    line_documents,
+    lines_of,
+    numbered_lines,
+)
 from apptledger.operators.joins import lookup_join
 from apptledger.plans.views import no_show_evidence, payouts_due
 from apptledger.settings import setting
@@ -67,17 +74,17 @@ def invoice_line_text(offset: Column) -> Column:
 
 
 def render_invoices(tables: Tables, headers: DataFrame) -> DataFrame:
-    """One text per invoice document. The head and total repeat on every part."""
+    """One text per invoice document, before a run is applied and after. The head and total repeat on every part."""
     offset = setting(tables.settings, "timezone_offset")
-    lines = numbered_lines(invoice_lines(tables), "client_id").withColumn("text", invoice_line_text(offset))
-    documents = lines.groupBy("client_id", "part_no").agg(
+    lines = lines_of(tables, headers).withColumns({"text": invoice_line_text(offset), "part_no": document_part()})
+    documents = lines.groupBy("invoice_id", "part_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("texts")
     )
     heads = headers.join(tables.clients.select("client_id", "client_name", "billing_email"), "client_id").select(
-        "client_id", "invoice_id", "invoice_number", "invoice_date", "due_date", "payment_terms_days", "total_amount",
+        "invoice_id", "invoice_number", "invoice_date", "due_date", "payment_terms_days", "total_amount",
         "client_name", "billing_email",
     )
-    rows = lookup_join(documents, heads, "client_id", spread_by=["part_no"], bound=tables.clients)
+    rows = lookup_join(documents, heads, "invoice_id", spread_by=["part_no"], bound=headers)
     address = F.coalesce(F.concat(F.lit(" ("), F.col("billing_email"), F.lit(")")), F.lit(""))
     head = F.concat_ws(
         "\n",
@@ -139,18 +146,18 @@ def render_no_show_notes(tables: Tables) -> DataFrame:
     return no_show_evidence(tables).select("appointment_id", "appointment_no", text.alias("text"))
 
 
-def render_reminders(tables: Tables, as_of: dt.datetime, documents: DataFrame | None = None) -> DataFrame:
+def render_reminders(tables: Tables, as_of: dt.datetime) -> DataFrame:
     """A short message per late invoice, with the order references of its lines.
 
     The references come from the JSON on the row, so nothing is shuffled for them.
-    The further parts of long invoices, given as ``documents``, get a message each.
+    The further parts of long invoices, made of their stored lines, get a message each.
     """
     today = as_of.date()
     late = tables.invoices.where((F.col("paid") == 0) & (F.col("due_date") < times.date_literal(today)))
-    if documents is not None:
-        more = documents.where(F.col("part_no") > 0).select("invoice_id", F.col("line_items").alias("_further"))
-        further = late.join(more, "invoice_id").withColumn("line_items", F.col("_further")).select(*late.columns)
-        late = late.unionByName(further)
+    more = line_documents(further_lines(tables.invoice_lines)).select(
+        "invoice_id", F.col("line_items").alias("_further"))
+    further = lookup_join(more, late, "invoice_id", spread_by=["_further"], bound=tables.invoices)
+    late = late.unionByName(further.withColumn("line_items", F.col("_further")).select(*late.columns))
     clients = tables.clients.select("client_id", "client_name", "billing_email")
     rows = lookup_join(late, clients, "client_id", spread_by=["invoice_id"])
     items = F.from_json("line_items", T.ArrayType(LINE_ITEM))

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from apptledger.operators import billing, quality, scheduling
+from apptledger.model import conform
+from apptledger.operators import billing, quality, scheduling, upkeep
 from apptledger.operators.changes import latest_per_key
 from apptledger.operators.joins import BROADCAST_LIMIT_CONF, lookup_join, spread_join
 from apptledger.operators.numbering import assign_ids
@@ -179,17 +180,60 @@ def test_ids_far_apart_fill_parts(spark, monkeypatch):
     ]
     rows["invoices"] = []
     tables = make_tables(spark, **rows)
-    headers = billing.invoice_run(tables, AS_OF)
-    parts = billing.invoice_documents(tables, headers)
+    after = billing.apply_invoice_run(tables, AS_OF)
+    headers = after.invoices.join(after.clients.select("client_id", "payment_terms_days"), "client_id")
+    parts = billing.invoice_documents(after, headers)
+    assert after.invoice_lines.count() == 1050 and after.appointments.where("invoiced = 0").count() == 0
     assert sorted(r.lines_in_part for r in parts.collect()) == [50] + [100] * 10
-    texts = [r.text for r in text_documents.render_invoices(tables, headers).collect()]
+    texts = [r.text for r in text_documents.render_invoices(after, headers).collect()]
     assert len(texts) == 11 and sum(t.count(", order R") for t in texts) == 1050
-    after = billing.apply_invoice_run(tables, AS_OF)
-    told = text_documents.render_reminders(after, AS_OF + dt.timedelta(days=400), parts).collect()
+    told = text_documents.render_reminders(after, AS_OF + dt.timedelta(days=400)).collect()
     found = [ref for r in told for ref in r.text.split("Orders: ")[1].rstrip(".").split(", ")]
     assert sorted(found) == sorted(f"R{i}" for i in range(1, 1051))
 
 
+def test_no_line_of_a_large_client_is_lost(spark, tmp_path):
+    """More than 10,000 lines: stored, read back, and found again after more work came in."""
+    from apptledger.sources.tables import load_tables, save_tables
+
+    rows = example_rows()
+    rows["appointments"], rows["invoices"] = [], []
+    tables = make_tables(spark, **rows)
+    work = spark.range(1, 10_501).selectExpr(
+        "id AS appointment_id", "concat('A-', id) AS appointment_no", "1 AS client_id", "1 AS place_id", "'seller' AS signing_type",
+        "'completed' AS status", "10 AS signing_fee", "0 AS invoiced", "concat('R', id) AS client_order_ref",
+        "timestamp_ntz'2026-09-01 10:00:00' AS scheduled_start")
+    tables = tables.replace(appointments=conform(work, "appointments"))
+    save_tables(billing.apply_invoice_run(tables, AS_OF), str(tmp_path / "after"))
+    after = load_tables(spark, str(tmp_path / "after"))
+    headers = after.invoices.join(after.clients.select("client_id", "payment_terms_days"), "client_id")
+    more = after.replace(appointments=after.appointments.unionByName(
+        conform(work.limit(3).selectExpr("* EXCEPT (appointment_id)", "appointment_id + 90000 AS appointment_id"), "appointments")))
+    documents = billing.invoice_documents(more, headers).collect()
+    assert [r.lines_in_part for r in sorted(documents, key=lambda r: r.part_no)] == [4096, 4096, 10_500 - 8192]
+    texts = [r.text for r in text_documents.render_invoices(more, headers).collect()]
+    assert len(texts) == 3 and sum(t.count(", order R") for t in texts) == 10_500
+    told = text_documents.render_reminders(more, AS_OF + dt.timedelta(days=400)).collect()
+    found = {ref for r in told for ref in r.text.split("Orders: ")[1].rstrip(".").split(", ")}
+    assert found == {f"R{i}" for i in range(1, 10_501)}
+    assert after.invoice_lines.agg(F.sum("billable_total")).first()[0] == headers.first().total_amount == 105_000
+    gone = upkeep.delete_clients(more, more.clients.where("client_id = 1"))
+    assert gone.invoice_lines.count() == 0 and gone.invoices.count() == 0
+
+
+def test_lines_of_older_snapshots_come_from_their_json(example, spark, tmp_path):
+    from apptledger.sources.tables import load_tables, save_tables
+
+    after = billing.apply_invoice_run(example, AS_OF)
+    path = tmp_path / "old"
+    save_tables(after, str(path))
+    (path / "invoice_lines").rename(tmp_path / "aside")
+    old = load_tables(spark, str(path)).invoice_lines
+    columns = [c for c in old.columns if c not in ("appointment_id", "gps_verified", "checked_in_at")]
+    same_rows(old.select(*columns), after.invoice_lines.select(*columns))
+    assert old.count() > 2
+
+
 def test_views_do_not_depend_on_row_order(spark, example):
     shuffled = example.replace(appointments=example.appointments.repartition(7).orderBy(F.desc("appointment_id")))
     for name in ["receivables_by_client", "no_show_evidence", "payouts_missing"]:
