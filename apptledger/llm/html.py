@@ -8,10 +8,16 @@ same vector are an equivalence class. A class is the template's if it has at lea
 if its tokens come in one order, repeated as a whole, and if classes nest: none begins inside another's
 gap and ends outside it. Valid classes form the template; the runs between their tokens are the slots.
 
-Text of the template is left out, and so is any slot inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles or comments of readers, known by element, role, or words of class and id. What
-remains inside ``article`` elements is the text, be it empty; without one inside ``main``; without either, of the whole body.
-A header inside an article belongs to the article.
+Text inside ``article`` elements is the text, be it empty; without one inside ``main``; without either, of the whole body.
+In a body without a marked region, text of the template is left out; what a page marks as its article stays whole, also where
+all articles of a host share a sentence. Anything inside menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or comments of readers is left out everywhere, known by element, role, or words of class and id. Some words
+name furniture wherever they stand (``STRONG``), some only if nothing else is said (``share-bar``, not
+``share-price-report``), and some only outside an article and its paragraphs (``search``, ``discussion``). A header inside
+an article belongs to the article.
+
+Pages whose visible texts are near copies of each other (five-word shingles, see ``neardup``) count once for a host's
+template, so one story under many addresses is no template.
 
 Vectors are never gathered: a token's vector is a 64-bit exclusive or over hashes of (page, count), combined
 before the shuffle, so a host with a third of all pages costs a task no more than any other. Templates
@@ -20,7 +26,8 @@ hold tokens that stand on most pages of a host, so their size is bounded by a pa
 Character references are decoded; white space inside a block becomes one space, ``br`` included; blocks are
 trimmed and joined by an empty line. Null, empty and wholly marked-up pages give an empty text. Cut pages are read as far
 as they go. Pages without a host share no template and go by their elements. Pages are read whole; repeated rows
-count once for the template and get a text each; an empty table gives an empty one.
+count once for the template and get a text each; an empty table gives an empty one. Raw elements such as ``svg`` may close
+themselves.
 """
 
 from __future__ import annotations
@@ -36,8 +43,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apptledger.llm.arrow import with_columns
-from apptledger.llm.neardup import checked_broadcast
+from apptledger.llm.neardup import near_duplicates
 from apptledger.llm.urlrules import host_of
+from apptledger.operators.joins import BROADCAST_LIMIT_CONF, spread_join
 from apptledger.session import materialized
 
 LEAST_PAGES, SUPPORT = 5, 0.8
@@ -46,7 +54,7 @@ LEAST_TOKENS = 2
 RAW = "script|style|title|textarea|noscript|iframe|noembed|noframes|xmp|template|svg|math"
 TOKEN = re.compile(
     rf"(?is)<!--.*?(?:-->|\Z)"
-    rf"|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|\Z)"
+    rf"|<({RAW})\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*+(?:/>|>.*?(?:</\1\b[^>]*(?:>|\Z)|\Z)|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?[a-z!?/][^>]*(?:>|\Z)"
     r"|([^<]+|<)")
@@ -65,17 +73,27 @@ CLOSED_BY_NEXT = {
 FURNITURE = frozenset("nav footer aside form menu button select dialog object canvas audio video".split())
 FURNITURE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-FURNITURE_WORDS = frozenset((
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie "
-    "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar "
-    "sidebars rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar "
-    "share sharing social related recommended recommendations comment comments reply replies respond disqus "
-    "discussion pagination pager search").split())
+#: Words of class and id that name furniture wherever they stand.
+STRONG = frozenset((
+    "ad ads adbox advert adverts advertisement advertising sponsored promo gdpr newsletter subscribe signup login sidebar "
+    "sidebars navbar breadcrumb breadcrumbs masthead toolbar topbar disqus pagination pager popup modal").split())
+#: Words that do so inside an article, or on a paragraph, if the rest of the name says no more than ``NEUTRAL`` words.
+MEDIUM = frozenset((
+    "banner cookie cookies consent overlay subscription rail widget widgets menu menus nav navigation footer share sharing "
+    "social related recommended recommendations comment comments sponsor promoted promotion").split())
+#: Words that do so outside an article only, on elements that hold others.
+WEAK = frozenset("notice notices alert search reply replies respond discussion".split())
+FURNITURE_WORDS = STRONG | MEDIUM | WEAK
+NEUTRAL = frozenset((
+    "area bar block box button buttons container content form icon icons inner item items left link links list main module outer "
+    "panel posts right row section slot stories top bottom unit wrap wrapper").split())
+#: Blocks that hold text rather than elements.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 WHOLE = frozenset("html body main article".split())
 MEMO = 200_000
 
 PAGE = T.StructType([
-    T.StructField("content", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("content", T.BinaryType()), T.StructField("visible", T.StringType()), T.StructField("tokens", T.ArrayType(T.LongType())),
     T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
@@ -92,8 +110,11 @@ def is_furniture(name: str, attributes: dict[str, str], in_article: bool) -> boo
         return False
     if attributes.get("role", "").lower() in FURNITURE_ROLES:
         return True
-    words = {w.lower() for key in ("class", "id") for w in WORD.findall(attributes.get(key, ""))}
-    return not words.isdisjoint(FURNITURE_WORDS) or "header" in words and not in_article and name != "h1"
+    names = [{w.lower() for w in WORD.findall(n)} for key in ("class", "id") for n in attributes.get(key, "").split()]
+    holds_text = name in PARAGRAPHS or name in INLINE
+    if in_article or holds_text:
+        return any(words & STRONG or words & MEDIUM and words <= FURNITURE_WORDS | NEUTRAL for words in names)
+    return any(words & FURNITURE_WORDS or "header" in words for words in names)
 
 
 class Reader:
@@ -133,11 +154,19 @@ class Reader:
                 continue  # comments, declarations, and elements whose content is no text of the page
             name = name.lower()
             if name == "br" or name in INLINE and not match[2]:
-                out.append((self.element(top[1], name, match[4])[1], " " if name == "br" else None, False, *top[2:]))
+                _, own, attributes = self.element(top[1], name, match[4])
+                if attributes and name not in VOID and not top[2] and is_furniture(name, attributes, top[3]):
+                    stack.append((name, top[1], True, *top[3:]))
+                out.append((own, " " if name == "br" else None, False, *top[2:]))
                 continue
             if name in INLINE:
-                out.append((number(top[1], "</", name), None, False, *top[2:]))
+                # Only those that are furniture are on the stack, above the block they stand in.
+                if top[0] == name:
+                    stack.pop()
+                out.append((number(top[1], "</", name), None, False, *stack[-1][2:]))
                 continue
+            while stack[-1][0] in INLINE or not match[2] and stack[-1][0] in PARAGRAPHS:
+                stack.pop()
             if match[2]:
                 for at in range(len(stack) - 1, 0, -1):
                     if stack[at][0] == name:
@@ -158,8 +187,13 @@ class Reader:
             inside = (furniture, top[3] or name == "article" and not furniture,
                       top[4] or (name == "main" or attributes.get("role") == "main") and not furniture)
             out.append((own, None, True, *inside))
-            # Paragraphs and headings hold no elements that matter, and are often left open.
-            if name in VOID or name == "p" or len(name) == 2 and name[0] == "h" and name[1].isdigit():
+            # Paragraphs and headings hold no elements that matter, and are often left open: one that is furniture
+            # ends where the next block begins.
+            if name in PARAGRAPHS:
+                if furniture and not top[2]:
+                    stack.append((name, top[1], True, *top[3:]))
+                continue
+            if name in VOID:
                 continue
             stack.append((name, below, *inside))
         return out
@@ -211,7 +245,7 @@ def main_text(tokens: list[tuple], template: set[int]) -> str:
         elif text is not None:
             if text == " ":
                 parts.append(text)
-            elif not furniture and at not in template and (in_article or not has_article and (in_main or not has_main)):
+            elif not furniture and (in_article or not has_article and (in_main or not has_main and at not in template)):
                 parts.append(text)
     blocks.append("".join(parts))
     cleaned = (" ".join(references.unescape(b).split()) for b in blocks)
@@ -219,20 +253,22 @@ def main_text(tokens: list[tuple], template: set[int]) -> str:
 
 
 def page_tokens(df: DataFrame, html: str) -> DataFrame:
-    """``df`` with a digest of each page and its distinct tokens with their counts."""
+    """``df`` with a digest of each page, its visible text, and its distinct tokens with their counts."""
 
     def make():
         reader = Reader()
 
         def compute(pages: pa.Array) -> list[list]:
-            contents, tokens, counts = [], [], []
+            contents, visible, tokens, counts = [], [], [], []
             for page in pages:
                 text = page.as_py() or ""
-                found = Counter(t[0] for t in reader.tokens(text) if t[0])
+                read = reader.tokens(text)
+                found = Counter(t[0] for t in read if t[0])
+                visible.append(" ".join(t[1] for t in read if t[1]))
                 contents.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
                 tokens.append(list(found))
                 counts.append(list(found.values()))
-            return [contents, tokens, counts]
+            return [contents, visible, tokens, counts]
 
         return compute
 
@@ -242,8 +278,15 @@ def page_tokens(df: DataFrame, html: str) -> DataFrame:
 def templates(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
     """(host, classes): the equivalence classes of each host's template, as arrays of token numbers."""
     read = page_tokens(pages.where(f"`{host}` <> '' and `{html}` is not null").select(host, html), html).drop(html)
-    distinct = read.groupBy(host, "content").agg(F.any_value(F.arrays_zip("tokens", "counts")).alias("found"))
+    distinct = read.groupBy(host, "content").agg(
+        F.any_value("visible").alias("visible"), F.any_value(F.arrays_zip("tokens", "counts")).alias("found"))
     distinct = materialized(distinct, "pages")
+    stories = near_duplicates(distinct.select("content", "visible"), "content", "visible").select(
+        F.col("content").alias("of"), F.col("component_id").alias("story")).distinct()
+    # Of the near copies on a host the one with the least digest stands for all.
+    told = distinct.select(host, "content").join(stories, F.col("content") == F.col("of")).groupBy(host, "story").agg(
+        F.min("content").alias("content")).select(host, "content")
+    distinct = distinct.join(told, [host, "content"], "left_semi").select(host, "content", "found")
     hosts = distinct.groupBy(host).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     vectors = (
         distinct.select(host, "content", F.explode("found").alias("t"))
@@ -255,12 +298,21 @@ def templates(pages: DataFrame, host: str = "host", html: str = "html") -> DataF
     return classes.where(F.size("class") >= LEAST_TOKENS).groupBy(host).agg(F.collect_list("class").alias("classes"))
 
 
+def with_templates(located: DataFrame, deduced: DataFrame) -> DataFrame:
+    """Each page with its host's classes. Templates are broadcast if all their tokens fit, else hot hosts are spread."""
+    limit = int(deduced.sparkSession.conf.get(BROADCAST_LIMIT_CONF, str(32 << 20)))
+    size = F.aggregate("classes", F.lit(200).cast("long"), lambda total, one: total + 16 + 8 * F.size(one))
+    if (deduced.agg(F.sum(size)).first()[0] or 0) <= limit:
+        return located.join(F.broadcast(deduced), "__host__", "left")
+    return spread_join(located, deduced, ["__host__"], "left", spread_by=[f"`{c}`" for c in located.columns if c != "__host__"])
+
+
 def extract(df: DataFrame, url: str = "url", html: str = "html", text: str = "text") -> DataFrame:
     """``df`` with the main text of each page."""
     kept = [c for c in df.columns if c != text]
     located = df.select(*[df[f"`{c}`"] for c in kept], host_of(df[url]).alias("__host__"))
     deduced = materialized(templates(located, "__host__", html), "templates")
-    joined = located.join(checked_broadcast(deduced), "__host__", "left").withColumn(
+    joined = with_templates(located, deduced).withColumn(
         "__page__", F.struct(F.col(f"`{html}`").alias("html"), "classes"))
 
     def make():
