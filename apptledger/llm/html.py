@@ -16,8 +16,8 @@ name furniture wherever they stand (``STRONG``), some only if nothing else is sa
 ``share-price-report``), and some only outside an article and its paragraphs (``search``, ``discussion``). A header inside
 an article belongs to the article.
 
-Pages whose visible texts are near copies of each other (five-word shingles, see ``neardup``) count once for a host's
-template, so one story under many addresses is no template.
+Where a host has pages without a marked region, those of its pages whose visible texts are near copies of each other
+(five-word shingles, see ``neardup``) count once for its template, so one story under many addresses is no template.
 
 Vectors are never gathered: a token's vector is a 64-bit exclusive or over hashes of (page, count), combined
 before the shuffle, so a host with a third of all pages costs a task no more than any other. Templates
@@ -93,7 +93,7 @@ WHOLE = frozenset("html body main article".split())
 MEMO = 200_000
 
 PAGE = T.StructType([
-    T.StructField("content", T.BinaryType()), T.StructField("visible", T.StringType()), T.StructField("tokens", T.ArrayType(T.LongType())),
+    T.StructField("content", T.BinaryType()), T.StructField("marked", T.BooleanType()), T.StructField("tokens", T.ArrayType(T.LongType())),
     T.StructField("counts", T.ArrayType(T.IntegerType()))])
 
 
@@ -252,23 +252,58 @@ def main_text(tokens: list[tuple], template: set[int]) -> str:
     return "\n\n".join(b for b in cleaned if b)
 
 
+def page_digest(page: str) -> bytes:
+    return xxhash.xxh3_128_digest(page.encode("utf-8", "surrogatepass"))
+
+
+def visible_texts(pages: DataFrame, html: str) -> DataFrame:
+    """(content, visible): digest and visible text, furniture and all, of each page."""
+
+    def make():
+        reader = Reader()
+
+        def compute(pages: pa.Array) -> list[list]:
+            texts = [page.as_py() or "" for page in pages]
+            return [[page_digest(t) for t in texts], [" ".join(k[1] for k in reader.tokens(t) if k[1]) for t in texts]]
+
+        return compute
+
+    added = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("visible", T.StringType())])
+    return with_columns(pages.select(html), html, added, make).select("content", "visible")
+
+
+def one_of_each_story(distinct: DataFrame, pages: DataFrame, host: str, html: str) -> DataFrame:
+    """``distinct`` pages without the near copies on hosts where a template may take text from an article."""
+    open_hosts = materialized(distinct.where("not marked").select(host).distinct(), "open-hosts")
+    if open_hosts.isEmpty():
+        return distinct
+    texts = visible_texts(pages.join(open_hosts, host, "left_semi"), html)
+    stories = near_duplicates(texts, "content", "visible").select(
+        F.col("content").alias("of"), F.col("component_id").alias("story")).distinct()
+    # Of the near copies on a host the one with the least digest stands for all.
+    mine = distinct.select(host, "content").join(open_hosts, host, "left_semi")
+    told = mine.join(stories, F.col("content") == F.col("of")).groupBy(host, "story").agg(F.min("content").alias("content"))
+    others = distinct.join(open_hosts, host, "left_anti")
+    return distinct.join(told.select(host, "content"), [host, "content"], "left_semi").unionByName(others)
+
+
 def page_tokens(df: DataFrame, html: str) -> DataFrame:
-    """``df`` with a digest of each page, its visible text, and its distinct tokens with their counts."""
+    """``df`` with a digest of each page, whether it marks its article, and its distinct tokens with their counts."""
 
     def make():
         reader = Reader()
 
         def compute(pages: pa.Array) -> list[list]:
-            contents, visible, tokens, counts = [], [], [], []
+            contents, marked, tokens, counts = [], [], [], []
             for page in pages:
                 text = page.as_py() or ""
                 read = reader.tokens(text)
                 found = Counter(t[0] for t in read if t[0])
-                visible.append(" ".join(t[1] for t in read if t[1]))
-                contents.append(xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")))
+                marked.append(any((t[4] or t[5]) and not t[3] for t in read))
+                contents.append(page_digest(text))
                 tokens.append(list(found))
                 counts.append(list(found.values()))
-            return [contents, visible, tokens, counts]
+            return [contents, marked, tokens, counts]
 
         return compute
 
@@ -279,14 +314,8 @@ def templates(pages: DataFrame, host: str = "host", html: str = "html") -> DataF
     """(host, classes): the equivalence classes of each host's template, as arrays of token numbers."""
     read = page_tokens(pages.where(f"`{host}` <> '' and `{html}` is not null").select(host, html), html).drop(html)
     distinct = read.groupBy(host, "content").agg(
-        F.any_value("visible").alias("visible"), F.any_value(F.arrays_zip("tokens", "counts")).alias("found"))
-    distinct = materialized(distinct, "pages")
-    stories = near_duplicates(distinct.select("content", "visible"), "content", "visible").select(
-        F.col("content").alias("of"), F.col("component_id").alias("story")).distinct()
-    # Of the near copies on a host the one with the least digest stands for all.
-    told = distinct.select(host, "content").join(stories, F.col("content") == F.col("of")).groupBy(host, "story").agg(
-        F.min("content").alias("content")).select(host, "content")
-    distinct = distinct.join(told, [host, "content"], "left_semi").select(host, "content", "found")
+        F.any_value("marked").alias("marked"), F.any_value(F.arrays_zip("tokens", "counts")).alias("found"))
+    distinct = one_of_each_story(materialized(distinct, "pages"), pages, host, html)
     hosts = distinct.groupBy(host).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
     vectors = (
         distinct.select(host, "content", F.explode("found").alias("t"))
