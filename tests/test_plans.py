@@ -165,3 +165,25 @@ def test_equal_starts_know_each_other(spark):
              "duration_minutes": 30, "scheduled_start": "2026-09-30T10:00"} for i in (4, 7, 9)]
     found = scheduling.schedule_conflicts(make_tables(spark, appointments=rows), 0).collect()
     assert {r.appointment_id: (r.conflicts, r.same_start) for r in found} == {4: (2, 9), 7: (2, 4), 9: (2, 4)}
+
+
+def test_quality_rules_read_each_table_once(stored, monkeypatch):
+    """One pass over each table makes the facts; the rules exchange only those."""
+    from apptledger.operators import quality
+
+    seen = []
+    monkeypatch.setattr(quality, "materialized", lambda df, label: seen.append((label, df)) or df)
+    rules = [*quality.enum_rules(), *quality.range_rules(), *quality.required_rules(), *quality.single_day_rules()]
+    text = plan(quality.facts(stored, rules, quality.UNIQUE, quality.REFERENCES))
+    assert text.count("FileScan parquet") == 9 and "Exchange" not in text
+    (_, known), = seen
+    quality.judged(known)
+    wrong = plan(dict(seen)["wrong"])
+    assert wrong.count("Exchange hashpartitioning") == 1 and "partial_sum" in wrong
+
+
+def test_times_of_sql_functions_reach_the_scan(stored, spark):
+    views.register_functions(spark, stored)
+    text = plan(spark.sql("SELECT * FROM drops_due(TIMESTAMP_NTZ '2026-09-30 14:36:00')"))
+    (scan,) = [x for x in text.splitlines() if "drop_deadline" in x and "PushedFilters" in x]
+    assert "EqualTo(status,completed)" in scan and "LessThanOrEqual(drop_deadline," in scan
