@@ -37,3 +37,10 @@ def with_columns(df: DataFrame, source: str, added: T.StructType,
                 [batch.column(i) for i in range(len(kept))] + columns, names=kept + [n for n, _ in types])
 
     return sent.mapInArrow(run, schema)
+
+
+def apart(df: DataFrame, needed: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` on ``df`` with all columns but ``needed`` under names that no operator uses; its rows in the columns of ``df``."""
+    names = {c: c if c in needed else f"__kept{i}__" for i, c in enumerate(df.columns)}
+    done = run(df.select(*[df["`" + c.replace("`", "``") + "`"].alias(n) for c, n in names.items()]))
+    return done.select(*[done[n].alias(c) for c, n in names.items()])

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from apptledger.llm.arrow import with_columns
 from apptledger.llm.components import components
-from apptledger.operators.joins import BROADCAST_LIMIT_CONF
+from apptledger.operators.joins import BROADCAST_LIMIT_CONF, spread_join
 from apptledger.session import materialized
 
 SHINGLE = 5
@@ -238,36 +238,55 @@ def links(docs: DataFrame, sketches: DataFrame, id_column: str, text: str) -> Da
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: its id, ``n_shingles``, ``component_id`` and ``kept``."""
+    return verdicts(df, id_column, text).drop("class", "root")
+
+
+def verdicts(df: DataFrame, id_column: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the ``class`` of each row and the ``root`` of its component, both null where a text has no
+    words. Components that share their smallest id, as its rows hold several texts, differ in their roots."""
     docs = df.select(df[f"`{id_column}`"], df[f"`{text}`"])
     sketches = materialized(sketched(docs, text).drop(text), "sketches")
     found = materialized(links(docs, sketches, id_column, text), "near")
     roots = materialized(components(found), "roots")
     # Of each class its smallest id; of classes in a component the smallest of all.
-    classes = sketches.where(f"class is not null and `{id_column}` is not null").groupBy("class").agg(
-        F.min(id_column).alias("member"))
+    classes = materialized(sketches.where(f"class is not null and `{id_column}` is not null").groupBy("class").agg(
+        F.min(id_column).alias("member"), F.count(F.lit(1)).alias("_rows")), "classes")
     named = classes.join(roots, classes["class"] == roots["node"]).select("class", "member", "root")
     names = named.groupBy("root").agg(F.min("member").alias("name"))
-    renamed = materialized(named.join(names, "root").select("class", "name"), "renamed")
+    renamed = materialized(named.join(names, "root").select("class", "name", "root"), "renamed")
     members = classes.join(renamed, "class", "left").select(
-        F.col("class").alias("of"), F.coalesce("name", "member").alias("component_id"))
-    rows = sketches.select(id_column, "n_shingles", "class")
-    joined = rows.join(members, rows["class"] == members["of"], "left")
+        "class", F.coalesce("name", "member").alias("component_id"), F.coalesce("root", "class").alias("root"))
+    # A class of very many copies is spread by their ids.
+    joined = spread_join(sketches.select(id_column, "n_shingles", "class"), members, ["class"], "left", spread_by=[id_column],
+                         counts=classes.select("class", "_rows"))
     own = F.col(f"`{id_column}`")
     return joined.select(
-        own, "n_shingles", F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"),
+        own, "n_shingles", "class", "root", F.when(own.isNotNull(), F.coalesce("component_id", own)).alias("component_id"),
     ).withColumn("kept", F.coalesce(own == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: one document of each component, and one of rows that repeat id and text."""
-    verdict = near_duplicates(df, id_column, text)
-    dropped = materialized(verdict.where("not kept").select(id_column).distinct(), "dropped")
-    left = df.join(checked_broadcast(dropped), id_column, "left_anti").select(*[df[f"`{c}`"] for c in df.columns])
-    # Few ids repeat, if any, so whole texts are compared for these only.
-    repeated = materialized(
-        verdict.where(F.col(f"`{id_column}`").isNotNull()).groupBy(id_column).count().where("count > 1").select(id_column), "repeated")
+    """The rows of ``df`` that stay: one document of each component, and one of rows that repeat id and text.
+
+    Of rows that share an id each text is judged for itself, so a text without a copy stays whatever else bears its id."""
+    verdict = materialized(verdicts(df, id_column, text), "verdicts")
+    known = verdict.where(F.col(f"`{id_column}`").isNotNull())
+    repeated = materialized(known.groupBy(id_column).count().where("count > 1").select(id_column), "repeated")
+    dropped = materialized(known.where("not kept").select(id_column).distinct(), "dropped")
     if repeated.isEmpty():
-        return left
+        return df.join(checked_broadcast(dropped), id_column, "left_anti").select(*[df[f"`{c}`"] for c in df.columns])
     again = checked_broadcast(repeated)
-    return left.join(again, id_column, "left_anti").unionByName(
-        left.join(again, id_column, "left_semi").dropDuplicates([id_column, text])).select(*[f"`{c}`" for c in df.columns])
+    single = df.join(again, id_column, "left_anti").join(checked_broadcast(dropped), id_column, "left_anti")
+    # Few ids repeat, if any, so texts are sketched once more for these only.
+    columns = [f"__row{i}__" for i in range(len(df.columns))]
+    rows = df.join(again, id_column, "left_semi").select(*[df[f"`{c}`"].alias(n) for c, n in zip(df.columns, columns, strict=True)])
+    own, body = (columns[df.columns.index(c)] for c in (id_column, text))
+    classed = sketched(rows, body).select(*columns, F.col("class").alias("__class__"))
+    judged = known.join(again, id_column, "left_semi").select(
+        F.col(f"`{id_column}`").alias("__id__"), F.col("class").alias("__of__"), F.col("root").alias("__root__"), "kept").distinct()
+    met = classed.join(judged, (F.col(own) == F.col("__id__")) & F.col("__class__").eqNullSafe(F.col("__of__"))).where("kept")
+    # Without words nothing is a near copy, so only the same text is a repetition.
+    met = met.withColumn("__same__", F.when(F.col("__class__").isNull(), F.coalesce(F.col(body), F.lit("")))).dropDuplicates(
+        [own, "__root__", "__same__"])
+    return single.select(*[df[f"`{c}`"] for c in df.columns]).unionByName(
+        met.select(*[F.col(n).alias(c) for c, n in zip(df.columns, columns, strict=True)]))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apptledger.llm.arrow import with_columns
+from apptledger.llm.arrow import apart, with_columns
 
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
@@ -144,5 +144,5 @@ def judged(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def kept(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``df`` that the rules keep, with the columns they had."""
-    return judged(df, text).where("kept").select(*[F.col(f"`{c}`") for c in df.columns])
+    """The rows of ``df`` that the rules keep, with the columns and values they had."""
+    return apart(df, [text], lambda rows: judged(rows, text).where("kept"))

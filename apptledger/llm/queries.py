@@ -45,7 +45,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.rates(documents, table(spark, sf_dir, "labels"))
     return rated.select(
         "doc_id", "n_words", *[f"p_{d}" for d in mixing.DOMAINS], "rate",
-        mixing.copies(F.col("rate"), "doc_id").alias("copies"))
+        mixing.copies(F.col("rate"), "doc_id", F.md5(F.coalesce("text", F.lit("")))).alias("copies"))
 
 
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

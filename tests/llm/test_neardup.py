@@ -98,6 +98,14 @@ def test_one_document_of_each_group_stays(spark, documents):
     assert sorted(r.doc_id for r in stayed.collect()) == sorted(i for i, (_, _, kept) in brute_force(rows).items() if kept)
 
 
+def test_a_text_of_its_own_stays_whatever_bears_its_id(spark, documents):
+    copy, own = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, copy), (2, copy), (2, own), (2, own), (3, own + " more"), (4, ""), (4, " "), (4, None), (5, "a"), (5, "A"), (None, copy), (None, copy)]
+    got = [(r.doc_id, r.text) for r in neardup.deduplicated(documents(rows)).collect()]
+    assert len(got) == 7 and {i: sum(k == i for k, _ in got) for i in (1, 2, 3, 4, 5, None)} == {1: 1, 2: 1, 3: 0, 4: 2, 5: 1, None: 2}
+    assert (2, own) in got and (4, " ") in got
+
+
 def test_signature_halves_estimate_similarity():
     """Least and greatest values agree as often as the sets overlap."""
     rng = random.Random(6)
