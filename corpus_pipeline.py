@@ -8,7 +8,8 @@
 5. ``bpe``: token ids and their number are added.
 
 All stages but the last return the columns of ``documents``. An empty table passes through. No SQL dialect
-expresses the stages, so ``ORACLE_SQL`` is None; tests/llm/test_pipeline.py runs them against a plain version.
+expresses the stages, so ``ORACLE_SQL`` is None; tests/llm/test_queries.py holds them against plain versions, and
+tests/llm/test_pipeline.py runs them on clashing columns, nulls, repeated rows and an empty table.
 """
 
 from __future__ import annotations
@@ -19,22 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apptledger.llm import bpe, mixing, neardup, quality, secrets
+from apptledger.llm.arrow import apart
 from apptledger.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: What stages work on; all other columns travel under names that no operator uses.
+NEEDED = ["doc_id", "text"]
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs)
+    return apart(docs, NEEDED, neardup.deduplicated)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = secrets.masked(secrets.scan(docs, spans="secret_spans"), spans="secret_spans")
-    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    masked = apart(docs, NEEDED, lambda rows: secrets.masked(secrets.scan(rows, spans="secret_spans"), spans="secret_spans"))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
