@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import naming, times
 from apptledger.model import ACT_TYPES, CLIENT_TYPES, PAYOUT_TYPES, SIGNING_TYPES, STATUSES, Tables
-from apptledger.operators.joins import lookup_join
+from apptledger.operators.joins import fits_broadcast, lookup_join, spread_join
+from apptledger.session import materialized
 
 PRIMARY_KEYS = {
     "settings": "key", "clients": "client_id", "places": "place_id", "notaries": "notary_id",
@@ -65,13 +66,6 @@ START_TEXT = r"^\d{4}-\d{2}-\d{2}T[0-2]\d:[0-5]\d"
 START_OFFSET = r"T.*[+-]"
 
 
-def _broken(rows: DataFrame, rule: str, table: str, detail: Column) -> DataFrame:
-    key = F.col(PRIMARY_KEYS[table]).cast("string")
-    return rows.select(
-        F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), key.alias("key"), detail.alias("detail")
-    )
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     """Pairwise, so that no part is analysed once per part that follows it."""
     while len(parts) > 1:
@@ -170,54 +164,92 @@ def check_start_text(raw: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def check_unique(tables: Tables) -> DataFrame:
-    """One row per repeated value, with how often it occurs."""
-    def repeated(table: str, column: str) -> DataFrame:
-        return (
-            getattr(tables, table).where(F.col(column).isNotNull())
-            .groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-            .select(
-                F.lit("unique").alias("rule"), F.lit(table).alias("table_name"),
-                F.col(column).cast("string").alias("key"),
-                F.concat(F.lit(f"{column} x"), F.col("n").cast("string")).alias("detail"),
-            )
-        )
+def facts(
+    tables: Tables, rules: list[RowRule], unique: list[tuple[str, str]], references: list[tuple[str, str, str]]
+) -> DataFrame:
+    """What the rules need to know of each row, in one pass over each table; stored.
 
-    return _union([repeated(table, column) for table, column in UNIQUE])
+    ``kind`` is ``rule`` for a broken row rule, ``unique`` for a value that must not repeat, ``child`` for an id that
+    points at table ``name``, ``parent`` for a row that ids may point at. Only ids and unique values are kept.
+    """
+    def fact(kind: str, name: str, *, ref: Column | None = None, text: Column | None = None, detail: Column | None = None) -> Column:
+        none = F.lit(None)
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(name).alias("name"), (none if ref is None else ref).cast("bigint").alias("ref"),
+            (none if text is None else text).cast("string").alias("text"), (none if detail is None else detail).cast("string").alias("detail"))
+
+    def of(table: str) -> list[Column]:
+        found = [F.when(~F.coalesce(holds, F.lit(True)), fact("rule", rule, detail=detail))
+                 for rule, owner, holds, detail in rules if owner == table]
+        found += [F.when(F.col(c).isNotNull(), fact("unique", f"{t}.{c}", text=F.col(c))) for t, c in unique if t == table]
+        found += [F.when(F.col(c).isNotNull(), fact("child", parent, ref=F.col(c), detail=F.lit(c)))
+                  for child, c, parent in references if child == table]
+        if any(parent == table for _, _, parent in references):
+            owner = F.when(F.col("is_owner") == 1, "owner") if table == "notaries" else None
+            found.append(fact("parent", table, ref=F.col(PRIMARY_KEYS[table]), detail=owner))
+        return found
+
+    concerned = dict.fromkeys([t for _, t, _, _ in rules] + [t for t, _ in unique] + [t for r in references for t in (r[0], r[2])])
+    rows = [
+        getattr(tables, table).select(
+            F.lit(table).alias("table_name"), F.col(PRIMARY_KEYS[table]).cast("string").alias("key"),
+            F.inline(F.array_compact(F.array(*of(table)))))
+        for table in concerned
+    ]
+    return materialized(_union(rows), "facts")
 
 
-def check_references(tables: Tables) -> DataFrame:
-    """Ids that point at no row. All references to one parent are checked in one join."""
-    def references(child: str, column: str) -> DataFrame:
-        return getattr(tables, child).where(F.col(column).isNotNull()).select(
-            F.lit(child).alias("table_name"), F.col(PRIMARY_KEYS[child]).cast("string").alias("key"),
-            F.lit(column).alias("_column"), F.col(column).alias("_ref"),
-        )
+def judged(known: DataFrame) -> DataFrame:
+    """The violations that ``facts`` tell of.
 
-    def orphans(parent: str) -> DataFrame:
-        pointing = _union([references(child, column) for child, column, p in REFERENCES if p == parent])
-        known = getattr(tables, parent).select(F.col(PRIMARY_KEYS[parent]).alias("_ref"), F.lit(1).alias("_found"))
-        joined = lookup_join(pointing, known, "_ref", "left", spread_by=["table_name", "key"])
-        return joined.where(F.col("_found").isNull()).select(
-            F.lit("reference").alias("rule"), "table_name", "key",
-            F.concat("_column", F.lit("="), F.col("_ref").cast("string")).alias("detail"),
-        )
+    One exchange counts each value and id by its kinds, after every task has added up its own. What is wrong is a short
+    list as a rule; the rows that point at it are found by joining it back, by broadcast if it is small, else with
+    its hot ids spread.
+    """
+    held = known.where(F.col("kind") != "rule")
+
+    def number(kind: str) -> Column:
+        return F.sum((F.col("kind") == kind).cast("int")).alias(kind)
+
+    counted = held.groupBy("name", "ref", "text").agg(
+        number("unique"), number("child"), number("parent"), F.max(F.col("detail") == "owner").alias("owner"))
+    wrong = materialized(counted.where(
+        (F.col("unique") > 1) | ((F.col("child") > 0) & ((F.col("parent") == 0) | F.col("owner")))), "wrong")
+    repeated = wrong.where(F.col("unique") > 1).select(
+        F.lit("unique").alias("rule"), F.split_part("name", F.lit("."), F.lit(1)).alias("table_name"), F.col("text").alias("key"),
+        F.concat(F.split_part("name", F.lit("."), F.lit(2)), F.lit(" x"), F.col("unique").cast("string")).alias("detail"))
+    missed = wrong.where(F.col("child") > 0).select("name", "ref", (F.col("parent") == 0).alias("orphan"))
+    children = known.where(F.col("kind") == "child").select("name", "ref", "table_name", "key", "detail")
+    if fits_broadcast(missed):
+        pointing = children.join(F.broadcast(missed), ["name", "ref"])
+    else:
+        pointing = spread_join(children, missed, ["name", "ref"], spread_by=["table_name", "key"])
+    # An owner is no fault of the appointments that name one.
+    pointing = pointing.where(F.col("orphan") | (F.col("table_name") == "payouts")).select(
+        F.when(F.col("orphan"), "reference").otherwise("owner_payout").alias("rule"), "table_name", "key",
+        F.concat("detail", F.lit("="), F.col("ref").cast("string")).alias("detail"))
+    broken = known.where(F.col("kind") == "rule").select(F.col("name").alias("rule"), "table_name", "key", "detail")
+    return _union([broken, repeated, pointing])
 
-    return _union([orphans(parent) for parent in dict.fromkeys(p for _, _, p in REFERENCES)])
+
+def check_unique(tables: Tables) -> DataFrame:
+    """One row per repeated value, with how often it occurs."""
+    return judged(facts(tables, [], UNIQUE, []))
+
+
+def check_references(tables: Tables) -> DataFrame:
+    """Ids that point at no row."""
+    return judged(facts(tables, [], [], REFERENCES)).where(F.col("rule") == "reference")
 
 
 def check_owner_payouts(tables: Tables) -> DataFrame:
     """Owners are never paid out."""
-    owners = tables.notaries.where(F.col("is_owner") == 1).select("notary_id")
-    rows = lookup_join(tables.payouts, owners, "notary_id", spread_by=["payout_id"], bound=tables.notaries)
-    return _broken(rows, "owner_payout", "payouts", _named("notary_id"))
+    return judged(facts(tables, [], [], [("payouts", "notary_id", "notaries")])).where(F.col("rule") == "owner_payout")
 
 
 def all_violations(tables: Tables) -> DataFrame:
     rules = [*enum_rules(), *range_rules(), *required_rules(), *single_day_rules()]
-    return _union([
-        check_rows(tables, rules), check_unique(tables), check_references(tables), check_owner_payouts(tables),
-    ])
+    return judged(facts(tables, rules, UNIQUE, REFERENCES))
 
 
 def existing_for(tables: Tables, incoming: DataFrame, table: str) -> DataFrame:

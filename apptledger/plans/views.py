@@ -47,9 +47,12 @@ def in_days(appointments: DataFrame, first: dt.date, last: dt.date) -> Column:
 
 def appointments_between(tables: Tables, first: dt.date, last: dt.date) -> DataFrame:
     """Open appointments of these local dates, ready for dispatch."""
-    rows = tables.appointments.where(
-        F.col("status").isin(OPEN_STATUSES) & in_days(tables.appointments, first, last)
-    )
+    return scheduled(tables, tables.appointments.where(
+        F.col("status").isin(OPEN_STATUSES) & in_days(tables.appointments, first, last)))
+
+
+def scheduled(tables: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` of appointments with all that dispatch needs."""
     offset = setting(tables.settings, "timezone_offset")
     clients = tables.clients.select("client_id", "client_name", "client_type")
     places = tables.places.select(
@@ -96,12 +99,21 @@ def appointments_upcoming(tables: Tables, as_of: dt.datetime) -> DataFrame:
 def drops_due(tables: Tables, as_of: dt.datetime) -> DataFrame:
     """Completed work whose package or scan-backs are still out, due within a day or late."""
     now = times.local_literal(as_of)
+    due = tables.appointments.where(F.col("drop_deadline") <= times.local_literal(as_of + dt.timedelta(hours=24)))
+    rows = drops_open(tables, due)
+    return rows.withColumns({
+        "overdue": (F.col("drop_deadline") < now).cast("int"), "hours_left": times.hours_until("drop_deadline", now),
+    }).select(*[c for c in rows.columns if c not in DROPS_LAST], "overdue", "hours_left", *DROPS_LAST)
+
+
+# Columns of ``drops_due`` that stand after those that depend on the time.
+DROPS_LAST = ["notary_name", "notes"]
+
+
+def drops_open(tables: Tables, appointments: DataFrame) -> DataFrame:
+    """Of these appointments the completed ones whose package or scan-backs are still out."""
     scanbacks_pending = F.coalesce(F.col("scanbacks_required") == 1, F.lit(False)) & F.col("scanbacks_sent_at").isNull()
-    rows = tables.appointments.where(
-        (F.col("status") == "completed")
-        & (F.col("drop_deadline") <= times.local_literal(as_of + dt.timedelta(hours=24)))
-        & (F.col("dropped_at").isNull() | scanbacks_pending)
-    )
+    rows = appointments.where((F.col("status") == "completed") & (F.col("dropped_at").isNull() | scanbacks_pending))
     clients = tables.clients.select("client_id", "client_name")
     notaries = tables.notaries.select("notary_id", "notary_name")
     rows = lookup_joins(
@@ -112,8 +124,6 @@ def drops_due(tables: Tables, as_of: dt.datetime) -> DataFrame:
         "drop_deadline", "shipping_carrier", "tracking_no", "dropped_at", "scanbacks_required", "scanbacks_sent_at",
         scanbacks_pending.cast("int").alias("scanbacks_pending"),
         F.col("dropped_at").isNull().cast("int").alias("drop_pending"),
-        (F.col("drop_deadline") < now).cast("int").alias("overdue"),
-        times.hours_until("drop_deadline", now).alias("hours_left"),
         "notary_name", "notes",
     )
 
@@ -143,6 +153,15 @@ def receivables_by_client(tables: Tables) -> DataFrame:
 
 def invoices_outstanding(tables: Tables, as_of: dt.datetime) -> DataFrame:
     today = as_of.date()
+    return invoices_unpaid(tables).select(
+        "*",
+        money.days_past_due(today).alias("days_past_due"),
+        money.aging_bucket(today).alias("aging_bucket"),
+        F.coalesce((F.col("due_date") < times.date_literal(today)).cast("int"), F.lit(0)).alias("overdue"),
+    )
+
+
+def invoices_unpaid(tables: Tables) -> DataFrame:
     clients = tables.clients.select(
         "client_id", "client_name", "client_type", "contact_name", "billing_email", "payment_terms_days"
     )
@@ -152,9 +171,6 @@ def invoices_outstanding(tables: Tables, as_of: dt.datetime) -> DataFrame:
     return rows.select(
         "invoice_id", "invoice_number", "client_id", "client_name", "client_type", "contact_name", "billing_email",
         "payment_terms_days", "invoice_date", "due_date", "sent_date", "total_amount",
-        money.days_past_due(today).alias("days_past_due"),
-        money.aging_bucket(today).alias("aging_bucket"),
-        F.coalesce((F.col("due_date") < times.date_literal(today)).cast("int"), F.lit(0)).alias("overdue"),
     )
 
 
@@ -277,3 +293,44 @@ def all_views(tables: Tables, as_of: dt.datetime) -> dict[str, DataFrame]:
         "payouts_missing": payouts_missing(tables),
         "no_show_evidence": no_show_evidence(tables),
     }
+
+
+# What the views below leave to the time they are asked for, in SQL; ``as_of`` is the function's parameter.
+_DAYS = "scheduled_start >= date_trunc('DAY', as_of) AND scheduled_start < date_trunc('DAY', as_of) + INTERVAL {} DAYS"
+TIMED = {
+    "appointments_today": ("appointments_open", "*", _DAYS.format(1)),
+    "appointments_upcoming": ("appointments_open", "*", _DAYS.format(7)),
+    "drops_due": (
+        "drops_open",
+        "* EXCEPT (notary_name, notes), CAST(drop_deadline < as_of AS INT) AS overdue, CAST(round(CAST(timestampdiff(SECOND, as_of, "
+        "drop_deadline) AS DECIMAL(18,0)) / 360, 0) / 10 AS DECIMAL(12,1)) AS hours_left, notary_name, notes",
+        "drop_deadline <= as_of + INTERVAL 24 HOURS"),
+    "invoices_outstanding": (
+        "invoices_unpaid",
+        "*, datediff(CAST(as_of AS DATE), due_date) AS days_past_due, CASE WHEN datediff(CAST(as_of AS DATE), due_date) <= 0 THEN 'current' "
+        "WHEN datediff(CAST(as_of AS DATE), due_date) <= 30 THEN '30' WHEN datediff(CAST(as_of AS DATE), due_date) <= 60 THEN '60' "
+        "ELSE '90+' END AS aging_bucket, coalesce(CAST(due_date < CAST(as_of AS DATE) AS INT), 0) AS overdue",
+        "true"),
+}
+
+
+def register_functions(spark: SparkSession, tables: Tables) -> None:
+    """Make every view a table function of SQL: ``SELECT * FROM receivables_by_client()``, and those that depend on
+    the clock ask for it: ``SELECT * FROM drops_due(TIMESTAMP_NTZ '2026-09-30 14:36:00')``.
+
+    The rows behind a function are a temporary view without the time; the time's conditions reach its scan.
+    """
+    undated = {
+        "appointments_open": scheduled(tables, tables.appointments.where(F.col("status").isin(OPEN_STATUSES))),
+        "drops_open": drops_open(tables, tables.appointments), "invoices_unpaid": invoices_unpaid(tables),
+    }
+    views = all_views(tables, dt.datetime(2000, 1, 1))
+    for name, df in {**undated, **{n: v for n, v in views.items() if n not in TIMED}}.items():
+        df.createOrReplaceTempView(f"{name}_rows")
+    for name, df in views.items():
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        rows, selected, condition = TIMED.get(name, (name, "*", "true"))
+        parameter = "as_of TIMESTAMP_NTZ" if name in TIMED else ""
+        spark.sql(
+            f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameter}) RETURNS TABLE ({columns}) "
+            f"RETURN SELECT {selected} FROM {rows}_rows WHERE {condition}")

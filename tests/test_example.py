@@ -166,3 +166,25 @@ def test_totals_agree_between_run_and_receivables(example):
     owed = views.receivables_by_client(example).agg(F.sum("total_billable")).first()[0]
     billed = billing.invoice_run(example, AS_OF).agg(F.sum("total_amount")).first()[0]
     assert owed == billed
+
+
+def test_views_as_functions_of_sql(example, spark):
+    """Any time can be asked for, and rows and columns are those of the DataFrames."""
+    views.register_functions(spark, example)
+    for name, df in views.all_views(example, AS_OF).items():
+        if name not in views.NEEDS_TIME:
+            assert sorted(map(str, spark.sql(f"SELECT * FROM {name}()").collect())) == sorted(map(str, df.collect()))
+    seen = set()
+    for as_of in (AS_OF, dt.datetime(2026, 9, 21, 6), dt.datetime(2026, 11, 3, 23, 59, 59)):
+        moved = example.replace(appointments=example.appointments.withColumn(
+            "status", F.when(F.col("appointment_id") < 3, "confirmed").otherwise(F.col("status"))).withColumn(
+            "drop_deadline", F.timestamp_add("HOUR", (F.col("appointment_id") * 5).cast("int"), F.lit(as_of - dt.timedelta(hours=12)).cast("timestamp_ntz"))))
+        moved = moved.replace(invoices=moved.invoices.withColumn("paid", F.lit(0)))
+        views.register_functions(spark, moved)
+        for name in views.NEEDS_TIME:
+            expected = views.all_views(moved, as_of)[name]
+            got = spark.sql(f"SELECT * FROM {name}(TIMESTAMP_NTZ '{as_of}')")
+            assert got.schema.simpleString() == expected.schema.simpleString()
+            assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+            seen |= {name} if expected.count() else set()
+    assert seen == views.NEEDS_TIME

@@ -208,7 +208,8 @@ def test_no_line_of_a_large_client_is_lost(spark, tmp_path):
     after = load_tables(spark, str(tmp_path / "after"))
     headers = after.invoices.join(after.clients.select("client_id", "payment_terms_days"), "client_id")
     more = after.replace(appointments=after.appointments.unionByName(
-        conform(work.limit(3).selectExpr("* EXCEPT (appointment_id)", "appointment_id + 90000 AS appointment_id"), "appointments")))
+        conform(work.limit(3).selectExpr("* EXCEPT (appointment_id)", "appointment_id + 90000 AS appointment_id"), "appointments")
+        .withColumn("appointment_date", F.to_date("scheduled_start"))))
     documents = billing.invoice_documents(more, headers).collect()
     assert [r.lines_in_part for r in sorted(documents, key=lambda r: r.part_no)] == [4096, 4096, 10_500 - 8192]
     texts = [r.text for r in text_documents.render_invoices(more, headers).collect()]
