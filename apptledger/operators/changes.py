@@ -39,6 +39,25 @@ def one_per_key(requests: DataFrame, key: str, newest_by: list[str] | None = Non
     return latest_per_key(known, [key], [*first, *[c for c in others if c not in first]]) if others else known.distinct()
 
 
+def conflicting_requests(requests: DataFrame, key: str, newest_by: list[str] | None = None) -> DataFrame:
+    """Requests that ``one_per_key`` could only decide by their values: of one key, as late as each other, and different.
+
+    What is left of ``requests`` without their keys can be applied without a choice of its own. Copies of a request
+    are one row here. Rows are counted per key and time first, so a key with very many copies costs no more than others.
+    """
+    order = newest_by or [c for c in ("requested_at",) if c in requests.columns]
+    distinct = requests.where(F.col(key).isNotNull()).distinct()
+    known = distinct.groupBy(key, *order).agg(F.count(F.lit(1)).alias("_different"))
+    if order:
+        known = known.groupBy(key).agg(
+            F.max(F.struct(*order)).alias("_last"), F.max_by("_different", F.struct(*order)).alias("_different"))
+    torn = known.where(F.col("_different") > 1)
+    rows = distinct.join(torn, key)
+    if order:
+        rows = rows.where(F.struct(*order).eqNullSafe(F.col("_last")))
+    return rows.select(*requests.columns)
+
+
 def apply_changes(
     base: DataFrame,
     delta: DataFrame,

@@ -34,17 +34,17 @@ def metered_cost(records: DataFrame) -> DataFrame:
 def usage_records(tables: Tables, submissions: DataFrame) -> DataFrame:
     """What has been metered: geocodes, invites, punches and record reads.
 
-    A record is billed once however often it was read.
+    A record is billed once however often it was read. Geocodes and invites count for the day their row was entered.
     """
     none = F.lit(None).cast("bigint")
-    undated = F.lit(None).cast("date")
+    entered = F.to_date("created_at")
     geocodes = tables.places.where(F.col("location_ext_id").isNotNull()).select(
         F.lit("geocode").alias("kind"), F.col("place_id").alias("reference"), none.alias("appointment_id"),
-        undated.alias("used_on"),
+        entered.alias("used_on"),
     )
     invites = tables.notaries.where(F.col("worker_ext_id").isNotNull()).select(
         F.lit("worker_invite").alias("kind"), F.col("notary_id").alias("reference"), none.alias("appointment_id"),
-        undated.alias("used_on"),
+        entered.alias("used_on"),
     )
     punches = tables.appointments.select(
         "appointment_id", F.to_date("scheduled_start").alias("used_on"),

@@ -406,6 +406,16 @@ def cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.billable_appointments(after).select("appointment_id", "status", "other_fee", "billable_total")
 
 
+@query
+def conflicting_cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cancellations sent from two places, which differ in the fee of every seventh appointment."""
+    rows = star.tables(spark, sf_dir).appointments.where(F.col("status") == "confirmed")
+    fee = F.when((F.col("appointment_id") % 7 == 0) & (F.col("place") == 2), 20).otherwise(10)
+    requests = rows.select("appointment_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("place")).select(
+        "appointment_id", fee.alias("other_fee"))
+    return changes.conflicting_requests(requests, "appointment_id")
+
+
 @query
 def swap_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The owner's open appointments go to worker 1, with the calls that takes."""

@@ -31,11 +31,16 @@ SIGNING_TYPE = (
 PHONE = r"\(?(\d{3})\)?[ -](\d{3})-(\d{4})"
 NAMED_DATE = r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+(\d{1,2})(?:,\s*(\d{4}))?"
 SLASH_DATE = r"\b(\d{1,2})/(\d{1,2})\b(?:/(\d{4}))?"
-CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*([AaPp])\.?[Mm]\b"
+# 2:10 pm, 2:10 p.m., 14:10; and noon.
+CLOCK = r"(?i:\b(?:(\d{1,2})(?::(\d{2}))?\s*([ap])\.?m\b|([01]?\d|2[0-3]):([0-5]\d)\b|(noon)\b))"
+# The start stands next to the date; a clock after "by" is a deadline.
+STARTS = "(?:" + NAMED_DATE + "|" + SLASH_DATE + r")[\s,@–—-]*(?:at\s+)?" + CLOCK
+DEADLINE = r"\b[Bb]y\s+" + CLOCK
 # Short forms of street endings.
 STREET_ENDINGS = "Aly|Ave|Blvd|Cir|Ct|Dr|Hwy|Ln|Loop|Pkwy|Pl|Plz|Rd|Row|Run|Sq|St|Ter|Trl|Way|Xing"
 STREET = (
-    r"\b(\d+ (?:[A-Za-z0-9]+ ){1,3}?(?:" + STREET_ENDINGS + r")\b(?: [NSEW]{1,2}\b)?(?: Suite \w+)?)"
+    r"\b(\d+ (?:[A-Za-z0-9]+ ){1,3}?(?:" + STREET_ENDINGS
+    + r")\b(?: [NSEW]{1,2}\b)?(?:,? (?:#\s?|(?:Apt|Unit|Ste|Suite)\.? )[\w-]+)?)"
 )
 ZIP = r"(?<![\d-])(\d{5})(?![\d-])"
 AMOUNT = r"\$(\d{1,3}(?:,\d{3})+(?:\.\d{2})?|\d+(?:\.\d{2})?)"
@@ -43,13 +48,15 @@ SIGNING_FEE = AMOUNT
 PRINT_FEE = r"\+\s*" + AMOUNT + r"\s*print"
 SCANBACKS = r"(?i)\b(?:no\s+)?scan-?backs?\b"
 THEY_PRINT = r"(?i)\bthey print\b"
-DROP = r"\b(FedEx|UPS)\b(?:\s+drop)?\s+by\s+\d{1,2}(?::\d{2})?\s*[AaPp]\.?[Mm]\b"
-PERSON = r"[A-Z][a-z'-]+(?: [A-Z][a-z'-]+)+"
+DROP = r"\b(FedEx|UPS)\b(?:\s+drop)?\s+" + DEADLINE
+# Names in any alphabet, with initials, apostrophes and hyphens.
+NAME = r"\p{Lu}(?:\.|[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*)?"
+PERSON = NAME + "(?: " + NAME + ")+"
 SIGNER = r"(?:[Ss]igning party:?|[Bb]orrowers?:?|[Ss]ellers?|[Ss]igners?:?|meet) (" + PERSON + r"(?: and " + PERSON + r")*)"
 TOWN = STREET + r",? ([A-Z][A-Za-z.' -]*?)(?:, ([A-Z]{2}))?,? \d{5}\b"
 CLIENT = r"^(.+?)\s+(?:emailed|order)\b"
 
-REQUIRED_FIELDS = ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
+REQUIRED_FIELDS = ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee", "signer_name"]
 
 
 def mention(text: Column | str, pattern: str) -> Column:
@@ -75,11 +82,20 @@ def canonical(field: str, said: Column | str) -> Column:
 
 
 def clock_minutes(text: Column | str) -> Column:
-    """Minutes after midnight of a 12-hour clock time."""
+    """Minutes after midnight of a clock time."""
     hour = found(text, CLOCK, 1).cast("int")
     minute = F.coalesce(found(text, CLOCK, 2), F.lit("0")).cast("int")
     afternoon = F.lower(found(text, CLOCK, 3)) == "p"
-    return (hour % 12 + F.when(afternoon, 12).otherwise(0)) * 60 + minute
+    return F.coalesce(
+        (hour % 12 + F.when(afternoon, 12).otherwise(0)) * 60 + minute,
+        found(text, CLOCK, 4).cast("int") * 60 + found(text, CLOCK, 5).cast("int"),
+        F.when(found(text, CLOCK, 6).isNotNull(), 12 * 60))
+
+
+def start_mention(text: Column | str) -> Column:
+    """The piece that tells the start: a date with the clock after it, else the first clock that is no deadline."""
+    text = times.col(text)
+    return F.coalesce(mention(text, STARTS), mention(F.regexp_replace(text, DEADLINE, ""), CLOCK))
 
 
 def start_clock(text: Column | str) -> Column:
@@ -109,7 +125,7 @@ def mentioned_date(named: Column, slashed: Column, default_year: int) -> Column:
 # One search of the message per pattern.
 MENTIONS = {
     "client": CLIENT, "order": ORDER_REF, "type": SIGNING_TYPE, "phone": PHONE, "named_date": NAMED_DATE,
-    "slash_date": SLASH_DATE, "clock": CLOCK, "street": STREET, "zip": ZIP, "fee": SIGNING_FEE, "print": PRINT_FEE,
+    "slash_date": SLASH_DATE, "street": STREET, "zip": ZIP, "fee": SIGNING_FEE, "print": PRINT_FEE,
     "scanbacks": SCANBACKS, "drop": DROP, "they_print": THEY_PRINT, "signer": SIGNER, "town": TOWN,
 }
 
@@ -118,7 +134,7 @@ def extract_confirmations(messages: DataFrame, default_year: int, text: str = "t
     """One row of fields per message. Loan numbers are never picked up."""
     said = messages.withColumn("_m", F.struct(*[
         mention(text, pattern).alias(name) for name, pattern in MENTIONS.items()
-    ])).drop(text)
+    ], start_mention(text).alias("clock"))).drop(text)
 
     def piece(name: str) -> Column:
         return F.col(f"_m.{name}")

@@ -18,6 +18,8 @@ from apptledger.settings import seed_settings
 
 # Stored layout: facts are split by the date the views filter on.
 PARTITION_DATE = {"appointments": ("appointment_date", "scheduled_start")}
+# Tables whose own date column splits them.
+SPLIT_BY = {"mileage": "trip_date", "invoices": "invoice_date"}
 
 
 def load_tables(spark: SparkSession, base: str) -> Tables:
@@ -31,7 +33,8 @@ def load_tables(spark: SparkSession, base: str) -> Tables:
         if name in PARTITION_DATE:
             schema = T.StructType([*schema.fields]).add(PARTITION_DATE[name][0], "date")
         try:
-            return spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
+            rows = spark.read.schema(schema).parquet(f"{base.rstrip('/')}/{name}")
+            return rows.select(*schema.fieldNames()) if name in SPLIT_BY else rows
         except AnalysisException as error:
             if name != LINES or error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -60,6 +63,8 @@ def save_tables(tables: Tables, base: str) -> None:
         if name in PARTITION_DATE:
             date_column, source = PARTITION_DATE[name]
             save(df.withColumn(date_column, F.to_date(source)), path, by=date_column)
+        elif name in SPLIT_BY:
+            save(df, path, by=SPLIT_BY[name])
         else:
             save(df, path)
 

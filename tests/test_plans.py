@@ -187,3 +187,18 @@ def test_times_of_sql_functions_reach_the_scan(stored, spark):
     text = plan(spark.sql("SELECT * FROM drops_due(TIMESTAMP_NTZ '2026-09-30 14:36:00')"))
     (scan,) = [x for x in text.splitlines() if "drop_deadline" in x and "PushedFilters" in x]
     assert "EqualTo(status,completed)" in scan and "LessThanOrEqual(drop_deadline," in scan
+
+
+def test_trips_and_invoices_are_stored_by_date(stored, spark):
+    """A period reads its own days, and a snapshot stored without them reads as before."""
+    from apptledger.operators import lookups
+    from apptledger.plans import reports
+
+    for rows in (lookups.trips_between(stored, dt.date(1995, 1, 1), dt.date(1995, 1, 31)), reports.month_total(stored, "1995-01")):
+        (scan,) = [x for x in plan(rows).splitlines() if "PartitionFilters" in x and "trip_date" in x]
+        assert "PartitionFilters: [isnotnull(trip_date" in scan
+    fresh = star.tables(spark, str(TESTDATA))
+    assert stored.mileage.columns == fresh.mileage.columns and stored.invoices.columns == fresh.invoices.columns
+    assert stored.mileage.exceptAll(fresh.mileage).count() == 0 and stored.mileage.count() == fresh.mileage.count()
+    june = stored.invoices.where("invoice_date BETWEEN DATE '2026-06-01' AND DATE '2026-06-30'")
+    assert "PartitionFilters: [isnotnull(invoice_date" in plan(june) and june.count() > 0

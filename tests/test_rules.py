@@ -352,7 +352,55 @@ def test_confirmations(spark):
     assert c.scheduled_start == dt.datetime(2026, 10, 7, 12) and c.drop_deadline == dt.datetime(2026, 10, 7, 19)
     assert (c.print_fee, c.scanbacks_required, c.phone, c.city) == (15, 1, "509-555-0122", "Pasco")
     assert (c.signer_name, c.signer_count) == ("Pat Doe", 1)
-    assert d.missing_fields == ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee"]
+    assert d.missing_fields == ["order_ref", "signing_type", "scheduled_start", "street", "zip", "signing_fee", "signer_name"]
+
+
+@pytest.mark.parametrize(("said", "start", "drop"), [
+    ("on 10/3 17:30, FedEx drop by 6pm", (3, 17, 30), (3, 18, 0)),
+    ("on 10/3 at noon, UPS by 18:30", (3, 12, 0), (3, 18, 30)),
+    ("Oct 3, 2026, 9:05 a.m. FedEx by noon", (3, 9, 5), (3, 12, 0)),
+    ("hand to UPS by 5:00 PM. It is on 10/3, in the lobby, 2pm", (3, 14, 0), (3, 17, 0)),
+    ("10/3 @ 08:00", (3, 8, 0), None), ("10/3, FedEx by 4pm", None, (3, 16, 0)), ("10/3 12 am", (3, 0, 0), None),
+])
+def test_the_start_is_the_clock_next_to_the_date(spark, said, start, drop):
+    rows = spark.createDataFrame([(1, f"Acme order A-1, refi {said}")], "id int, text string")
+    got = confirmations.extract_confirmations(rows, 2026).first()
+    assert got.scheduled_start == (start and dt.datetime(2026, 10, *start)) and got.drop_deadline == (drop and dt.datetime(2026, 10, *drop))
+    assert ("scheduled_start" in got.missing_fields) == (start is None)
+
+
+@pytest.mark.parametrize(("said", "street", "city", "state", "signer"), [
+    ("signer María López, 1200 W 5th Ave #4, Salem, OR 97301", "1200 W 5th Ave #4", "Salem", "OR", "María López"),
+    ("meet Dana Q. O'Neil-Smith, 8 Oak St Apt. 3B, Bend, OR 97701", "8 Oak St Apt. 3B", "Bend", "OR", "Dana Q. O'Neil-Smith"),
+    ("borrowers Åsa Öberg and J. P. Ng, 77 Elm Rd, Unit 12, Ely 89301", "77 Elm Rd, Unit 12", "Ely", None, "Åsa Öberg and J. P. Ng"),
+    ("40 Fir Ct Suite 7 Reno 89501", "40 Fir Ct Suite 7", "Reno", None, None),
+])
+def test_units_and_names_as_people_write_them(spark, said, street, city, state, signer):
+    rows = spark.createDataFrame([(1, f"Acme order A-1, refi on 10/3 9am, {said}")], "id int, text string")
+    got = confirmations.extract_confirmations(rows, 2026).first()
+    assert (got.street, got.city, got.state, got.signer_name) == (street, city, state, signer)
+    assert ("signer_name" in got.missing_fields) == (signer is None)
+
+
+def test_requests_that_contradict_each_other(spark):
+    from apptledger.operators.changes import conflicting_requests
+
+    rows = [(1, 10, 1), (1, 20, 1), (2, 5, 1), (2, 5, 1), (3, 7, 1), (3, 8, 2), (4, 1, 2), (4, 2, 2), (4, 3, 1), (None, 1, 1), (None, 2, 1), (5, None, 1), (5, 1, 1)]
+    timed = spark.createDataFrame(rows, "appointment_id int, other_fee int, requested_at int")
+    assert sorted(map(str, conflicting_requests(timed, "appointment_id").collect())) == sorted(map(str, spark.createDataFrame(
+        [(1, 10, 1), (1, 20, 1), (4, 1, 2), (4, 2, 2), (5, None, 1), (5, 1, 1)], timed.schema).collect()))
+    assert {r.appointment_id for r in conflicting_requests(timed.drop("requested_at"), "appointment_id").collect()} == {1, 3, 4, 5}
+
+
+def test_geocodes_and_invites_count_for_the_month_they_were_entered(spark):
+    from apptledger.operators import usage
+
+    tables = make_tables(
+        spark, places=[{"place_id": 1, "location_ext_id": 5, "created_at": "2026-08-09T10:00"}],
+        notaries=[{"notary_id": 1, "worker_ext_id": 6, "created_at": "2026-07-01T10:00"}, {"notary_id": 2, "worker_ext_id": 7}])
+    none = spark.createDataFrame([], "submission_id long, appointment_id long, submitted_at timestamp_ntz, drop_receipts int")
+    rows = usage.cost_by_month(usage.metered_cost(usage.usage_records(tables, none))).collect()
+    assert {(r.month, r.kind, r.units) for r in rows} == {("2026-08", "geocode", 1), ("2026-07", "worker_invite", 1), (None, "worker_invite", 1)}
 
 
 def test_canonical_input(spark):
