@@ -307,9 +307,11 @@ TIMED = {
         "drop_deadline <= as_of + INTERVAL 24 HOURS"),
     "invoices_outstanding": (
         "invoices_unpaid",
-        "*, datediff(CAST(as_of AS DATE), due_date) AS days_past_due, CASE WHEN datediff(CAST(as_of AS DATE), due_date) <= 0 THEN 'current' "
-        "WHEN datediff(CAST(as_of AS DATE), due_date) <= 30 THEN '30' WHEN datediff(CAST(as_of AS DATE), due_date) <= 60 THEN '60' "
-        "ELSE '90+' END AS aging_bucket, coalesce(CAST(due_date < CAST(as_of AS DATE) AS INT), 0) AS overdue",
+        "*, datediff(CAST(as_of AS DATE), due_date) AS days_past_due, "
+        # How many of the limits have passed; without a due date all of them have.
+        "element_at(array('current', '30', '60', '90+'), 1 + coalesce(size(filter(array(0, 30, 60), "
+        "days -> datediff(CAST(as_of AS DATE), due_date) > days)) + 0 * datediff(CAST(as_of AS DATE), due_date), 3)) AS aging_bucket, "
+        "coalesce(CAST(due_date < CAST(as_of AS DATE) AS INT), 0) AS overdue",
         "true"),
 }
 
