@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from apptledger.llm.arrow import with_columns
 
@@ -51,6 +52,55 @@ def byte_characters() -> list[str]:
     return [table[b] if b in table else chr(next(others)) for b in range(256)]
 
 
+#: Code points that have or may get a class: beyond them lie private and unassigned planes.
+POINTS = [c for c in [*range(0x40000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+
+
+def ranges(points: list[int]) -> str:
+    """Sorted code points as the inside of a character set."""
+    found: list[list[int]] = []
+    for point in points:
+        if found and point == found[-1][1] + 1:
+            found[-1][1] = point
+        else:
+            found.append([point, point])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in found)
+
+
+class Unicode:
+    """Where the tokenizer's tables of letters, numbers and small letters differ from those of this Python.
+
+    The tables are those of the library's own regular expressions and normaliser, asked once per worker."""
+
+    def __init__(self):
+        text = "".join(map(chr, POINTS))
+        own: dict[str, str] = {}
+        odd: set[int] = set()
+        for name in (r"\p{L}", r"\p{N}"):
+            held = bytearray(b"\1" * len(POINTS))
+            for _, (start, end) in pre_tokenizers.Split(Regex(name + "+"), "removed").pre_tokenize_str(text):
+                held[start:end] = bytes(end - start)
+            here = regex.compile(name).match
+            more = [c for c, inside in zip(POINTS, held, strict=True) if inside and not here(chr(c))]
+            less = [c for c, inside in zip(POINTS, held, strict=True) if not inside and here(chr(c))]
+            odd.update(more, less)
+            kept = f"[{name}--[{ranges(less)}]]" if less else name
+            own[name] = f"[{kept}||[{ranges(more)}]]" if more else kept
+        self.own = own
+        self.odd = regex.compile(f"[{ranges(sorted(odd))}]").search if odd else lambda run: None
+        beyond = POINTS[128:]
+        small = normalizers.Lowercase().normalize_str("\n".join(map(chr, beyond))).split("\n")
+        # A capital sigma is taken care of where texts are lowered.
+        cased = {c: low for c, low in zip(beyond, small, strict=True) if c != 0x3A3 and low != chr(c).lower()}
+        self.lowered = cased
+        self.odd_case = regex.compile(f"[{ranges(sorted(cased))}]").search if cased else lambda text: None
+
+
+@functools.lru_cache(maxsize=1)
+def unicode_tables() -> Unicode:
+    return Unicode()
+
+
 class WordBpe:
     """One tokenizer file: words to ids and ids to vocabulary strings."""
 
@@ -74,7 +124,13 @@ class WordBpe:
         for text, number in [*vocabulary.items(), *self.special.items()]:
             self.strings[number] = text
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find_words = regex.compile(pattern.replace(r"\s", SPACES)).findall
+        pattern = pattern.replace(r"\s", SPACES)
+        self.find_words = regex.compile(pattern).findall
+        self.tables = unicode_tables()
+        # Sets within sets, which only words with characters of another class need.
+        for name, own in self.tables.own.items():
+            pattern = pattern.replace(f"[{name}]", own).replace(name, own)
+        self.find_odd_words = regex.compile("(?V1)" + pattern).findall
         self.cut_spaces = regex.compile(f"[{SPACES}]+").split
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
         self.cache: dict[str, bytes] = {}
@@ -118,7 +174,7 @@ class WordBpe:
 
     def run(self, run: str) -> bytes:
         """Ids of a run without white space: of its words, one after the other."""
-        words = self.find_words(run)
+        words = self.find_words(run) if run.isascii() or not self.tables.odd(run) else self.find_odd_words(run)
         if len(words) == 1 and words[0] == run:
             return self.word(run)
         known = self.cache.get
@@ -136,7 +192,10 @@ class WordBpe:
             text = text.lower()
         else:
             # Letters are lowered one by one, so a capital sigma never becomes a final one.
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
+            if self.tables.odd_case(text):
+                text = text.translate(self.tables.lowered)
+            text = text.lower()
         runs = text.split() if not any(c in text for c in SPLIT_ONLY) else self.cut_spaces(text)
         found = list(map(self.cache.get, runs))
         if None in found:

@@ -35,6 +35,18 @@ def test_same_ids_and_strings_as_the_library(spark, documents, library):
         assert row.decoded == tokenizer.decode(expected, skip_special_tokens=False)
 
 
+def test_every_code_point(library):
+    """Classes and small letters are those of the library, also where this Python's tables are older or newer."""
+    tokenizer = bpe.tokenizer(bpe.default_path())
+    texts = [f"a{chr(c)}b 1{chr(c)}" for c in bpe.POINTS]
+    expected = library[1].encode_batch(texts, add_special_tokens=False)
+    different = [c for c, text, e in zip(bpe.POINTS, texts, expected, strict=True)
+                 if bpe.np.frombuffer(tokenizer.encode(text), "i4").tolist() != e.ids]
+    assert different == []
+    beyond = [0x40000, 0x8FFFF, 0xE01FF + 1, 0xF0000, 0x10FFFF]
+    assert all(bpe.np.frombuffer(tokenizer.encode(f"x{chr(c)}y"), "i4").tolist() == library[0](f"x{chr(c)}y") for c in beyond)
+
+
 def test_merges_skip_stale_entries():
     tokenizer = bpe.tokenizer(bpe.default_path())
     # A queue entry for a pair whose symbols were merged elsewhere must not be used.
