@@ -15,15 +15,12 @@ labelled rows, picked by a hash of their ids, that bound being a parameter. Toke
 that are ``LIFT`` times as frequent in some domain as overall, with a likelihood ratio against chance of ``LEAST_RATIO``, are
 features, the ``FEATURES`` best ones at most, so the model that is broadcast has a fixed bound.
 
-Cells: texts whose posteriors agree to ``1 / GRID`` in every domain, on the same side of ``STAYS``, have one rate. A cell's words and
-expected words by domain are exact sums, so what is fitted for cells holds for their texts, and however large the
-corpus, there are no more cells than the grid has.
-
-Steps: with words ``t`` and posterior ``p`` of a cell, its rate moves against ``sum_k p_k e_k / s_k`` and is cut at its least value, where
+Steps: with words ``t`` and posterior ``p`` of a text, its own rate moves against ``sum_k p_k e_k / s_k`` and is cut at its least value, where
 ``e_k`` is domain k's surplus of words and ``s_k`` the words it has. In this metric the step length 1 is safe, since
 the matrix ``sum t p p' / s`` has row sums of 1. Steps carry on the last one's movement (accelerated gradient, begun anew whenever the
 squares grow). Fitting ends at the optimum: when another plain step would change the kept words by less than ``TOLERANCE`` of
 all words; how far it would is returned as well, should ``STEPS`` not suffice. Rates are stored every ``STORE_EVERY`` steps.
+Equal texts are one row here, however many there are. ``cells`` sums texts of like posteriors up for a look at a corpus; no rate is made of it.
 
 Null and empty texts have no words and no tokens; their posterior and rate follow from that. Without
 labelled texts nothing tells domains apart: every posterior is even, and every rate 1. Labels that
@@ -46,7 +43,7 @@ REFERENCE = "good"
 WEIGHTS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
 SAMPLE, FEATURES, LEAST_TEXTS, LIFT, LEAST_RATIO = 20_000, 1024, 5, 2.0, 10.0
 STEPS, STORE_EVERY, TOLERANCE = 60, 20, 3e-5
-#: Texts share a rate where their posteriors fall between the same marks.
+#: Marks between which ``cells`` adds up texts.
 GRID = 50
 #: A document that belongs to the reference domain at least this much stays at least once.
 STAYS = 0.5
@@ -207,14 +204,9 @@ def rated_texts(docs: DataFrame, labels: DataFrame, weights: dict[str, float] |
                 sample: int = SAMPLE, features: int = FEATURES) -> DataFrame:
     """(__text__, __words__, __p__, __rate__) for every distinct text, by its digest."""
     base = materialized(members(docs.select("doc_id", "text"), labels, sample, features), "members")
-    # A task holds them all: there are no more than the grid has.
-    groups = materialized(cells(base).coalesce(1), "cells")
-    stays = F.col("cell").endswith("/true").cast("double")
-    fitted_rows, _, _, _ = fit_rates(groups, weights or WEIGHTS, least=stays)
-    by_cell = materialized(fitted_rows.select(F.col("cell").alias("at"), "rate"), "cell-rates")
-    # As many rows at most as the grid has cells.
-    rated = base.withColumn("cell", cell(F.col("p"))).join(F.broadcast(by_cell), F.col("cell") == F.col("at"))
-    return materialized(rated.select(
+    stays = (F.get("p", F.lit(DOMAINS.index(REFERENCE))) >= STAYS).cast("double")
+    fitted_rows, _, _, _ = fit_rates(base, weights or WEIGHTS, least=stays)
+    return materialized(fitted_rows.select(
         F.col("of").alias("__text__"), F.col("n_words").alias("__words__"), F.col("p").alias("__p__"), F.col("rate").alias("__rate__")), "rates")
 
 

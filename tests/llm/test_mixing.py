@@ -198,3 +198,14 @@ def test_clashing_columns_are_left_alone(spark, documents):
 def test_repeated_ids_are_dealt_by_their_texts(spark):
     rows = spark.range(4_000).select(F.lit(7).alias("doc_id"), F.lit(0.5).alias("rate"), F.md5(F.col("id").cast("string")).alias("of"))
     assert abs(rows.agg(F.avg(mixing.copies(F.col("rate"), "doc_id", "of"))).first()[0] - 0.5) < 0.05
+
+
+def test_every_text_has_a_rate_of_its_own(spark, monkeypatch):
+    """Texts of like posteriors too: nothing is fitted for groups of texts."""
+    posteriors = [[0.301, 0.690, 0.009], [0.319, 0.681, 0.0], [0.9, 0.1, 0.0], [0.05, 0.05, 0.9]]
+    rows = spark.createDataFrame([(str(i), 1, 100, p) for i, p in enumerate(posteriors)], "of string, n_rows long, n_words long, p array<double>")
+    monkeypatch.setattr(mixing, "members", lambda *_: rows)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    got = {r["__text__"]: r["__rate__"] for r in mixing.rated_texts(docs, docs, {"good": 0.5, "poor": 0.45, "toxic": 0.05}).collect()}
+    assert rows.select(mixing.cell(F.col("p")).alias("c")).distinct().count() == 3
+    assert 0 < got["0"] != got["1"] > 0 and got["2"] >= 1
