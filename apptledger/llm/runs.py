@@ -39,7 +39,7 @@ CYCLE, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Words compared at an anchor before anything else: a half of what must agree around it.
 PROBE = LEAST // 4
 #: Words of documents, and anchors, that are handled at a time.
-LOT, ANCHORS = 400_000, 1_000_000
+LOT, ANCHORS = 100_000, 200_000
 
 RUN = T.StructType([T.StructField(n, T.LongType()) for n in ("start", "length", "period")])
 ADDED = T.StructType([T.StructField("runs", T.ArrayType(RUN)), T.StructField("collapsed", T.StringType())])
@@ -178,6 +178,15 @@ def anchors(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         at = to
 
 
+def probes(ids: np.ndarray) -> np.ndarray:
+    """A number for the PROBE words from each place on."""
+    mixed = ids.astype(np.uint64)
+    probe = np.zeros(len(ids), np.uint64)
+    for word in range(PROBE):
+        probe = probe * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([mixed[word:], mixed[:word]])
+    return probe
+
+
 def smallest(found: np.ndarray) -> np.ndarray:
     """Of rows (document, start, length, period) that tell of one stretch the one of smallest period."""
     found = found[np.lexsort(found.T[::-1])]
@@ -193,33 +202,41 @@ def runs(documents: list[np.ndarray]) -> np.ndarray:
     if not (sizes >= LEAST).any():
         return none
     ids, starts = joined(documents)
-    mixed = ids.astype(np.uint64)
-    probe = np.zeros(len(ids), np.uint64)
-    for word in range(PROBE):
-        probe = probe * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([mixed[word:], mixed[:word]])
-    kept = []
-    for document, place, period in anchors(sizes):
-        i = starts[document] + place
-        j = i + period
-        agree = (probe[i] == probe[j]) | (probe[i - PROBE] == probe[j - PROBE])
-        if agree.any():
-            kept.append(np.stack([document[agree], place[agree], period[agree]], axis=1))
-    if not kept:
+    probe = probes(ids)
+
+    def agreeing(sizes: np.ndarray, starts: np.ndarray, probe: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Those of the anchors around which words agree."""
+        for document, place, period in anchors(sizes):
+            i = starts[document] + place
+            j = i + period
+            agree = (probe[i] == probe[j]) | (probe[i - PROBE] == probe[j - PROBE])
+            if agree.any():
+                yield document[agree], place[agree], period[agree]
+
+    # Documents without such anchors need no suffixes. The others' anchors are made a second time rather than held, as
+    # there are some n ln n of them where words keep recurring.
+    seen = np.zeros(len(sizes), bool)
+    for document, _, _ in agreeing(sizes, starts, probe):
+        seen[document] = True
+    used = np.flatnonzero(seen)
+    if not len(used):
         return none
-    grid = np.concatenate(kept)
-    # Documents without such anchors need no suffixes.
-    used, number = np.unique(grid[:, 0], return_inverse=True)
     ids, starts = joined([documents[d] for d in used])
+    probe = probes(ids)
     right, left, last = Extensions(ids), Extensions(ids[::-1]), len(ids) - 1
-    found = [none]
-    for at in range(0, len(grid), ANCHORS):
-        document, place, period = grid[at:at + ANCHORS].T
-        i = starts[number[at:at + ANCHORS]] + place
+    found, held = [none], 0
+    for document, place, period in agreeing(sizes[used], starts, probe):
+        i = starts[document] + place
         j = i + period
         after, before = right.between(i, j), left.between(last - (i - 1), last - (j - 1))
         length = before + period + after
         long = length >= np.maximum(LEAST, 2 * period)
-        found.append(smallest(np.stack([document, place - before, length, period], axis=1)[long]))
+        found.append(smallest(np.stack([used[document], place - before, length, period], axis=1)[long]))
+        held += len(found[-1])
+        # Stretches that several lots of anchors tell of are held once.
+        if held > ANCHORS:
+            found = [smallest(np.concatenate(found))]
+            held = 0
     return smallest(np.concatenate(found))
 
 

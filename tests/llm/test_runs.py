@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -116,3 +117,13 @@ def test_the_query(spark):
         assert row.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, n, q in found).encode()).hexdigest()
         assert row.collapsed_sha256 == hashlib.sha256(collapsed(words, found).encode()).hexdigest()
     assert changed and any(r.n_runs > 1 for r in rows)
+
+
+def test_agreeing_anchors_are_not_held():
+    """A text of one word has some n ln n of them."""
+    words = [np.zeros(60_000, np.int64)]
+    tracemalloc.start()
+    found = runs.runs(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.tolist() == [[0, 0, 60_000, 1]] and peak < 60 * 2**20
