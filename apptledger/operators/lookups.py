@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from apptledger.functions import times
 from apptledger.model import OPEN_STATUSES, Tables
-from apptledger.operators.joins import spread_join
+from apptledger.operators.joins import fits_broadcast, spread_join
 from apptledger.plans.views import in_days
+from apptledger.session import materialized
 
 
 def commissions_expiring(tables: Tables, as_of: dt.date, days: int = 60) -> DataFrame:
@@ -110,22 +111,36 @@ def aligned_pieces(first: Column, last: Column) -> Column:
     return F.when(length > 0, F.flatten(F.transform(levels, at)))
 
 
+#: Blocks of asked entries that are sent to every executor at most; more are shuffled.
+BROADCAST_CELLS = 500_000
+
+
 def journal_entries_for(tables: Tables, questions: DataFrame) -> DataFrame:
     """Pointers that cover the entry each question asks for; ``questions`` holds ``journal_book``, ``entry`` and
     columns of its own. Questions that no pointer covers are left out.
 
     Ranges are cut into aligned blocks and each question looks up the one block of every size that holds its
     number, so ranges of any length meet by equality: a range of n numbers takes some 2 log n rows, a question
-    one per size that occurs. A question meets a pointer once, as a range's blocks do not overlap.
+    one per size that may occur. A question meets a pointer once, as a range's blocks do not overlap. Each entry is
+    looked up once, however many ask for it, and its pointers then meet the questions.
     """
     first, last = entry_bounds()
-    pieces = tables.journal_index.where(first >= 0).select(
+    pointers = tables.journal_index.where((first >= 0) & F.col("journal_book").isNotNull())
+    pieces = pointers.select(
         "journal_book", F.inline(aligned_pieces(first, last)), "entry_id", "appointment_id", "entry_no", "act_type", "act_count")
-    highest = pieces.agg(F.coalesce(F.max("level"), F.lit(0))).scalar()
-    asked = questions.where(F.col("journal_book").isNotNull() & F.col("entry").isNotNull()).withColumn(
-        "level", F.explode(F.sequence(F.lit(0), highest))
-    ).withColumn("block", shifted(F.col("entry").cast("bigint"), F.col("level")))
-    met = spread_join(asked, pieces, ["journal_book", "level", "block"], spread_by=questions.columns)
+    longest = pointers.agg(F.coalesce(F.floor(F.log2(F.max(last - first + 1).cast("double"))).cast("int"), F.lit(0))).first()[0]
+    known = questions.where(F.col("journal_book").isNotNull() & F.col("entry").isNotNull()).withColumn(
+        "_entry", F.col("entry").cast("bigint"))
+    # Many may ask for one entry: it is looked up once. Stored, so that its size is known.
+    entries = materialized(known.select("journal_book", "_entry").distinct(), "asked-entries")
+    cells = entries.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(longest)))).withColumn(
+        "block", shifted(F.col("_entry"), F.col("level")))
+    cell = ["journal_book", "level", "block"]
+    # Pointers are the larger side: few entries go to them, and only what covers one is shuffled.
+    few = fits_broadcast(entries) and entries.count() * (longest + 1) <= BROADCAST_CELLS
+    covering = pieces.join(F.broadcast(cells), cell) if few else spread_join(cells, pieces, cell, spread_by=["_entry"])
+    found = covering.select("journal_book", "_entry", "entry_id", "appointment_id", "entry_no", "act_type", "act_count")
+    met = spread_join(known, found, ["journal_book", "_entry"], spread_by=questions.columns)
     return met.select(*questions.columns, "entry_id", "appointment_id", "entry_no", "act_type", "act_count")
 
 
