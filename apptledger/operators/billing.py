@@ -119,8 +119,10 @@ def lines_of(tables: Tables, headers: DataFrame) -> DataFrame:
     known = headers.select("client_id", "invoice_id")
     wanted = known.select("invoice_id").distinct()
     stored = lookup_join(tables.invoice_lines, wanted, "invoice_id", spread_by=["line_no"], bound=headers)
-    return stored.select(*SCHEMAS[LINES].fieldNames()).unionByName(
-        run_lines(tables, known.join(tables.invoices.select("invoice_id"), "invoice_id", "left_anti")))
+    stored = stored.select(*SCHEMAS[LINES].fieldNames())
+    # Looked at first: pricing all appointments once more, with the lookups that takes, is for runs not applied yet.
+    unapplied = materialized(known.join(tables.invoices.select("invoice_id"), "invoice_id", "left_anti"), "unapplied")
+    return stored if unapplied.isEmpty() else stored.unionByName(run_lines(tables, unapplied))
 
 
 def further_lines(lines: DataFrame) -> DataFrame:
