@@ -62,6 +62,36 @@ def test_a_pair_is_not_formed_twice(spark):
     assert "CartesianProduct" not in pairs._jdf.queryExecution().toString() and "NestedLoop" not in pairs._jdf.queryExecution().toString()
 
 
+def at_starts(spark, starts):
+    """Hour-long bookings of one worker, ``(id, minute past nine)``."""
+    return make_tables(spark, appointments=[{
+        "appointment_id": i, "appointment_no": f"A-2026-{i}", "client_id": 1, "place_id": 1, "signing_type": "heloc", "notary_id": 1,
+        "status": "confirmed", "scheduled_start": f"2026-09-01T09:{minute:02d}:00", "duration_minutes": 60,
+    } for i, minute in starts])
+
+
+def test_lots_lose_and_repeat_no_pair(spark, monkeypatch):
+    """Bookings that start together fill several lots; ids that come twice or not at all stay the rows they are."""
+    monkeypatch.setattr(scheduling, "LOT_ROWS", 4)
+    starts = [(i, i % 3 * 15) for i in range(60)] + [(7, 15), (None, 0), (None, 30)]
+    day = dt.date(2026, 9, 1)
+    pairs = scheduling.conflict_pairs(at_starts(spark, starts), day, day, 30).select("earlier", "later", "gap_minutes").collect()
+    expected = [(a, b, n - m - 60) for a, m in starts for b, n in starts if m < n or (m == n and None not in (a, b) and a < b)]
+    assert collections.Counter(map(tuple, pairs)) == collections.Counter(expected)
+    joined = scheduling.conflict_pairs(at_starts(spark, starts), day, day, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline(members" in joined
+
+
+def test_pairs_are_stored_in_few_bytes(spark, tmp_path):
+    """Their number grows with the square of a worker's bookings; what is written for each is a fraction of a byte."""
+    day = dt.date(2026, 9, 1)
+    pairs = scheduling.conflict_pairs(at_starts(spark, [(i * 7919 % 1_000_003, i % 4 * 15) for i in range(1600)]), day, day, 30)
+    pairs.write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert spark.read.parquet(str(tmp_path / "pairs")).count() == 1600 * 1599 // 2
+    assert size < 1600 * 1599 // 2
+
+
 def test_pieces_cover_a_range_once(spark):
     ranges = [(0, 0), (1, 1), (1, 1_000_000), (7, 8), (255, 257), (0, 2**40), (5, 4), (12345, 99999), (2**53 + 1, 2**53 + 9)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "i int, first long, last long")
