@@ -10,11 +10,23 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows that Python works on and hands back at a time. What a batch of ten thousand long texts gives would be held several
+#: times over, in the worker and in the executor that reads it.
+PIECE_ROWS = 500
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``PIECE_ROWS``, without a copy."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(start, PIECE_ROWS)
+
+
 def with_columns(df: DataFrame, source: str, added: T.StructType,
                      make: Callable[[], Callable[[pa.Array], list]]) -> DataFrame:
-    """``df`` with ``added`` columns computed from ``source``, batch by batch, rows and order as they are.
+    """``df`` with ``added`` columns computed from ``source``, piece by piece, rows and order as they are.
 
-    ``make`` runs once per task and returns a function from a batch's values to one list or Arrow array
+    ``make`` runs once per task and returns a function from a piece's values to one list or Arrow array
     per added column. Columns of ``df`` that have a name of ``added`` are replaced.
     """
     names = set(added.fieldNames())
@@ -29,7 +41,7 @@ def with_columns(df: DataFrame, source: str, added: T.StructType,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
+        for batch in pieces(batches):
             made = compute(batch.column(at))
             columns = [v.cast(t) if isinstance(v, pa.Array) else pa.array(v, type=t)
                        for v, (_, t) in zip(made, types, strict=True)]

@@ -21,6 +21,7 @@ import heapq
 import itertools
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,14 @@ def byte_characters() -> list[str]:
 
 
 #: Code points that have or may get a class: beyond them lie private and unassigned planes.
-POINTS = [c for c in [*range(0x40000), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+POINTS = array.array("I", itertools.chain(range(0xD800), range(0xE000, 0x40000), range(0xE0000, 0xE0200)))
+#: How many of them are looked at together.
+POINTS_AT_ONCE = 4096
+
+
+def some(points: array.array) -> Iterator[array.array]:
+    """``POINTS_AT_ONCE`` of the points after the other, so that a worker never holds a string for each of them."""
+    return (points[at:at + POINTS_AT_ONCE] for at in range(0, len(points), POINTS_AT_ONCE))
 
 
 def ranges(points: list[int]) -> str:
@@ -73,25 +81,28 @@ class Unicode:
     The tables are those of the library's own regular expressions and normaliser, asked once per worker."""
 
     def __init__(self):
-        text = "".join(map(chr, POINTS))
         own: dict[str, str] = {}
         odd: set[int] = set()
         for name in (r"\p{L}", r"\p{N}"):
-            held = bytearray(b"\1" * len(POINTS))
-            for _, (start, end) in pre_tokenizers.Split(Regex(name + "+"), "removed").pre_tokenize_str(text):
-                held[start:end] = bytes(end - start)
+            split = pre_tokenizers.Split(Regex(name + "+"), "removed")
             here = regex.compile(name).match
-            more = [c for c, inside in zip(POINTS, held, strict=True) if inside and not here(chr(c))]
-            less = [c for c, inside in zip(POINTS, held, strict=True) if not inside and here(chr(c))]
+            more, less = [], []
+            for points in some(POINTS):
+                held = bytearray(b"\1" * len(points))
+                for _, (start, end) in split.pre_tokenize_str("".join(map(chr, points))):
+                    held[start:end] = bytes(end - start)
+                more += [c for c, inside in zip(points, held, strict=True) if inside and not here(chr(c))]
+                less += [c for c, inside in zip(points, held, strict=True) if not inside and here(chr(c))]
             odd.update(more, less)
             kept = f"[{name}--[{ranges(less)}]]" if less else name
             own[name] = f"[{kept}||[{ranges(more)}]]" if more else kept
         self.own = own
         self.odd = regex.compile(f"[{ranges(sorted(odd))}]").search if odd else lambda run: None
-        beyond = POINTS[128:]
-        small = normalizers.Lowercase().normalize_str("\n".join(map(chr, beyond))).split("\n")
-        # A capital sigma is taken care of where texts are lowered.
-        cased = {c: low for c, low in zip(beyond, small, strict=True) if c != 0x3A3 and low != chr(c).lower()}
+        cased = {}
+        for points in some(POINTS[128:]):
+            small = normalizers.Lowercase().normalize_str("\n".join(map(chr, points))).split("\n")
+            # A capital sigma is taken care of where texts are lowered.
+            cased |= {c: low for c, low in zip(points, small, strict=True) if c != 0x3A3 and low != chr(c).lower()}
         self.lowered = cased
         self.odd_case = regex.compile(f"[{ranges(sorted(cased))}]").search if cased else lambda text: None
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from apptledger.llm.arrow import with_columns
+from apptledger.llm.arrow import pieces, with_columns
 from apptledger.llm.components import components
 from apptledger.operators.joins import BROADCAST_LIMIT_CONF, spread_join
 from apptledger.session import materialized
@@ -221,7 +221,7 @@ def links(docs: DataFrame, sketches: DataFrame, id_column: str, text: str) -> Da
     texts = docs.join(members, id_column, "left_semi").select(F.col(f"`{text}`").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [shingles(v.as_py()) for v in batch.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())],
