@@ -9,6 +9,7 @@ import random
 from pyspark.sql import functions as F
 
 from apptledger.operators import lookups, scheduling
+from apptledger.plans.catalog import QUERIES
 from apptledger.sources import starschema as star
 from conftest import TESTDATA, make_tables
 
@@ -92,6 +93,26 @@ def test_pairs_are_stored_in_few_bytes(spark, tmp_path):
     assert size < 1600 * 1599 // 2
 
 
+def test_a_pair_costs_no_more_than_its_copy(spark):
+    """Dates are written and gaps counted once for two lots, and the join does not hold what they unfold to."""
+    plan = QUERIES["conflict_pairs"](spark, str(TESTDATA))._jdf.queryExecution().optimizedPlan().toString()
+    unfolding, joining = plan.split("Repartition ", 1)
+    assert unfolding.count("Generate inline(") == 2 and "Join" not in unfolding and "Join" in joining
+    above = unfolding.split("Generate inline(")[0]
+    assert "cast(" not in above and "FLOOR" not in above
+
+
+def test_pairs_are_spread_over_tasks_by_their_number(spark, monkeypatch):
+    """A few hundred rows in few bytes make many pairs, all in one slot; they are not put together in few tasks."""
+    monkeypatch.setattr(scheduling, "TASK_PAIRS", 20_000)
+    day, starts = dt.date(2026, 9, 1), [(i, i % 4 * 15) for i in range(1600)]
+    monkeypatch.setattr(scheduling, "LOT_ROWS", 8)
+    pairs = scheduling.conflict_pairs(at_starts(spark, starts), day, day, 30)
+    tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 1600 * 1599 // 2 and len(tasks) > 60
+    assert max(tasks) < sum(tasks) / 10
+
+
 def test_pieces_cover_a_range_once(spark):
     ranges = [(0, 0), (1, 1), (1, 1_000_000), (7, 8), (255, 257), (0, 2**40), (5, 4), (12345, 99999), (2**53 + 1, 2**53 + 9)]
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "i int, first long, last long")
